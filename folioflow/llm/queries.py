@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, quality, sharding, simhash
+from . import decontam, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op4_simhash": simhash.query,
+    "op5_best_fit_packing": packing.query,
     "op7_decontamination": decontam.query,
     "op8_sharding": sharding.query,
 }
