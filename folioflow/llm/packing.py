@@ -93,7 +93,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     alone = full.select("*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = rest.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(n_groups)))
 
-    def run(key, found: pa.Table) -> pa.Table:
+    def run(key, found):
         sizes = found.column("length").to_numpy()
         order = np.lexsort((found.column("ids_crc32").to_numpy(), -sizes))
         found = found.take(pa.array(order))

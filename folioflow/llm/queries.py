@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, sharding, simhash
+from . import decontam, packing, quality, sharding, simhash, token_count, token_output
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op3_token_counts": token_count.query,
     "op4_simhash": simhash.query,
     "op5_best_fit_packing": packing.query,
+    "op6_token_output": token_output.query,
     "op7_decontamination": decontam.query,
     "op8_sharding": sharding.query,
 }

@@ -9,8 +9,8 @@ The memory is bounded; when it is full, further pieces are encoded anew, which c
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: White space, or what some Unicode version takes for it, other than blank and \n.
@@ -20,16 +20,32 @@ _CLOSING = ".,!?;:"
 REMEMBERED = 400_000
 
 
+def _alphabet() -> dict[int, str]:
+    """Bytes as the byte-level tokenizers write them: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+_ALPHABET = _alphabet()
+
+
 class Memory(dict):
     """Piece of text to its ids as little-endian unsigned 32-bit bytes; encodes what it does not hold."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, blanks: bool):
         super().__init__()
+        self.blanks = blanks  # blanks and case are encoded
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha() and max(word) <= "\xff" and (word is text or self.blanks) and (self.blanks or word.islower()):
+            # one run of letters is one unit to the merges, and needs no normalising
+            found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))
+            return array("I", [t.id for t in found]).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_CLOSING)
@@ -70,7 +86,7 @@ _KEPT: dict[str, tuple[Memory, AfterBlank]] = {}
 def encoder(path: str, keeps_space: bool):
     """A function from text to its ids as bytes; keeps_space: the tokenizer encodes white space and case."""
     if path not in _KEPT:
-        memory = Memory(path)
+        memory = Memory(path, keeps_space)
         _KEPT[path] = memory, AfterBlank(memory)
     memory, after = _KEPT[path]
 
