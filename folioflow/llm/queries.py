@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, sharding, simhash, token_count, token_output
+from . import decontam, packing, quality, secrets, sharding, simhash, token_count, token_output, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op6_token_output": token_output.query,
     "op7_decontamination": decontam.query,
+    "op10_secret_scans": secrets.query,
+    "op9_toxicity": toxicity.query,
     "op8_sharding": sharding.query,
 }
 
