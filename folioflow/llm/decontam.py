@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -92,37 +93,37 @@ def spans_in(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
+def chunks(benchmark: DataFrame, size: int = WINDOW, chunk_chars: int = CHUNK_CHARS) -> list:
+    """(key, broadcast items) of each bounded part of the benchmark; its size is measured by Spark first."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total * size // chunk_chars))
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
+    return [(f"{uuid.uuid4()}", spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in p.collect()])) for p in parts]  # about chunk_chars / size bytes each
+
+
 _RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_FOUND = "doc_id {id}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
+_FOUND = "row long, doc_id {id}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Per row of docs and chunk of the benchmark: words, runs of hit words, items found, byte spans of the hits."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, -(-total * size // chunk_chars))
-    rows = ids_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id() if n_chunks > 1 else F.lit(0).cast("long"))
+    """Per row of docs: words, runs of hit words, items found, byte spans of the hits; rows of all chunks put together."""
+    found = chunks(benchmark, size, chunk_chars)
+    many = len(found) > 1
+    rows = ids_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id() if many else F.lit(0).cast("long"))
     kind = dict(rows.dtypes)["doc_id"]
-    parts = []
-    for chunk in range(n_chunks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_chunks)) == chunk) if n_chunks > 1 else items
-        held = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in mine.collect()])  # at most about chunk_chars / size bytes
-        parts.append(rows.mapInArrow(_scanner(held, f"{uuid.uuid4()}", size), f"row long, {_FOUND.format(id=kind)}"))
-    if n_chunks == 1:
+    parts = [rows.mapInArrow(_scanner(held, key, size), _FOUND.format(id=kind)) for key, held in found]
+    if not many:
         return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy("row", "doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
-    )
+    flat = lambda c: F.flatten(F.collect_list(c))
+    return reduce(DataFrame.unionByName, parts).groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), flat("runs").alias("runs"), F.array_distinct(flat("items")).alias("items"), flat("spans").alias("spans"))
 
 
 def _scanner(held, key: str, size: int):
     def run(source):
+        built = automaton(key, held.value, size)
         for batch in source:
-            built = automaton(key, held.value, size)
             n_words, runs, found, spans = [], [], [], []
             for text in batch.column("text").to_pylist():
                 n, hit, who = scan(text, built)
@@ -138,6 +139,20 @@ def _scanner(held, key: str, size: int):
     return run
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The rows of docs in which no window occurs; chunk after chunk of the benchmark drops its own."""
+    for key, held in chunks(benchmark, size, chunk_chars):
+
+        def run(source, key=key, held=held):
+            built = automaton(key, held.value, size)
+            for batch in source:
+                clean = [not scan(t.encode("utf-8") if t else None, built)[1] for t in batch.column(text_col).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def digest(hits: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from find_hits. Runs of several chunks may overlap."""
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, secrets, sharding, simhash, token_count, token_output, toxicity
+from . import decontam, html_text, packing, quality, secrets, sharding, simhash, token_count, token_output, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_html_extraction": html_text.query,
     "op3_token_counts": token_count.query,
     "op4_simhash": simhash.query,
     "op5_best_fit_packing": packing.query,

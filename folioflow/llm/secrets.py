@@ -130,29 +130,29 @@ def p_value(n: int, encoding: int, chi: float, changes: int, vowels: float, text
     return math.exp(-x) * (1 + x + x * x / 2)
 
 
-def _stratum(encoding: int, n: int) -> int:
-    return encoding * 8 + min(7, n // 8)
-
-
 _SCAN = "doc_id {id}, counters array<long>, base array<struct<start:int,kind:int,end:int>>, random array<struct<start:int,end:int,encoding:int,chi:double,changes:int,vowels:double>>"
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _RANDOM = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.int32()), ("chi", pa.float64()), ("changes", pa.int32()), ("vowels", pa.float64())]))
 
 
+def spans_and_candidates(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    spans, found = base_spans(text), []
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        if not m[0].isdigit() and all(b <= s or e <= a for s, _, e in spans):
+            encoding, chi, changes, vowels = battery(m[0])
+            found.append({"start": a, "end": b, "encoding": encoding, "chi": chi, "changes": changes, "vowels": vowels})
+    return spans, found
+
+
 def _scan(source):
     total, last = np.zeros(_COUNTERS, np.int64), None
     for batch in source:
         base, random = [], []
         for cell in batch.column("text"):
             text = cell.as_py() or ""
-            spans = base_spans(text)
+            spans, found = spans_and_candidates(text)
             count_text(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), total)
-            found = []
-            for m in _CANDIDATE.finditer(text):
-                a, b = m.span()
-                if not m[0].isdigit() and all(b <= s or e <= a for s, _, e in spans):
-                    encoding, chi, changes, vowels = battery(m[0])
-                    found.append({"start": a, "end": b, "encoding": encoding, "chi": chi, "changes": changes, "vowels": vowels})
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
             random.append(found)
         last = batch.column("doc_id").type
@@ -161,32 +161,83 @@ def _scan(source):
         yield pa.RecordBatch.from_arrays([pa.nulls(1, last), pa.array([total.tolist()], pa.list_(pa.int64())), pa.nulls(1, _BASE), pa.nulls(1, _RANDOM)], names=["doc_id", "counters", "base", "random"])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = FALSE_DISCOVERIES) -> DataFrame:
-    """doc_id and spans, an array of (start, kind, end) in order; kind counts KINDS."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    scanned = materialise(rows.mapInArrow(_scan, _SCAN.format(id=kind)))
+def learn(scanned: DataFrame, q: float = FALSE_DISCOVERIES) -> tuple[tuple, dict[int, float]]:
+    """What ordinary text looks like, and the least depth (-log10 p) that passes in each stratum."""
     sums = scanned.where("counters is not null").select(F.posexplode("counters").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # 262 rows
     counters = [0] * _COUNTERS
     for r in sums:
         counters[r["at"]] = r["n"]
     text = ordinary(counters)
 
-    @F.pandas_udf("array<double>")
-    def depths(random):
-        return random.map(lambda found: [min(_TOP, -math.log10(max(1e-300, p_value(c["end"] - c["start"], c["encoding"], c["chi"], c["changes"], c["vowels"], text)))) for c in found])
+    def bins(source):
+        for batch in source:
+            found = [judge(c, text) for cell in batch.column("random").to_pylist() for c in cell]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([int(d * _BINS) for _, d in found], pa.int32())], names=["stratum", "bin"])
 
-    judged = scanned.where("counters is null").withColumn("depth", F.when(F.size("random") > 0, depths("random")).otherwise(F.array().cast("array<double>")))
-    each = judged.where(F.size("random") > 0).select(F.explode(F.arrays_zip("random", "depth")).alias("c")).select(
-        (F.col("c.random.encoding") * 8 + F.least(F.lit(7), F.floor((F.col("c.random.end") - F.col("c.random.start")) / 8))).cast("int").alias("stratum"), F.floor(F.col("c.depth") * _BINS).cast("int").alias("bin")
-    )
+    each = scanned.where("counters is null and size(random) > 0").select("random").mapInArrow(bins, "stratum int, bin int")
     histogram = each.groupBy("stratum", "bin").count().collect()  # strata x bins rows at most
-    limits = thresholds([(r["stratum"], r["bin"], r["count"]) for r in histogram], q)
-    limit = F.create_map(*[F.lit(x) for s, d in limits.items() for x in (s, d)]) if limits else F.lit(None).cast("map<int,double>")
-    stratum = lambda c: (c["encoding"] * 8 + F.least(F.lit(7), F.floor((c["end"] - c["start"]) / 8))).cast("int")
-    kept = F.filter(F.arrays_zip("random", "depth"), lambda c: F.coalesce(c["depth"] >= F.element_at(limit, stratum(c["random"])), F.lit(False)))
-    added = F.transform(kept, lambda c: F.struct(c["random"]["start"].alias("start"), F.lit(3).alias("kind"), c["random"]["end"].alias("end")))
-    return judged.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return text, thresholds([(r["stratum"], r["bin"], r["count"]) for r in histogram], q)
+
+
+def judge(c: dict, text: tuple) -> tuple[int, float]:
+    """Stratum and depth of a candidate."""
+    n = c["end"] - c["start"]
+    p = p_value(n, c["encoding"], c["chi"], c["changes"], c["vowels"], text)
+    return c["encoding"] * 8 + min(7, n // 8), min(float(_TOP), -math.log10(max(1e-300, p)))
+
+
+def accepted(random: list[dict], learned: tuple) -> list[dict]:
+    """The candidates of a text that pass, as spans."""
+    text, limits = learned
+    out = []
+    for c in random:
+        stratum, depth = judge(c, text)
+        if depth >= limits.get(stratum, math.inf):
+            out.append({"start": c["start"], "kind": 3, "end": c["end"]})
+    return out
+
+
+def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The one scan of all texts, kept in the shared folder: base spans, candidates, counters."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return materialise(rows.mapInArrow(_scan, _SCAN.format(id=dict(rows.dtypes)["doc_id"])))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = FALSE_DISCOVERIES) -> DataFrame:
+    """doc_id, base and spans, arrays of (start, kind, end) in order; kind counts KINDS."""
+    scanned = scan_corpus(docs, id_col, text_col)
+    learned = learn(scanned, q)
+
+    def run(source):
+        for batch in source:
+            spans = [sorted(b + accepted(r, learned), key=lambda s: (s["start"], s["kind"])) for b, r in zip(batch.column("base").to_pylist(), batch.column("random").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(batch.column("base").to_pylist(), _BASE), pa.array(spans, _BASE)], names=["doc_id", "base", "spans"])
+
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    return scanned.where("counters is null").select("doc_id", "base", "random").mapInArrow(run, f"doc_id {dict(scanned.dtypes)['doc_id']}, base {kind}, spans {kind}")
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = FALSE_DISCOVERIES, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of docs with every span replaced by the mark; n_chars follows where the input has it."""
+    learned = learn(scan_corpus(docs, id_col, text_col), q)
+
+    def run(source):
+        for batch in source:
+            out = []
+            for text in batch.column(text_col).to_pylist():
+                if text:
+                    base, random = spans_and_candidates(text)
+                    spans = [(s, e) for s, _, e in base] + [(c["start"], c["end"]) for c in accepted(random, learned)]
+                    text = redact(text, sorted(spans), mark) if spans else text
+                out.append(text)
+            at = batch.schema.get_field_index(text_col)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            if (at := batch.schema.get_field_index("n_chars")) >= 0:
+                lengths = [None if t is None else len(t) for t in out]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(lengths, pa.int64()).cast(batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def thresholds(histogram: list[tuple[int, int, int]], q: float) -> dict[int, float]:

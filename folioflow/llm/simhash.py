@@ -160,16 +160,31 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def classes(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Adds root, one fingerprint that stands for the component, to the distinct fingerprints in column fp."""
+    roots = components(links(distinct, radius))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
     fps = materialise(fingerprints(docs, id_col, text_col, shingle))
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(distinct, radius))
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = classes(distinct, radius)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest id stays (nulls last)."""
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))
+    fps = materialise(fingerprints(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle))
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("key")))
+    first = classes(distinct, radius).groupBy("root").agg(F.min("key").alias("_key")).select("_key")
+    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
