@@ -123,9 +123,8 @@ def p_value(n: int, encoding: int, chi: float, changes: int, vowels: float, text
     p2 = 1.0 - sum(math.exp(-m + i * math.log(m) - math.lgamma(i + 1)) for i in range(changes)) if changes else 1.0
     if p2 < 1e-9:  # the sum has no digits left: bound of the tail
         p2 = min(1.0, math.exp(-m + changes * math.log(m) - math.lgamma(changes + 1)) * 2)
-    # vowel pairs: ordinary text has its own rate, random letters of the alphabet another; either direction counts
-    z = abs(vowels - (n - 1) * pair) / math.sqrt((n - 1) * pair * (1 - pair))
-    p3 = min(1.0, 2 * _normal_below(-z))
+    # pairs of vowels: keys have fewer of them than text
+    p3 = _normal_below((vowels + 0.5 - (n - 1) * pair) / math.sqrt((n - 1) * pair * (1 - pair)))
     x = -sum(math.log(max(p, 1e-60)) for p in (p1, p2, p3))
     return math.exp(-x) * (1 + x + x * x / 2)
 
