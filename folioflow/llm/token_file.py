@@ -10,9 +10,10 @@ BLOCK ids that know nothing of each other. Frame bytes, little-endian:
 
 Coding of an id. Order 2 and order 1 each predict the id that last followed the last two ids or the last id in this
 block, with a confidence of 0 to 7 that hits raise and misses lower; for each confidence an adaptive probability says
-how often such a prediction is right. Order 0 counts classes of ids (eight to an octave) and is uniform inside a class.
-The three shares are mixed into one interval of 2^30 and a 48-bit range coder with carries narrows its range to the
-id's part. Many blocks are coded side by side, a numpy array element each.
+how often such a prediction is right. Order 0 counts octaves of ids and the eight parts of each octave, and is uniform
+inside a part. The three shares are mixed into one interval of 2^30, of which order 0 keeps an eighth at least, and a
+48-bit range coder with carries narrows its range to the id's part. Many blocks are coded side by side, an element of
+a numpy array each.
 """
 
 from __future__ import annotations
@@ -23,89 +24,96 @@ import zlib
 import numpy as np
 
 MAGIC = b"FTK1"
-BLOCK = 2048
+BLOCK = 1024
 VOCABULARY = 1 << 16
 
-_TOTAL_BITS = 30
+_TOTAL = 1 << 30
+_ORDER0 = 1 << 27  # order 0's least share
 _LEAST_RANGE = np.int64(1 << 32)
-_SLOTS1, _SLOTS2 = 1024, 2048
+_SLOTS1, _SLOTS2 = 512, 1024
 _TOP = 7  # greatest confidence
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each id, and each class's first id and log2 of its size: four of 16, then eight to an octave."""
-    first, bits = [16 * k for k in range(4)], [4] * 4
-    for octave in range(6, 16):
-        for k in range(8):
-            first.append((1 << octave) + (k << (octave - 3)))
-            bits.append(octave - 3)
-    first, bits = np.array(first, np.int64), np.array(bits, np.int64)
-    return (np.searchsorted(first, np.arange(VOCABULARY), "right") - 1).astype(np.int64), first, bits
-
-
-_CLASS, _FIRST, _BITS = _classes()
-_N_CLASSES = len(_FIRST)
+_OCTAVES, _PARTS = 13, 8
+#: Octave 0 has the ids below 16 (parts of 2), octave k from 2^(k+3) on (parts of 2^k).
+_BITS = np.array([1, *range(1, 13)], np.int64)
+_FIRST = np.array([0, *(1 << k for k in range(4, 16))], np.int64)
+_OCTAVE = (np.searchsorted(_FIRST, np.arange(VOCABULARY), "right") - 1).astype(np.int64)
 _START = np.array([65535 * c / (c + 1.5) for c in range(_TOP + 1)], np.int64)
 
 
 class _Model:
-    """Predictors of `lanes` blocks at once. Entries of the tables: id * 8 + confidence."""
+    """Predictors of `lanes` blocks at once. Arrays of two rows hold order 1 and order 2; entries: id * 8 + confidence."""
 
     def __init__(self, lanes: int):
-        at = np.arange(lanes, dtype=np.int64)
+        at = np.arange(lanes, dtype=np.int32)
         self.lanes = lanes
-        self.one, self.two = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)
-        self.at1, self.at2 = at * _SLOTS1, at * _SLOTS2
-        self.sure1, self.sure2 = np.tile(_START, lanes), np.tile(_START, lanes)
-        self.at_sure = at * (_TOP + 1)
-        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.cum = np.tile(np.arange(_N_CLASSES + 1, dtype=np.uint16), (lanes, 1))  # counts below each class
+        self.held = np.zeros(lanes * (_SLOTS1 + _SLOTS2), np.int32)
+        self.at = np.stack([at * _SLOTS1, lanes * _SLOTS1 + at * _SLOTS2])
+        self.sure = np.tile(_START.astype(np.int32), 2 * lanes)
+        self.at_sure = np.stack([at * (_TOP + 1), (lanes + at) * (_TOP + 1)])
+        self.last, self.mixed = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.slot, self.p = np.zeros((2, lanes), np.intp), np.zeros((2, lanes), np.intp)
+        # counts below each octave (octaves are rows), and of parts up to each part of an octave as the bytes of a word
+        self.octaves = np.tile(np.arange(_OCTAVES + 1, dtype=np.int16)[:, None], (1, lanes))
+        self.parts = np.zeros(lanes * _OCTAVES, np.uint64)
+        self.at_parts = np.arange(lanes, dtype=np.int64) * _OCTAVES
 
     def predict(self) -> None:
-        """Sets the slots, predicted ids and shares of 2^30 (first: order 2, then order 1, the rest order 0)."""
-        last = self.last
-        self.slot1 = self.at1 + ((last * 40503 >> 4) & (_SLOTS1 - 1))
-        self.slot2 = self.at2 + ((last * 40503 + self.before * 60493 >> 5) & (_SLOTS2 - 1))
-        self.entry1, self.entry2 = self.one[self.slot1].astype(np.int64), self.two[self.slot2].astype(np.int64)
-        self.id1, self.id2 = self.entry1 >> 3, self.entry2 >> 3
-        self.conf1, self.conf2 = self.entry1 & 7, self.entry2 & 7
-        self.p1, self.p2 = self.at_sure + self.conf1, self.at_sure + self.conf2
-        self.q1, self.q2 = self.sure1[self.p1], self.sure2[self.p2]
-        # shares: at most 63/64 go to predictions, order 1 gets its part of what order 2 leaves
-        share2 = self.q2 * 16128  # of 65535 * 16384, about 2^30
-        self.share2 = np.where(self.conf2 > 0, share2, 0)
-        share1 = (((1 << _TOTAL_BITS) - self.share2) >> 16) * (self.q1 - (self.q1 >> 6))
-        self.share1 = np.where((self.conf1 > 0) & ~((self.id1 == self.id2) & (self.conf2 > 0)), share1, 0)
+        """Sets the slots, the predicted ids and their shares of 2^30; the rest is order 0's."""
+        now = self.last * np.int32(40503)
+        self.slot[0] = self.at[0] + ((now >> 4) & (_SLOTS1 - 1))
+        self.slot[1] = self.at[1] + ((now + self.mixed >> 5) & (_SLOTS2 - 1))
+        self.mixed = self.last * np.int32(60493)
+        self.entry = self.held.take(self.slot)
+        self.ids, self.conf = self.entry >> 3, self.entry & 7
+        np.add(self.at_sure, self.conf, out=self.p)
+        self.q = self.sure.take(self.p)
+        # confidence 0 has probability 0 and never learns, so that an empty slot has no share
+        self.share2 = self.q[1] * np.int32((_TOTAL - _ORDER0) >> 16)
+        self.share1 = (((_TOTAL - _ORDER0) - self.share2) >> 16) * self.q[0] * (self.ids[0] != self.ids[1])
         self.share12 = self.share1 + self.share2
 
-    def update(self, ids: np.ndarray, by0: np.ndarray) -> None:
-        """Learns the ids coded in this step; by0: the lanes where order 0 coded."""
-        for entry, conf, known, p, q, sure, slot, held in (
-            (self.entry1, self.conf1, self.id1, self.p1, self.q1, self.sure1, self.slot1, self.one),
-            (self.entry2, self.conf2, self.id2, self.p2, self.q2, self.sure2, self.slot2, self.two),
-        ):
-            hit = known == ids
-            sure[p] = q + (((hit * 65535) - q) >> 4)
-            raised = entry + (conf < _TOP)
-            kept = np.where(conf > 2, entry - 2, (ids << 3) + 1)
-            held[slot] = np.where(hit & (conf > 0), raised, kept)
-        if len(by0):
-            self.cum[by0] += np.arange(_N_CLASSES + 1) > _CLASS[ids[by0]][:, None]
-        self.before, self.last = self.last, ids
+    def update(self, ids: np.ndarray) -> None:
+        """Learns the ids coded in this step."""
+        hit = (self.ids == ids) & (self.conf > 0)
+        self.sure[self.p] = self.q + ((hit * np.int32(65535) - self.q) >> 4)
+        self.held[self.slot] = np.where(hit, self.entry + (self.conf < _TOP), np.where(self.conf > 2, self.entry - 2, (ids << 3) + 1))
+        self.last = ids
+
+    def count(self, by0: np.ndarray, octave: np.ndarray, row: np.ndarray, word: np.ndarray, part: np.ndarray) -> None:
+        """Counts what order 0 has coded; the parts of an octave are halved when a byte is full."""
+        seen = np.full(self.octaves.shape[1], _OCTAVES, np.int16)
+        seen[by0] = octave
+        self.octaves += _PLACES > seen
+        word = word + _ADD.take(part)
+        full = word >= _FULL
+        if full.any():
+            word = np.where(full, (word >> np.uint64(1)) & _HALVES, word)
+        self.parts[row] = word
 
     def keep(self, n: int) -> None:
         """Goes on with the first n lanes."""
-        for name in ("at1", "at2", "at_sure", "before", "last"):
-            setattr(self, name, getattr(self, name)[:n])
-        self.cum = self.cum[:n]
+        for name in ("at", "at_sure", "at_parts", "last", "mixed", "slot", "p", "octaves"):
+            setattr(self, name, getattr(self, name)[..., :n])
+        self.slot, self.p = self.slot.copy(), self.p.copy()
         self.lanes = n
 
 
-def _order0(model: _Model, by0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts below each class, and the width of one count in the order-0 share, of some lanes."""
-    cum = model.cum[by0].astype(np.int64)
-    rest = (1 << _TOTAL_BITS) - model.share12[by0]
-    return cum, rest // cum[:, -1], rest
+_PLACES = np.arange(_OCTAVES + 1, dtype=np.int16)[:, None]
+#: 1 in byte k and all bytes above; the greatest byte is byte 7.
+_ADD = np.array([sum(1 << (8 * i) for i in range(k, 8)) for k in range(8)], np.uint64)
+_FULL, _HALVES = np.uint64(0xFF << 56), np.uint64(0x7F7F7F7F7F7F7F7F)
+_UP_TO = np.arange(1, _PARTS + 1, dtype=np.int16)
+
+
+def _parts_of(words: np.ndarray) -> np.ndarray:
+    """Counts up to each part, one added for each part, as n x 8."""
+    return words.view(np.uint8).reshape(-1, 8) + _UP_TO
+
+
+def _narrow(below: np.ndarray, above: np.ndarray, total: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The interval of counts below..above of a total inside start..start + width."""
+    unit = width // total
+    return start + below * unit, (above - below) * unit
 
 
 def _lengths(n_ids: int) -> np.ndarray:
@@ -120,7 +128,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     lanes = len(lengths)
     if not lanes:
         return lengths, []
-    grid = np.zeros(lanes * BLOCK, np.int64)
+    grid = np.zeros(lanes * BLOCK, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     model = _Model(lanes)
@@ -135,20 +143,28 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
             low, rng, put = low[:-1], rng[:-1], put[:-1]
         now = grid[step, : model.lanes]
         model.predict()
-        is2 = (now == model.id2) & (model.share2 > 0)
-        is1 = (now == model.id1) & (model.share1 > 0) & ~is2
-        start, width = np.where(is2, 0, model.share2), np.where(is2, model.share2, model.share1)
+        is2 = (now == model.ids[1]) & (model.share2 > 0)
+        is1 = (now == model.ids[0]) & (model.share1 > 0) & ~is2
+        start, width = np.where(is2, np.int32(0), model.share2), np.where(is2, model.share2, model.share1)
         by0 = np.flatnonzero(~(is1 | is2))
         if len(by0):
-            cum, unit, _ = _order0(model, by0)
-            want = now[by0]
-            kind = _CLASS[want]
-            row = np.arange(len(by0))
-            below = cum[row, kind]
-            each = ((cum[row, kind + 1] - below) * unit) >> _BITS[kind]
-            start[by0] = model.share12[by0] + below * unit + (want - _FIRST[kind]) * each
-            width[by0] = each
-        part = rng >> _TOTAL_BITS
+            want = now.take(by0).astype(np.int64)
+            octave = _OCTAVE.take(want)
+            bits = _BITS.take(octave)
+            inside = want - _FIRST.take(octave)
+            part8 = inside >> bits
+            row, share = model.at_parts.take(by0) + octave, model.share12.take(by0).astype(np.int64)
+            below, above, total = (model.octaves[o, by0].astype(np.int64) for o in (octave, octave + 1, _OCTAVES))
+            at, wide = _narrow(below, above, total, share, _TOTAL - share)
+            word, shift = model.parts.take(row), (part8 << 3).astype(np.uint64)
+            above = ((word >> shift) & np.uint64(255)).astype(np.int64) + part8 + 1
+            below = (((word << np.uint64(8)) >> shift) & np.uint64(255)).astype(np.int64) + part8
+            at, wide = _narrow(below, above, (word >> np.uint64(56)).astype(np.int64) + _PARTS, at, wide)
+            wide >>= bits
+            start[by0] = at + (inside - (part8 << bits)) * wide
+            width[by0] = wide
+            model.count(by0, octave, row, word, part8)
+        part = rng >> 30
         low = low + start * part
         rng = width * part
         small = np.flatnonzero(rng < _LEAST_RANGE)
@@ -158,7 +174,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
             low[small] = (low[small] & 0xFFFFFFFF) << 16
             rng[small] <<= 16
             small = small[rng[small] < _LEAST_RANGE]
-        model.update(now, by0)
+        model.update(now)
     last_low[: len(low)], last_put[: len(put)] = low, put
     # one more digit names a point inside the last range; then carries go up
     flat[last_put] = (last_low + 0xFFFFFFFF) >> 32
@@ -183,31 +199,41 @@ def decode_blocks(lengths: np.ndarray, blocks: list[bytes]) -> np.ndarray:
     value = (flat[:lanes] << 32) + (flat[lanes : 2 * lanes] << 16) + flat[2 * lanes : 3 * lanes]
     get = np.arange(lanes, dtype=np.int64) + 3 * lanes
     rng = np.full(lanes, (1 << 48) - 1, np.int64)
-    grid = np.zeros((BLOCK, lanes), np.int64)
+    grid = np.zeros((BLOCK, lanes), np.int32)
     model = _Model(lanes)
     for step in range(int(lengths[0])):
         if step == lengths[-1] and lanes > 1 and model.lanes == lanes:
             model.keep(lanes - 1)
             value, rng, get = value[:-1], rng[:-1], get[:-1]
         model.predict()
-        part = rng >> _TOTAL_BITS
+        part = rng >> 30
         is2 = value < model.share2 * part
         in12 = value < model.share12 * part
-        start, width = np.where(is2, 0, model.share2), np.where(is2, model.share2, model.share1)
-        now = np.where(is2, model.id2, model.id1)
+        start, width = np.where(is2, np.int32(0), model.share2), np.where(is2, model.share2, model.share1)
+        now = np.where(is2, model.ids[1], model.ids[0])
         by0 = np.flatnonzero(~in12)
         if len(by0):
-            cum, unit, _ = _order0(model, by0)
-            at = value[by0] // part[by0] - model.share12[by0]
-            row = np.arange(len(by0))
-            count = np.minimum(at // unit, cum[:, -1] - 1)
-            kind = (cum <= count[:, None]).sum(axis=1) - 1
-            below = cum[row, kind]
-            each = ((cum[row, kind + 1] - below) * unit) >> _BITS[kind]
-            inside = np.minimum((at - below * unit) // each, (1 << _BITS[kind]) - 1)
-            now[by0] = _FIRST[kind] + inside
-            start[by0] = model.share12[by0] + below * unit + inside * each
-            width[by0] = each
+            each, share = np.arange(len(by0)), model.share12.take(by0).astype(np.int64)
+            find = value.take(by0) // part.take(by0)
+            octaves = model.octaves.take(by0, axis=1)
+            total, wide = octaves[-1].astype(np.int64), _TOTAL - share
+            octave = (octaves <= np.minimum((find - share) // (wide // total), total - 1).astype(np.int16)).sum(axis=0) - 1
+            at, wide = _narrow(octaves[octave, each].astype(np.int64), octaves[octave + 1, each].astype(np.int64), total, share, wide)
+            row = model.at_parts.take(by0) + octave
+            word = model.parts.take(row)
+            parts = _parts_of(word)
+            total = parts[:, -1].astype(np.int64)
+            part8 = (parts <= np.minimum((find - at) // (wide // total), total - 1).astype(np.int16)[:, None]).sum(axis=1)
+            above = parts[each, part8].astype(np.int64)
+            below = np.where(part8 > 0, parts[each, part8 - 1], 0).astype(np.int64)
+            at, wide = _narrow(below, above, total, at, wide)
+            bits = _BITS.take(octave)
+            wide >>= bits
+            inside = np.minimum((find - at) // wide, (1 << bits) - 1)
+            now[by0] = _FIRST.take(octave) + (part8 << bits) + inside
+            start[by0] = at + inside * wide
+            width[by0] = wide
+            model.count(by0, octave, row, word, part8)
         value = value - start * part
         rng = width * part
         small = np.flatnonzero(rng < _LEAST_RANGE)
@@ -216,7 +242,7 @@ def decode_blocks(lengths: np.ndarray, blocks: list[bytes]) -> np.ndarray:
             get[small] += lanes
             rng[small] <<= 16
             small = small[rng[small] < _LEAST_RANGE]
-        model.update(now, by0)
+        model.update(now)
         grid[step, : model.lanes] = now
     return grid.T.reshape(-1)[: int(lengths.sum())]
 

@@ -24,7 +24,7 @@ from .token_file import read_frame, write_frame
 from .tokenizing import encoder
 
 END = b"\0\0\0\0"
-FRAME = 4_000_000
+FRAME = 8_000_000
 
 
 def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", frame: int = FRAME) -> None:
