@@ -56,37 +56,53 @@ def without(text: Column, parts) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p), F.lit("")), parts, text)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: bound to a lambda variable, which no optimizer rule takes apart again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words inside 3-word windows that are found twice or more."""
+
+    def covered(starts):
+        # each start covers three words, or as many as there are before the next start
+        each = F.transform(starts, lambda s, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1), s + 3) - s))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def starts(ordered):
+        # windows in order of their hash: equal ones are neighbours, and keep the place where they start
+        same = lambda x, j: (x["h"] == F.get(ordered, j - 1)["h"]) | (x["h"] == F.get(ordered, j + 1)["h"])
+        return F.sort_array(F.transform(F.filter(ordered, lambda x, j: F.coalesce(same(x, j), F.lit(False))), lambda x: x["i"]))
+
+    def of(windows):
+        ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        found = let(ordered, lambda o: let(starts(o), covered))
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), found).otherwise(F.lit(0).cast("long"))
+
+    hashes = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return let(hashes, of)
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base measures and the ratios that RULES names."""
-    held = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    held = held.withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != ""))
-    held = held.withColumn("n_words", F.size("_words").cast("long"))
-    windows = F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
-    held = held.withColumn("_windows", windows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    held = held.withColumn("_lines", lines)
-    # windows in order of their hash: equal ones are neighbours, and keep the place where they start
-    ordered = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    held = held.withColumn("_ordered", F.when(repeated, ordered))
-    same = lambda x, j: (x["h"] == F.get("_ordered", j - 1)["h"]) | (x["h"] == F.get("_ordered", j + 1)["h"])
-    starts = F.sort_array(F.transform(F.filter("_ordered", lambda x, j: F.coalesce(same(x, j), F.lit(False))), lambda x: x["i"]))
-    held = held.withColumn("_starts", starts)
-    # each start covers three words, or as many as there are before the next start
-    covered = F.transform("_starts", lambda s, k: F.least(F.lit(3), F.coalesce(F.get("_starts", k + 1), s + 3) - s))
-    covered = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    text, words = F.col("_text"), F.col("_words")
+    stop = lambda w: F.lower(F.rtrim(w, F.lit(".,;:?!"))).isin(*STOP_WORDS)
+    text = F.col("_text")
+    of_words = let(
+        F.filter(F.split("_text", SPACE), lambda w: w != ""),
+        lambda words: F.struct(
+            F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), repeat_words(words).alias("n_repeat_words"),
+            F.size(F.filter(words, lambda w: w == "|")).alias("_bars"), F.size(F.filter(words, stop)).alias("_stops"),
+        ),
+    )
+    of_lines = let(lines, lambda held: F.struct(F.size(held).cast("long").alias("n_lines"), (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("n_dup_lines")))
+    held = held.withColumn("_w", of_words).withColumn("_l", of_lines)
     held = held.select(
-        "doc_id", "n_words",
-        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(without(text, "#*$%&|<>"))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.length(text) - F.length(without(text, ["!!"]))).alias("_emphasis"),
-        F.size(F.filter(words, lambda w: w == "|")).alias("_bars"),
-        F.size(F.filter(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:?!"))).isin(*STOP_WORDS))).alias("_stops"),
-    )
+        "doc_id", "_w.n_words", "_w.word_chars", (F.length(text) - F.length(without(text, "#*$%&|<>"))).cast("long").alias("n_symbols"),
+        "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", (F.length(text) - F.length(without(text, ["!!"]))).alias("_emphasis"), "_w._bars", "_w._stops",
+    )
     n = F.col("n_words")
     return held.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
