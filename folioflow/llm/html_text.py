@@ -122,7 +122,7 @@ def blocks_of(page: str | None) -> list[Block]:
 
 def features(blocks: list[Block]) -> list[set[str]]:
     out = []
-    for k, b in enumerate(blocks):
+    for b in blocks:
         n = b.text.count(" ") + 1
         found = set(b.path)
         found |= {f"in:{b.tag}", f"words:{min(6, n.bit_length())}", f"links:{int(4 * b.linked)}", "bias"}
@@ -130,10 +130,6 @@ def features(blocks: list[Block]) -> list[set[str]]:
             found.add("stop")
         if "©" in b.text or "®" in b.text:
             found.add("rights")
-        if k == 0:
-            found.add("first")
-        if k == len(blocks) - 1:
-            found.add("last")
         out.append(found)
     return out
 
