@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _WITH_SPACE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 _CLOSING = ".,!?;:"
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _alphabet() -> dict[int, str]:
@@ -28,6 +28,7 @@ def _alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _alphabet()
+_BLANK = _ALPHABET[32]
 
 
 class Memory(dict):
@@ -41,10 +42,14 @@ class Memory(dict):
 
     def whole(self, text: str) -> bytes:
         word = text[1:] if text[0] == " " else text
-        if word.isalpha() and max(word) <= "\xff" and (word is text or self.blanks) and (self.blanks or word.islower()):
-            # one run of letters is one unit to the merges, and needs no normalising
-            found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))
-            return array("I", [t.id for t in found]).tobytes()
+        if word.isalpha() and (word is text or self.blanks) and (self.blanks or word.islower()):
+            # one run of letters is one unit to the merges, and below U+0100 needs no normalising
+            if word.isascii():
+                written = text if word is text else _BLANK + word
+            else:
+                written = text.encode().decode("latin-1").translate(_ALPHABET) if max(word) <= "\xff" else None
+            if written is not None:
+                return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
