@@ -33,12 +33,29 @@ class Collection:
     unique: bool = True  # ids are known to be unique
 
 
+class Catalog(dict):
+    """Things by name; those that are declared by a function are made when they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.builders: dict[str, Callable] = {}
+
+    def __missing__(self, name: str):
+        if name not in self.builders:
+            raise KeyError(name)
+        self[name] = self.builders[name]()
+        return self[name]
+
+
 class Engine:
     """Collections and dictionaries by name."""
 
     def __init__(self):
-        self.collections: dict[str, Collection] = {}
-        self.dictionaries: dict[str, DataFrame] = {}
+        self.collections, self.dictionaries = Catalog(), Catalog()
+
+    def declare(self, name: str, build: Callable[[], Collection]) -> None:
+        """A collection that is read when a query first needs it."""
+        self.collections.builders[name] = build
 
     def add(self, collection: Collection) -> Collection:
         for path, ref in collection.references.items():

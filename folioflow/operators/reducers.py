@@ -79,12 +79,15 @@ def group_rows(df: DataFrame, path: str, spec: dict[str, Reducer], seq: str | No
     """One row a key, named as the last segment of the path, in the order keys were first seen if seq orders rows.
 
     Partial aggregates run before the shuffle, so that a hot key moves a row a task. The ceiling is checked on the
-    result, and only if it is set.
+    result, which is kept for that; at cluster scale turn it off (None) to aggregate lazily.
     """
     name = path if "." not in path else path.split(".")[-1]
     grouped = df.groupBy(column_at(df.schema, path).alias(name))
     order = [F.min(seq).alias("_first")] if seq else []
     out = grouped.agg(*[r.column(df).alias(n) for n, r in spec.items()], *order)
-    if max_groups is not None and out.limit(max_groups + 1).count() > max_groups:
-        raise RowCeiling(f"more than {max_groups} groups of {path!r}")
+    if max_groups is not None:
+        out = out.persist()  # the few groups that pass the check are not computed again
+        if out.limit(max_groups + 1).count() > max_groups:
+            out.unpersist()
+            raise RowCeiling(f"more than {max_groups} groups of {path!r}")
     return out.orderBy("_first").drop("_first") if seq else out

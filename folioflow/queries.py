@@ -38,18 +38,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """The driver tables as collections with their references."""
     e, t = Engine(), lambda n: read(spark, sf_dir, n)
-    e.add(Collection("region", t("region"), "r_regionkey"))
-    e.add(Collection("nation", t("nation"), "n_nationkey", references={"n_regionkey": ("region", "warn")}))
-    e.add(Collection("customer", t("customer"), "c_custkey", references={"c_nationkey": ("nation", "warn")}))
-    e.add(Collection("part", t("part"), "p_partkey"))
-    e.add(Collection("supplier", t("supplier"), "s_suppkey", references={"s_nationkey": ("nation", "warn")}))
-    e.add(Collection("orders", t("orders"), "o_orderkey", "o_orderkey", {"o_custkey": ("customer", "warn")}, {"o_orderstatus": "status"}, ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
-    e.add(Collection("lineitem", t("lineitem"), "l_orderkey", None, {"l_partkey": ("part", "warn"), "l_orderkey": ("orders", "warn"), "l_suppkey": ("supplier", "warn")}))
-    labelled = t("documents").select("doc_id", "lang", "source", "n_chars").join(t("labels"), "doc_id", "left")
-    e.add(Collection("labelled", labelled, "doc_id", "doc_id"))
-    e.add(Collection("events", t("events").withColumn("props", F.from_json("props", "k int")), "event_id", "event_id"))
-    rows = [("F", {"en": "finished", "th": "เสร็จ"}), ("O", {"en": "open"}), ("P", {"en": "", "th": "รอ"})]
-    e.dictionaries["status"] = spark.createDataFrame(rows, "key string, labels map<string,string>")
+    table = lambda name, *more, **named: e.declare(name, lambda: Collection(name, t(name), *more, **named))
+    table("region", "r_regionkey")
+    table("nation", "n_nationkey", references={"n_regionkey": ("region", "warn")})
+    table("customer", "c_custkey", references={"c_nationkey": ("nation", "warn")})
+    table("part", "p_partkey")
+    table("supplier", "s_suppkey", references={"s_nationkey": ("nation", "warn")})
+    table("orders", "o_orderkey", "o_orderkey", {"o_custkey": ("customer", "warn")}, {"o_orderstatus": "status"}, ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    table("lineitem", "l_orderkey", None, {"l_partkey": ("part", "warn"), "l_orderkey": ("orders", "warn"), "l_suppkey": ("supplier", "warn")})
+    e.declare("labelled", lambda: Collection("labelled", t("documents").select("doc_id", "lang", "source", "n_chars").join(t("labels"), "doc_id", "left"), "doc_id", "doc_id"))
+    e.declare("events", lambda: Collection("events", t("events").withColumn("props", F.from_json("props", "k int")), "event_id", "event_id"))
+    status = "SELECT * FROM VALUES ('F', map('en', 'finished', 'th', 'เสร็จ')), ('O', map('en', 'open')), ('P', map('en', '', 'th', 'รอ')) AS d(key, labels)"
+    e.dictionaries.builders["status"] = lambda: spark.sql(status)
     return e
 
 
