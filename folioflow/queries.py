@@ -11,7 +11,7 @@ from .functions import files, i18n
 from .operators import diff, joins, merge, periods, versions
 from .operators import reducers as R
 from .operators.query import Collection, Engine, Query
-from .plans import JoinLeg
+from .plans import JoinLeg, adapters
 from .sources import exports, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,9 +438,9 @@ import_query("replace", "change <> 'deleted'", "new_bal")
 import_query("insert-only", "true", "coalesce(old_bal, new_bal)")
 
 
-@query("json_patch_balances", f"SELECT c_custkey, '[{{\"op\": \"replace\", \"path\": \"/c_name\", \"value\": \"' || 'x' || c_custkey || '\"}}]' AS patch FROM customer WHERE c_custkey % 7 = 0")
-def json_patch_balances(s, d):
-    c = read(s, d, "customer").where("c_custkey % 7 = 0")
+@query("json_patch_names", f"SELECT c_custkey, '[{{\"op\": \"replace\", \"path\": \"/c_name\", \"value\": \"' || 'x' || c_custkey || '\"}}]' AS patch FROM customer")
+def json_patch_names(s, d):
+    c = read(s, d, "customer")
     doc = F.to_json(F.struct("c_custkey", "c_name"))
     return c.select("c_custkey", diff.patch_of(doc, F.to_json(F.struct("c_custkey", F.concat(F.lit("x"), F.col("c_custkey")).alias("c_name")))).alias("patch"))
 
@@ -647,6 +647,26 @@ def store_metrics(s, d):
     return stores.op_metrics(calls).drop("p90").withColumns({c: F.round(c, 4) for c in ("p50", "p99", "max", "avg")})
 
 
+# plans from elsewhere
+
+
+@query("rest_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+def rest_where(s, d):
+    return adapters.from_params(engine(s, d).query("orders"), {"where": ["o_orderstatus:eq:F", "o_totalprice:gte:1000"], "orderBy": "o_totalprice:desc", "limit": "30"}).to_df().select("o_orderkey", "o_totalprice")
+
+
+@query("table_state", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority = '2-HIGH' ORDER BY o_orderkey DESC LIMIT 20 OFFSET 40")
+def table_state(s, d):
+    state = {"columnFilters": [{"id": "o_orderstatus", "value": ["O", "P"]}, {"id": "o_orderpriority", "value": "2-HIGH"}, {"id": "o_custkey", "value": ""}], "sorting": [{"id": "o_orderkey", "desc": True}], "pagination": {"pageIndex": 2, "pageSize": 20}}
+    return adapters.from_table_state(engine(s, d).query("orders"), state).to_df().select("o_orderkey", "o_orderpriority")
+
+
+@query("digest_lookup", "SELECT c_custkey, c_name FROM customer WHERE sha256(c_mktsegment) = sha256('BUILDING')")
+def digest_lookup(s, d):
+    """Equality search on a digest column, as over fields that are stored encrypted."""
+    return read(s, d, "customer").where(F.sha2("c_mktsegment", 256) == F.sha2(F.lit("BUILDING"), 256)).select("c_custkey", "c_name")
+
+
 # streaming
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from folioflow.operators.predicates import compile_clause
 from folioflow.operators.query import Collection, Engine
 from folioflow.operators.errors import IndexRequired, UndeclaredReference
-from folioflow.plans import FieldClause, GroupClause
+from folioflow.plans import FieldClause, GroupClause, adapters
 
 SCHEMA = T.StructType(
     [
@@ -119,3 +119,13 @@ def test_plan_and_errors(spark):
     rows, cursor = e.query("c").page_after(None, 10)
     assert [r["id"] for r in rows] == list(range(10)) and cursor == 9
     assert sum(1 for _ in e.query("c").pages()) == len(ROWS)
+
+
+def test_adapters_round_trip(spark):
+    e = Engine()
+    e.add(Collection("c", spark.createDataFrame(ROWS, SCHEMA), "id", "id"))
+    state = {"columnFilters": [{"id": "status", "value": ["open", "paid"]}], "sorting": [{"id": "year", "desc": True}], "pagination": {"pageIndex": 1, "pageSize": 5}}
+    assert adapters.to_table_state(adapters.from_table_state(e.query("c"), state)) == state
+    assert adapters.coerce("true") is True and adapters.coerce("1.5") == 1.5 and adapters.coerce("1x") == "1x" and adapters.coerce("") == ""
+    with pytest.raises(ValueError):
+        adapters.from_params(e.query("c"), {"where": "a:like:b"})
