@@ -43,7 +43,7 @@ RULES = (
     Rule("bars_per_word", most=0.25),
     Rule("stop_words_per_word", least=0.02),
     Rule("chars_per_word", least=2.0, most=14.0),
-    Rule("dup_lines_per_line", most=0.30),
+    Rule("dup_lines_per_line", most=0.50),
     Rule("repeats_per_word", most=0.30),
 )
 
