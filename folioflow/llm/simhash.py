@@ -2,8 +2,7 @@
 
 Distinct fingerprints only are compared. A tile holds fingerprints of one population count; two fingerprints within the
 radius have counts at most the radius apart, so that all other tile pairs are skipped. Inside a pair the same rule
-holds for the two 32-bit halves: rows are sorted by the count of the high half and compared with the slice of rows
-whose halves can be near enough. Tiles beyond BLOCK fingerprints are cut into blocks by hash; the pairs of blocks are
+holds for the four 16-bit quarters: their differences in counts must sum up to the radius at most. Tiles beyond BLOCK fingerprints are cut into blocks by hash; the pairs of blocks are
 spread over the cluster, and a task gives back a spanning forest of the links it found, never the links of a group.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words than a shingle make
@@ -59,23 +58,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
+def _quarters(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct bit counts of the four 16-bit quarters (n x 4), and which of them each fingerprint has."""
+    counts = np.bitwise_count(v.view(np.uint16).reshape(-1, 4))
+    keys, which = np.unique(np.ascontiguousarray(counts).view(np.uint32).ravel(), return_inverse=True)
+    return keys.view(np.uint8).reshape(-1, 4).astype(np.int16), which
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
-    """Arrays (x, y) of fingerprints of a and b that differ in 1 to radius bits, slice by slice."""
-    high = lambda v: np.bitwise_count(v >> np.uint64(32)).astype(np.int64)
-    ha, hb = high(a), high(b)
-    a, b = a[np.argsort(ha, kind="stable")], b[np.argsort(hb, kind="stable")]
-    ha, hb = np.sort(ha), np.sort(hb)
-    for h in np.unique(ha):
-        mine = a[ha == h]
-        other = b[np.searchsorted(hb, h - radius) : np.searchsorted(hb, h + radius, "right")]
-        if not len(other):
+    """Arrays (x, y) of fingerprints of a and b that differ in 1 to radius bits, quarter counts by quarter counts."""
+    (keys_a, of_a), (keys_b, of_b) = _quarters(a), _quarters(b)
+    order = np.argsort(of_a, kind="stable")
+    ends = np.cumsum(np.bincount(of_a, minlength=len(keys_a)))
+    for k, end in enumerate(ends.tolist()):
+        near_keys = np.abs(keys_b - keys_a[k]).sum(axis=1) <= radius
+        if not near_keys.any():
             continue
-        low_gap = np.abs(np.bitwise_count(other & np.uint64(0xFFFFFFFF)).astype(np.int64) - int(np.bitwise_count(mine[0] & np.uint64(0xFFFFFFFF))))
-        other = other[low_gap + np.abs(high(other) - h) <= radius] if len(mine) else other
-        step = max(1, 262_144 // max(1, len(other)))
+        mine, other = a[order[(ends[k - 1] if k else 0) : end]], b[near_keys[of_b]]
+        step = max(1, 131_072 // len(other))
         for i in range(0, len(mine), step):
             rows = mine[i : i + step]
             near = np.bitwise_count(rows[:, None] ^ other[None, :]) <= radius
+            if not near.any():
+                continue
             x, y = np.nonzero(near)
             x, y = rows[x], other[y]
             keep = (x < y) if same else (x != y)
