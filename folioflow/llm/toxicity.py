@@ -1,9 +1,11 @@
 """Toxicity by a noisy channel: restore disguised words, then score the restored text.
 
 Channel. A character of a disguised word may stand for itself or, at a cost, for the letters it looks like (LOOKS); a
-run of three or more equal characters stands for one or two of them; single letters in a row, kept apart by blanks or
-signs, stand for one word. Viterbi decoding over the lattice of readings maximises channel and character trigrams,
-which are counted over all texts. Only words that carry such signs are decoded; the others are their own restoration.
+run of two or more equal characters stands for one or two of them; single letters in a row, kept apart by one or more
+blanks or signs, stand for words: the same search also sets the blanks between them. Viterbi decoding over the lattice
+of readings maximises channel and character trigrams, which are counted over all texts. Only words that carry such signs
+are decoded, of any length: a place has few readings and the search keeps one path for each two last symbols, so that
+its work is linear. The others are their own restoration.
 
 Score. Restored words give features (the word, its beginnings, its inner character sequences). Counts of documents
 by label choose the SELECTED features with the greatest likelihood ratio; a logistic regression over their presence
@@ -40,9 +42,10 @@ _LOOK_COST = 1.0
 _SIZE = 32  # symbols of the language model: 0 outside words, 1-26 letters, 27 letters from U+0080 on, 28 digits, 29 others
 _SYMBOL = np.array([27 if c >= 128 else 28 if 48 <= c <= 57 else (c | 32) - 96 if chr(c).isalpha() else 0 if c <= 32 else 29 for c in range(256)], np.int64)
 
-_APART = re.compile(r"(?<!\w)(?:\w[ .\-_*]){2,}\w(?!\w)")
+_APART = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]++){2,}[^\W_](?![^\W_])")
+_GAP = re.compile(r"[\s.\-_*]+")
 _TOKEN = re.compile(r"[^\s,;:?\"“”()\[\]{}<>/\\]+")
-_RUN = re.compile(r"(.)\1{2,}")
+_RUN = re.compile(r"(.)\1+")
 _SIGN = re.compile(r"[0-9@$!|+€(*#]")
 
 
@@ -78,37 +81,60 @@ def trigrams(docs: DataFrame) -> np.ndarray:
     return np.log((counts + 5 * lower) / (counts.sum(2, keepdims=True) + 5))
 
 
-def readings(word: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each place of the word (runs made one place) the strings it may stand for, with costs."""
+def readings(word: str, blanks: bool = False) -> list[list[tuple[str, float]]]:
+    """The lattice: for each place of the word (runs made one place) the strings it may stand for, with costs.
+
+    With blanks, any place but the first may also begin a new word.
+    """
     places, at = [], 0
     for m in _RUN.finditer(word):
-        places += [(c, 1) for c in word[at : m.start()]] + [(m[1], 3)]
+        places += [(c, 1) for c in word[at : m.start()]] + [(m[1], m.end() - m.start())]
         at = m.end()
     places += [(c, 1) for c in word[at:]]
     out = []
     for c, n in places:
-        ways = [(c, 0.0)] if n == 1 else [(c, 0.0), (c + c, 0.5)]
-        ways += [(x, _LOOK_COST) for x in LOOKS.get(c, "")]
+        looks = [(x, _LOOK_COST) for x in LOOKS.get(c, "")]
+        if n == 2:
+            one = [(c, 0.0), *looks]
+            ways = [(c, 0.5), *looks, *((x + y, i + j) for x, i in one for y, j in one)]
+        else:
+            ways = [(c, 0.0), *([(c + c, 0.5)] if n > 2 else []), *looks]
+        if blanks and out:
+            ways += [(" " + x, k) for x, k in ways]
+            if n == 2:
+                ways.append((c + " " + c, 0.0))
         out.append(ways)
     return out
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """Viterbi decoding of a word; states are the last two symbols."""
-    states = {(0, 0): (0.0, "")}
-    for ways in readings(word):
+def flat(model: np.ndarray) -> list[float]:
+    """The model as restore reads it fastest."""
+    return model.ravel().tolist()
+
+
+def restore(word: str, model, blanks: bool = False) -> str:
+    """Viterbi decoding of a word under a model or its flat list; states are the last two symbols, texts are chains."""
+    logs = flat(model) if isinstance(model, np.ndarray) else model
+    states: dict = {0: (0.0, None)}  # the last two symbols as one number
+    for ways in readings(word, blanks):
+        steps = [([symbol(c) for c in way], cost, way) for way, cost in ways]
         following: dict = {}
-        for (a, b), (score, text) in states.items():
-            for way, cost in ways:
-                x, y, total = a, b, score - cost
-                for c in way:
-                    k = symbol(c)
-                    total += model[x, y, k]
-                    x, y = y, k
-                if (x, y) not in following or total > following[x, y][0]:
-                    following[x, y] = (total, text + way)
+        for state, (score, chain) in states.items():
+            for symbols, cost, way in steps:
+                at, total = state, score - cost
+                for k in symbols:
+                    at = at * _SIZE + k
+                    total += logs[at]
+                    at %= _SIZE * _SIZE
+                if at not in following or total > following[at][0]:
+                    following[at] = (total, (chain, way))
         states = following
-    return max(((score + model[a, b, 0], text) for (a, b), (score, text) in states.items()), default=(0.0, ""))[1]
+    _, chain = max(((score + logs[at * _SIZE], chain) for at, (score, chain) in states.items()), key=lambda x: x[0])
+    found = []
+    while chain is not None:
+        chain, way = chain
+        found.append(way)
+    return "".join(reversed(found))
 
 
 def features(word: str) -> list[int]:
@@ -124,11 +150,11 @@ class Reader(dict):
 
     def __init__(self, model: np.ndarray, chosen: dict[int, int] | None):
         super().__init__()
-        self.model, self.chosen = model, chosen
+        self.model, self.chosen = flat(model), chosen
 
     def word(self, token: str) -> str:
         word = token.strip(".,!?-_*'’")
-        if len(word) <= 40 and ((_SIGN.search(word) and any(c.isalpha() for c in word)) or _RUN.search(word)):
+        if (_SIGN.search(word) and any(c.isalpha() for c in word)) or _RUN.search(word):
             word = restore(word, self.model)
         return word
 
@@ -142,6 +168,13 @@ class Reader(dict):
             self[token] = found
         return found
 
+    @staticmethod
+    def spaced(run: str) -> list[str]:
+        """The letters of a spaced-out run, in parts if some gaps are wider than others."""
+        least = min(map(len, _GAP.findall(run)))
+        parts = [_GAP.sub("", p) for p in re.split(rf"[\s.\-_*]{{{least + 1},}}", run)]
+        return [p for p in dict.fromkeys([*parts, "".join(parts)]) if len(set(p)) > 1]
+
     def read(self, text: str | None) -> set[int]:
         if not text:
             return set()
@@ -151,9 +184,10 @@ class Reader(dict):
             if f:
                 found.update(f)
         for m in _APART.finditer(text):
-            letters = re.sub(r"[ .\-_*]", "", m[0])
-            if len(letters) <= 40 and len(set(letters)) > 1:
+            for letters in self.spaced(m[0]):
                 found.update(self[restore(letters, self.model)])
+                for word in restore(letters, self.model, blanks=True).split():
+                    found.update(self[word])
         return found
 
 
