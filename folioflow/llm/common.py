@@ -19,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, own temp only if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves in local mode, where driver and executors are one process; on a cluster
+    that is an error, since executors would not see the driver's folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        spark.conf.set("spark.folioflow.shared", found)
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -36,6 +41,38 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A side of at most so many narrow rows (keys and numbers) is broadcast, after a count.
+BROADCAST_ROWS = 100_000
+#: A key with more rows than this, and than this part of all rows, is dealt over many tasks.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one narrow row a key, without a hot key meeting in one task; both materialised.
+
+    A right side of BROADCAST_ROWS rows is broadcast. Beyond that, keys with more than HOT_ROWS rows and more than a
+    HOT_KEYS-th of all rows on the left are HOT_KEYS at most: their rows of right are broadcast, so that the rows of left
+    stay where they are. All other keys are joined as usual.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    per = max(HOT_ROWS, -(-left.count() // HOT_KEYS))
+    hot = materialise(left.groupBy(on).count().where(F.col("count") > per).select(on))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    busy = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how)
+    return busy.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on, how))
+
+
 def ids_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, id and UTF-8 bytes: whatever else the input carries is pruned at the scan."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

@@ -1,4 +1,8 @@
-"""Near copies: texts whose 5-word shingles have a Jaccard index of 0.8 or more, found without loss.
+"""Near copies: one document of each group stays; groups are joined by SimHash and by the Jaccard index of shingles.
+
+SimHash of 5-word shingles at 4 bits is the tiled comparison of simhash.py. Alone it leaves most pairs of texts with an
+index of 0.8 or more, whose fingerprints differ in up to 13 bits here; a radius that wide would also join strangers. So
+pairs of index 0.8 or more are found beside it, without loss, and both kinds of links make the groups.
 
 Shingles are put in one order for all texts, rare ones first (by counts in BUCKETS buckets, then by hash). Two sets of
 index 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of either, so that texts which share none of these
@@ -7,25 +11,31 @@ shingle by shingle. First each text meets the least of those it shares a shingle
 different components meet each other, so that a large group of copies is not paired out.
 
 Defined cases: words are kept apart by ASCII white space, A-Z are lower-cased; fewer words than a shingle make one shingle
-of them all; equal texts are copies of each other, null is the empty text; wordless texts are copies of equal ones alone.
+of them all; very long texts are taken whole; equal texts (by a 64-bit hash) are copies of each other, null is the empty
+text; all wordless texts have fingerprint zero and are one group; of a group the row with the smallest id stays (null ids
+last, then the smallest hash of the text), of repeated rows any; an empty table gives no rows; all columns stay as they
+are, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, materialise, shared_dir
-from .simhash import components
+from .common import BROADCAST_ROWS, LOWER_AZ, materialise, shared_dir, spread_join
+from .simhash import RADIUS, components, copies_of, keep_first, majority, same_fingerprint, text_bytes
 
 SHINGLE = 5
 BUCKETS = 1 << 20
 _PART = 4096
+_FAN = 256
 _REMEMBERED = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -56,7 +66,7 @@ class _Hashes(dict):
 
 
 def hashes(text: bytes | None, known: _Hashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
+    """64-bit hashes of the shingles, in order, repeats included."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
@@ -68,27 +78,55 @@ def hashes(text: bytes | None, known: _Hashes, size: int = SHINGLE) -> np.ndarra
         h = (h ^ w[i : i + n]) * _ODD
         h ^= h >> np.uint64(29)
     h *= _MIX
-    return np.unique(h ^ (h >> np.uint64(32)))
+    return h ^ (h >> np.uint64(32))
 
 
-def _commonness(rows: DataFrame) -> np.ndarray:
-    """For each bucket of hashes the rounded logarithm of how many shingles fall into it."""
+def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One scan of all texts: id, copy (hash of the text), fp (SimHash) a row; and rows of counts, part by part of BUCKETS."""
+    text = text_bytes(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    kind = dict(rows.dtypes)["id"]
+    names = ["id", "copy", "fp", "part", "task", "counts"]
 
     def run(source):
-        total, known = np.zeros(BUCKETS, np.int64), _Hashes()
+        total, known, last = np.zeros(BUCKETS, np.int64), _Hashes(), None
         for batch in source:
-            for text in batch.column("text"):
-                np.add.at(total, (hashes(text.as_py(), known) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = range(0, BUCKETS, _PART)
-        yield pa.RecordBatch.from_arrays([pa.array([a // _PART for a in at], pa.int32()), pa.array([total[a : a + _PART].tobytes() for a in at], pa.binary())], names=["part", "counts"])
-
-    def add(found):
-        total = sum(np.frombuffer(c, np.int64) for c in found.column("counts").to_pylist())
-        return pa.table({"part": found.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
+            fps = np.zeros(batch.num_rows, np.uint64)
+            for i, text in enumerate(batch.column("text")):
+                h = hashes(text.as_py(), known)
+                if len(h):
+                    fps[i] = majority(h)
+                    np.add.at(total, (np.unique(h) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            last = batch.column("id").type
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(fps.view(np.int64)), *none], names=names)
+        if last is not None:
+            task = TaskContext.get().partitionId()
+            at = [a for a in range(0, BUCKETS, _PART) if total[a : a + _PART].any()]
+            counts = [zlib.compress(total[a : a + _PART].tobytes(), 1) for a in at]
+            none = [pa.nulls(len(at), t) for t in (last, pa.int64(), pa.int64())]
+            ints = pa.array([a // _PART for a in at], pa.int32()), pa.array([task] * len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays([*none, *ints, pa.array(counts, pa.binary())], names=names)
+
+    return materialise(rows.mapInArrow(run, f"id {kind}, copy long, fp long, part int, task int, counts binary"))
+
+
+def _commonness(sketched: DataFrame) -> np.ndarray:
+    """For each bucket of hashes the rounded logarithm of how many texts have shingles in it; sums of _FAN tasks at a time."""
+
+    def add(found: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in found.column("counts").to_pylist())
+        one = found.slice(0, 1)
+        return pa.table({"part": one.column("part"), "task": one.column("group"), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    parts = sketched.where("part is not null").select("part", "task", "counts")
+    most = parts.agg(F.max("task")).first()[0] or 0
+    while most > 0:
+        grouped = parts.withColumn("group", F.floor(F.col("task") / _FAN).cast("int")).groupBy("part", "group")
+        parts, most = grouped.applyInArrow(add, "part int, task int, counts binary"), most // _FAN
     counts = np.zeros(BUCKETS, np.int64)
-    for r in rows.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # BUCKETS / _PART rows
-        counts[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["counts"], np.int64)
+    for r in parts.collect():  # BUCKETS / _PART rows
+        counts[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return np.round(4 * np.log2(counts + 1.0)).astype(np.uint8)
 
 
@@ -97,14 +135,19 @@ def _firsts(rows: DataFrame, common: np.ndarray) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(source):
-        level, known = held.value, _Hashes()
+        level, known, seen = held.value, _Hashes(), set()
         for batch in source:
             copies, sizes, tokens = [], [], []
-            for copy, text in zip(batch.column("copy").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = hashes(text, known)
+            for copy, text in zip(batch.column("copy").to_pylist(), batch.column("text"), strict=True):
+                if copy in seen:
+                    continue
+                if len(seen) < _REMEMBERED:  # a copy more does no harm
+                    seen.add(copy)
+                h = np.unique(hashes(text.as_py(), known))
                 n = len(h)
                 if n:
-                    chosen = h[np.argsort(level[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[: n + 1 + (-4 * n // 5)]]
+                    order = np.argsort(level[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
+                    chosen = h[order[: n + 1 + (-4 * n // 5)]]
                     copies.append(np.full(len(chosen), copy, np.int64))
                     sizes.append(np.full(len(chosen), n, np.int32))
                     tokens.append(chosen.view(np.int64))
@@ -117,8 +160,8 @@ def _firsts(rows: DataFrame, common: np.ndarray) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are near copies."""
     pairs = materialise(pairs.distinct())
-    wanted = pairs.select(F.col("u").alias("copy")).unionByName(pairs.select(F.col("v").alias("copy"))).distinct()
-    texts = rows.join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
+    wanted = materialise(pairs.select(F.col("u").alias("copy")).unionByName(pairs.select(F.col("v").alias("copy"))).distinct())
+    texts = (rows.join(F.broadcast(wanted), "copy", "left_semi") if wanted.count() <= BROADCAST_ROWS else rows.join(wanted, "copy", "left_semi")).dropDuplicates(["copy"])
     a, b = texts.select(F.col("copy").alias("u"), F.col("text").alias("a")), texts.select(F.col("copy").alias("v"), F.col("text").alias("b"))
 
     def run(source):
@@ -134,34 +177,36 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return materialise(pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
-def links(rows: DataFrame) -> DataFrame:
+def links(rows: DataFrame, common: np.ndarray) -> DataFrame:
     """Pairs (u, v) of near copies in rows (copy, text) whose components are those of all pairs of near copies."""
     folder = f"{shared_dir(rows.sparkSession)}/near_copies/{uuid.uuid4()}"
-    _firsts(rows, _commonness(rows.select("text"))).write.parquet(folder)
+    _firsts(rows, common).write.parquet(folder)
     tokens = rows.sparkSession.read.parquet(folder)
-    shared = tokens.groupBy("token").agg(F.min("copy").alias("first"), F.max("copy").alias("last")).where("first <> last")
-    members = materialise(tokens.join(shared.select("token", "first"), "token").distinct())
-    heads = members.where("copy = first").select("token", F.col("n").alias("n_first"))
+    shared = materialise(tokens.groupBy("token").agg(F.min("copy").alias("first"), F.max("copy").alias("last")).where("first <> last").select("token", "first"))
+    members = materialise(spread_join(tokens, shared, "token").distinct())
+    heads = materialise(members.where("copy = first").select("token", F.col("n").alias("n_first")))
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    star = members.where("copy <> first").join(heads, "token").where(fits(F.col("n"), F.col("n_first"))).select(F.col("first").alias("u"), F.col("copy").alias("v"))
-    found = _verified(star, rows)
-    roots = components(found).withColumnRenamed("node", "copy")
-    rest = members.where("copy <> first").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
-    split = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    rest = materialise(rest.join(split, "token").select("token", "copy", "n", "root"))
+    others = members.where("copy <> first")
+    star = spread_join(others, heads, "token").where(fits(F.col("n"), F.col("n_first")))
+    found = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows)
+    roots = materialise(components(found).withColumnRenamed("node", "copy"))
+    rest = materialise(spread_join(others, roots, "copy", "left").select("token", "copy", "n", F.coalesce("root", "copy").alias("root")))
+    split = materialise(rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
+    rest = materialise(spread_join(rest, split, "token").select("token", "copy", "n", "root"))
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.copy") < F.col("y.copy")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
     more = x.join(y, apart).select(F.col("x.copy").alias("u"), F.col("y.copy").alias("v"))
     return found.unionByName(_verified(more, rows))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest id stays (nulls last)."""
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the smallest id stays (nulls last).
+
+    Who stays is decided on ids and hashes alone; texts are not shuffled for it as long as what goes can be broadcast.
+    """
+    sketched = _sketches(docs, id_col, text_col)
+    each, copies = copies_of(sketched.where("part is null"))
+    text = text_bytes(text_col)
     rows = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
-    least = materialise(docs.select(key.alias("key")).groupBy(F.col("key.text").alias("copy")).agg(F.min("key").alias("key")))
-    roots = components(links(rows)).withColumnRenamed("node", "copy")
-    grouped = least.join(roots, "copy", "left").groupBy(F.coalesce("root", "copy").alias("root"))
-    first = grouped.agg(F.min("key").alias("_key")).select("_key")
-    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    pairs = links(rows, _commonness(sketched)).unionByName(same_fingerprint(copies, radius))
+    return keep_first(docs, each, copies, pairs, id_col, text_col)

@@ -1,14 +1,18 @@
 """Near copies against all pairs found by brute force."""
 
 import corpus_pipeline
-from folioflow.llm import near_copies, simhash
+import pytest
+from folioflow.llm import common, near_copies, simhash
 from folioflow.llm.common import table
 
 
 def groups_by_brute_force(texts):
     """For each text the smallest number of its component; every pair of texts is compared."""
-    sets = [near_copies.shingles(t) for t in texts]
-    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if texts[a] == texts[b] or (5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and near_copies.near(sets[a], sets[b]))]
+    sets, known = [near_copies.shingles(t) for t in texts], near_copies._Hashes()
+    fps = [simhash.majority(h) if len(h := near_copies.hashes(t, known)) else 0 for t in texts]
+    fits = lambda a, b: 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))
+    close = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if texts[a] == texts[b] or close(a, b) or (fits(a, b) and near_copies.near(sets[a], sets[b]))]
     up = list(range(len(texts)))
     for _ in texts:
         before = list(up)
@@ -19,6 +23,13 @@ def groups_by_brute_force(texts):
     return up, pairs
 
 
+def survivors(rows):
+    """Ids that stay of rows (id, text) with ids apart: the smallest of each component."""
+    rows = sorted(rows)
+    up, _ = groups_by_brute_force([(t or "").encode() for _, t in rows])
+    return sorted({rows[k][0] for k in up})
+
+
 def test_no_near_copy_stays(spark):
     """Copies with 1 to 12 changed words, chains of them, short texts, equal texts, null ids and repeated rows."""
     rows, doc = [], 0
@@ -40,10 +51,41 @@ def test_no_near_copy_stays(spark):
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_columns_with_clashing_names_stay(spark):
+    """Columns named as those inside the operator, repeated rows, null ids; and the way without broadcasts."""
+    names = "id copy fp part task counts n key none root token first u v _id _copy _key _gone_id".split()
+    texts = ["a b c d e f g", "a b c d e f g", "other words that stand alone here", None, "", "x y z"]
+    rows = [(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)] + [(5, "x y z", *[f"{n}5" for n in names])] * 3 + [(None, "x y z", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    want = {0: texts[0], 2: texts[2], 3: None, 5: "x y z"}
+    for bound in (near_copies.BROADCAST_ROWS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_copies, "BROADCAST_ROWS", bound)
+            m.setattr(simhash, "BROADCAST_ROWS", bound)
+            m.setattr(common, "BROADCAST_ROWS", bound)
+            m.setattr(common, "HOT_ROWS", 2)
+            out = near_copies.one_of_each(docs)
+            got = out.collect()
+        assert out.columns == docs.columns and {r.doc_id: r.text for r in got} == want and len(got) == 4
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
+def test_spread_joins_are_joins(spark):
+    """Hot keys, keys without a partner, both ways."""
+    left = common.materialise(spark.range(5000).selectExpr("id AS x", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN 8 ELSE id END AS k"))
+    right = common.materialise(spark.range(0, 5000, 2).selectExpr("id AS k", "id * 10 AS y").where("k <> 8"))
+    for how in ("inner", "left"):
+        want = sorted((r.x, r.k, r.y) for r in left.join(right, "k", how).collect() if r.y is not None)
+        lost = left.join(right, "k", how).where("y IS NULL").count()
+        for bound in (common.BROADCAST_ROWS, 0):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(common, "BROADCAST_ROWS", bound)
+                out = common.spread_join(left, right, "k", how)
+                assert sorted((r.x, r.k, r.y) for r in out.collect() if r.y is not None) == want and out.where("y IS NULL").count() == lost
+
+
 def test_pipeline_leaves_no_near_copy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
-    for name, stage in corpus_pipeline.STAGES:
-        if name in ("near_duplicates", "near_copies"):
-            docs = stage(spark, docs, "/root/testdata/sf0.01").cache()
+    docs = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "/root/testdata/sf0.01")
     texts = [(r.text or "").encode() for r in docs.collect()]
     assert len(texts) > 800 and groups_by_brute_force(texts)[1] == []
