@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, near copies, then packing.
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, then packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
 are written as Parquet to the shared folder and read again, so that a lost executor costs at most the stage's own work.
@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import decontam, near_copies, packing, secrets, simhash, toxicity
+from folioflow.llm import decontam, near_copies, packing, secrets, toxicity
 from folioflow.llm.common import shared_dir, table
 
 
@@ -21,8 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays."""
-    return simhash.one_of_each(docs)
+    """One row of each near-duplicate group stays: groups by SimHash and by a similarity of 0.8 or more, of five words."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +35,6 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return secrets.redact_secrets(docs)
 
 
-def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, of those too that SimHash puts beyond op4's radius."""
-    return near_copies.one_of_each(docs)
-
-
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and the sequences they are packed into."""
     return packing.pack(packing.cut(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -50,7 +45,6 @@ STAGES = [
     ("near_duplicates", near_duplicates_stage),
     ("decontamination", decontamination_stage),
     ("secret_scans", secrets_stage),
-    ("near_copies", near_copies_stage),
     ("packing", packing_stage),
 ]
 
