@@ -3,13 +3,14 @@
 Sequences of `capacity` tokens are bins. N(g) is the number of open bins with g free tokens; a piece of s tokens goes
 into the gap g that makes the sum of N(g) squared smallest (N(g) falls by one, N(g - s) rises by one). A bin is opened
 only for a piece that fits into none: with long pieces first this needs about as few sequences as best-fit decreasing,
-where the rule that may open a bin at any time needs 0.6 to 4 % more. Documents longer than a sequence are cut into full pieces, which are sequences of their own, and a
-rest. The rests are packed in groups of about GROUP pieces, each by one task that keeps N and the open bins alone:
-the state is bounded by the capacity and the group, and groups are cut by hash, so that no task grows with the input.
-Inside a group long pieces come first; each group leaves a few bins part-filled, which GROUP keeps rare.
-
-Defined cases: a null text is empty and still has its end id; repeated rows are packed one by one; ties go to the
-smallest gap; an empty table gives no rows; other columns are not read.
+where the rule that may open a bin at any time needs 0.6 to 4 % more. Documents longer than a sequence are cut into
+full pieces, which are sequences of their own, and a rest. The rests are packed in groups of at most about GROUP pieces,
+each by one task that keeps N and the open bins alone: the state is bounded by the capacity and the group. Groups are
+dealt by the hash of a row's place among the pieces, so that no group grows with the input, nor with repeated rows.
+Inside a group long pieces come first; each group leaves about one bin part-filled, which GROUP keeps rare.
+
+Defined cases: a null text is empty and still has its end id; very long texts are encoded whole and cut into pieces;
+repeated rows are packed one by one; ties go to the smallest gap; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .tokenizing import encoder
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-GROUP = 1 << 18
+GROUP = 1 << 16
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -89,10 +90,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     """Adds sequence_id and offset to pieces with doc_id, piece, start, length, ids_crc32."""
     pieces = materialise(pieces)
     full, rest = pieces.where(F.col("length") >= capacity), pieces.where(F.col("length") < capacity)
-    n_groups = max(1, round(rest.count() / group))
+    n_groups = max(1, -(-rest.count() // group))
     # full pieces are sequences of their own: odd numbers, unique without a shuffle
     alone = full.select("*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = rest.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(n_groups)))
+    # pieces are written already, so that a row's place stays the same; repeated rows fall into different groups
+    rest = rest.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
 
     def run(key, found):
         sizes = found.column("length").to_numpy()

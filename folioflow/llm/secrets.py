@@ -1,17 +1,19 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under length-aware false-discovery control.
 
 Base patterns give their spans as they are. Beside them every run of 20 or more key characters that is not all digits
-is a candidate. Its encoding is the smallest of hexadecimal, base 32, base 36, base 62 and base 64 that holds it, and three
-tests ask whether it could be ordinary text of that length: chi-squared uniformity over the encoding's alphabet, the
-runs of letters, capitals and digits, and the serial correlation of vowels. What ordinary text looks like (character
-shares, changes of class, correlation) is counted over the whole corpus in the same scan. The three p-values become one
-by Fisher's rule, and the Benjamini-Hochberg threshold is set for each encoding and length class on its own, from a
-histogram of all candidates of the corpus.
+is a candidate. Its encoding is the smallest of hexadecimal, base 32, base 36, base 62 and base 64 that holds it. Three
+tests over the positions of its characters in that encoding's alphabet, in the order common to rare, ask whether it
+could be ordinary text: chi-squared uniformity; the runs above and below the alphabet's median; and the serial
+correlation of neighbours about its middle. What is plainly not uniform is no key, whatever text looks like. What ordinary text gives for each encoding (shares of characters, rate of changes across the median, mean
+and spread of neighbours' products) is counted over the character pairs of the whole corpus, candidates left out, in the same scan. The three
+p-values become one by Fisher's rule, and the Benjamini-Hochberg threshold is set for each encoding and length class
+(half an octave, without end) on its own, from a histogram of all candidates of the corpus.
 
 The scan runs once; its rows (spans and candidates, no text) are kept in the shared checkpoint folder.
 
-Defined cases: a null or empty text has no span; repeated rows are scanned one by one; of matches that start together
-the kind listed first comes first; a candidate that touches a base span is left to it; an empty table gives no rows; other
+Defined cases: a null or empty text has no span; very long texts are scanned whole; repeated rows are scanned one by
+one; of matches that start together the kind listed first comes first; a candidate inside a base span is left to it,
+one that reaches beyond it counts whole; p-values below 1e-30 count as 1e-30; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -34,8 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
-LEAST = 20
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Encodings from the smallest alphabet on; fixed values.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
@@ -50,12 +51,24 @@ _ALPHABETS = [frozenset(a) for _, a in ENCODINGS]
 FALSE_DISCOVERIES = 1e-3
 _BINS = 50  # of -log10 p to each unit
 _TOP = 30  # greatest -log10 p
+_SLICE = 1 << 20
 
-#: Class of each byte: 0 outside keys, 1 digit, 2 small, 3 capital, 4 other key characters.
-_KIND = np.array([1 if 48 <= c <= 57 else 2 if 97 <= c <= 122 else 3 if 65 <= c <= 90 else 4 if c in b"+/-_=" else 0 for c in range(256)], np.int8)
-_VOWEL = np.array([chr(c).lower() in "aeiouy" for c in range(256)], np.int8)
-#: Counters of the scan: 256 characters, then pairs, changes of class, letters, vowels, letter pairs, vowel pairs.
-_COUNTERS = 262
+
+#: Letters from common to rare, of European text; fixed values.
+COMMON = "enairtsoldhucmgpbfvwkzyxjq"
+#: Each encoding's alphabet in the order in which text uses it: small letters, capitals, digits, others.
+ORDERS = ["".join(c for c in COMMON + COMMON.upper() + "0123456789+/-_=" if c in a) for _, a in ENCODINGS]
+
+
+def _positions() -> np.ndarray:
+    """Position of each byte in each encoding's order, -1 where it is not in it."""
+    out = np.full((len(ENCODINGS), 256), -1, np.int64)
+    for i, order in enumerate(ORDERS):
+        out[i, [ord(c) for c in order]] = np.arange(len(order))
+    return out
+
+
+_POSITION = _positions()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,118 +84,158 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def battery(word: str) -> tuple[int, float, int, float]:
-    """Encoding, chi-squared of uniformity, changes of class, and sum of vowel products for the correlation."""
+    """Encoding, chi-squared of uniformity, changes across the median, mean product of neighbours about the middle."""
     kinds = set(word)
     encoding = next(i for i, a in enumerate(_ALPHABETS) if kinds <= a)
-    alphabet = ENCODINGS[encoding][1]
-    n, k = len(word), len(alphabet)
-    counts = np.array([word.count(c) for c in kinds], np.float64)
-    chi = float((counts**2).sum() * k / n - n)
-    raw = np.frombuffer(word.encode(), np.uint8)
-    vowels = _VOWEL[raw].astype(np.float64)
-    return encoding, chi, int(np.count_nonzero(np.diff(_KIND[raw]))), float((vowels[1:] * vowels[:-1]).sum())
-
-
-def count_text(raw: np.ndarray, total: np.ndarray) -> None:
-    """Adds what ordinary text looks like."""
-    total[:256] += np.bincount(raw, minlength=256)
-    kind = _KIND[raw]
-    both = (kind[1:] > 0) & (kind[:-1] > 0)
-    total[256] += np.count_nonzero(both)
-    total[257] += np.count_nonzero(both & (kind[1:] != kind[:-1]))
-    vowel = _VOWEL[raw]
-    total[258] += np.count_nonzero(kind > 1)
-    total[259] += int(vowel.sum(dtype=np.int64))
-    total[260] += np.count_nonzero(both)
-    total[261] += np.count_nonzero(vowel[1:] & vowel[:-1])
-
-
-def _normal_below(z: float) -> float:
+    n, k = len(word), len(ENCODINGS[encoding][1])
+    at = _POSITION[encoding][np.frombuffer(word.encode(), np.uint8)]
+    chi = float((np.bincount(at) ** 2.0).sum() * k / n - n)
+    above = 2 * at >= k
+    middle = at - (k - 1) / 2
+    return encoding, chi, int(np.count_nonzero(above[1:] != above[:-1])), float((middle[1:] * middle[:-1]).mean())
+
+
+def count_pairs(text: str, total: np.ndarray) -> None:
+    """Adds the pairs of neighbouring bytes of a text to the 256 x 256 counts, without those inside candidates."""
+    raw = np.frombuffer(_CANDIDATE.sub("", text).encode("utf-8", "surrogatepass"), np.uint8)
+    for i in range(0, len(raw) - 1, _SLICE):
+        part = raw[i : i + _SLICE + 1].astype(np.int32)
+        np.add.at(total, (part[:-1] << 8) | part[1:], 1)
+
+
+def ordinary(pairs: np.ndarray) -> list[tuple[float, float, float, float, float]]:
+    """For each encoding what text within its alphabet looks like, from the 256 x 256 counts of neighbours.
+
+    Sums of squares and of cubes of the characters' shares, rate of changes across the median, mean and variance of
+    neighbours' products about the middle. Where the corpus has too few such pairs, pairs of equal letters stand for text.
+    """
+    pairs = pairs.reshape(256, 256)
+    out = []
+    for i, (_, alphabet) in enumerate(ENCODINGS):
+        codes = np.array([ord(c) for c in alphabet])
+        k, at = len(codes), _POSITION[i][codes]
+        held = pairs[np.ix_(codes, codes)].astype(np.float64)
+        held += np.eye(k) / k
+        share = held.sum(axis=1) / held.sum()
+        above, middle = 2 * at >= k, at - (k - 1) / 2
+        product = np.outer(middle, middle)
+        weight = held / held.sum()
+        mean = float((weight * product).sum())
+        change = float((held * (above[:, None] != above[None, :])).sum() + 0.5) / float(held.sum() + 1)
+        out.append((float((share**2).sum()), float((share**3).sum()), change, mean, float((weight * (product - mean) ** 2).sum())))
+    return out
+
+
+def _below(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def ordinary(counters: list[int]) -> tuple[list[float], float, float]:
-    """For each encoding the excess of chi-squared a character, the rate of class changes, and of vowel pairs."""
-    counts = np.array(counters[:256], np.float64)
-    excess = []
-    for _, alphabet in ENCODINGS:
-        share = counts[[ord(c) for c in alphabet]]
-        share = share / share.sum() if share.sum() else np.full(len(alphabet), 1 / len(alphabet))
-        excess.append(float(len(alphabet) * (share**2).sum() - 1))
-    rate = lambda a, b: (a + 1) / (b + 2)
-    return excess, rate(counters[257], counters[256]), rate(counters[261], counters[260])
-
-
-def p_value(n: int, encoding: int, chi: float, changes: int, vowels: float, text: tuple) -> float:
-    """How likely ordinary text of this length looks at least as random: three tests, joined by Fisher's rule."""
-    excess, change, pair = text
-    k = len(ENCODINGS[encoding][1])
-    mean, var = k - 1 + n * excess[encoding], 2 * (k - 1 + 2 * n * excess[encoding])
-    p1 = _normal_below((chi - mean) / math.sqrt(var))
-    m = (n - 1) * change  # changes of class: Poisson tail
-    p2 = 1.0 - sum(math.exp(-m + i * math.log(m) - math.lgamma(i + 1)) for i in range(changes)) if changes else 1.0
-    if p2 < 1e-9:  # the sum has no digits left: bound of the tail
-        p2 = min(1.0, math.exp(-m + changes * math.log(m) - math.lgamma(changes + 1)) * 2)
-    # pairs of vowels: keys have fewer of them than text
-    p3 = _normal_below((vowels + 0.5 - (n - 1) * pair) / math.sqrt((n - 1) * pair * (1 - pair)))
-    x = -sum(math.log(max(p, 1e-60)) for p in (p1, p2, p3))
+#: Neighbouring pairs share a character: the variance of their mean is at most three times that of separate pairs.
+_SHARED = 3.0
+
+
+def p_values(n: int, encoding: int, chi: float, changes: int, product: float, text: list) -> tuple[float, float, float]:
+    """How likely ordinary text of this length looks at least as random, by each test; normal approximations.
+
+    Random keys are nearer to uniform (lower tail of chi-squared), cross the median more often where text does not
+    (upper tail of the changes), and their neighbours' products are nearer to their mean of zero than those of text.
+    """
+    squares, cubes, change, mean, var = text[encoding]
+    k, m = len(ENCODINGS[encoding][1]), n - 1
+    # mean and variance of the sum of squared counts of a multinomial with these shares
+    expected, spread = k * (1 + m * squares) - n, k * k * (4 * n * (cubes - squares**2) + 2 * squares**2)
+    p1 = _below((chi - expected) / math.sqrt(spread + 1e-9))
+    p2 = _below(-(changes - 0.5 - m * change) / math.sqrt(_SHARED * m * change * (1 - change) + 1e-9))
+    z = (product - mean) / math.sqrt(_SHARED * var / m + 1e-9)
+    p3 = _below(z if mean > 0 else -z)
+    return p1, p2, p3
+
+
+def plainly_uneven(encoding: int, chi: float) -> bool:
+    """Chi-squared so far above that of a uniform draw (Wilson and Hilferty's cube root, over six deviations): no key."""
+    df = len(ENCODINGS[encoding][1]) - 1
+    return ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) > 6
+
+
+def p_value(n: int, encoding: int, chi: float, changes: int, product: float, text: list) -> float:
+    """The three p-values joined by Fisher's rule; 1 for what is as far from a key as from text."""
+    if plainly_uneven(encoding, chi):
+        return 1.0
+    x = -sum(math.log(max(p, 1e-60)) for p in p_values(n, encoding, chi, changes, product, text))
     return math.exp(-x) * (1 + x + x * x / 2)
 
 
-_SCAN = "doc_id {id}, counters array<long>, base array<struct<start:int,kind:int,end:int>>, random array<struct<start:int,end:int,encoding:int,chi:double,changes:int,vowels:double>>"
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_RANDOM = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.int32()), ("chi", pa.float64()), ("changes", pa.int32()), ("vowels", pa.float64())]))
+_FOUND = [("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.int32()), ("chi", pa.float64()), ("changes", pa.int32()), ("product", pa.float64())]
+_RANDOM = pa.list_(pa.struct(_FOUND))
+_PAIRS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int64())]))
+_SCAN = (
+    "doc_id {id}, pairs array<struct<at:int,n:long>>, base array<struct<start:int,kind:int,end:int>>, "
+    "random array<struct<start:int,end:int,encoding:int,chi:double,changes:int,product:double>>"
+)
 
 
 def spans_and_candidates(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
     spans, found = base_spans(text), []
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if not m[0].isdigit() and all(b <= s or e <= a for s, _, e in spans):
-            encoding, chi, changes, vowels = battery(m[0])
-            found.append({"start": a, "end": b, "encoding": encoding, "chi": chi, "changes": changes, "vowels": vowels})
+        word = m[0].rstrip("=")
+        if not word.isdigit() and not any(s <= a and b <= e for s, _, e in spans):
+            encoding, chi, changes, product = battery(word)
+            found.append({"start": a, "end": b, "encoding": encoding, "chi": chi, "changes": changes, "product": product})
     return spans, found
 
 
 def _scan(source):
-    total, last = np.zeros(_COUNTERS, np.int64), None
+    total, last = np.zeros(65_536, np.int64), None
+    names = ["doc_id", "pairs", "base", "random"]
     for batch in source:
         base, random = [], []
         for cell in batch.column("text"):
             text = cell.as_py() or ""
             spans, found = spans_and_candidates(text)
-            count_text(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), total)
+            count_pairs(text, total)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
             random.append(found)
         last = batch.column("doc_id").type
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.nulls(len(base), pa.list_(pa.int64())), pa.array(base, _BASE), pa.array(random, _RANDOM)], names=["doc_id", "counters", "base", "random"])
+        columns = [batch.column("doc_id"), pa.nulls(len(base), _PAIRS), pa.array(base, _BASE), pa.array(random, _RANDOM)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
     if last is not None:  # one more row a task: what its texts look like
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, last), pa.array([total.tolist()], pa.list_(pa.int64())), pa.nulls(1, _BASE), pa.nulls(1, _RANDOM)], names=["doc_id", "counters", "base", "random"])
+        at = np.flatnonzero(total)
+        pairs = pa.array([[{"at": i, "n": n} for i, n in zip(at.tolist(), total[at].tolist(), strict=True)]], _PAIRS)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, last), pairs, pa.nulls(1, _BASE), pa.nulls(1, _RANDOM)], names=names)
 
 
-def learn(scanned: DataFrame, q: float = FALSE_DISCOVERIES) -> tuple[tuple, dict[int, float]]:
+def learn(scanned: DataFrame, q: float = FALSE_DISCOVERIES) -> tuple[list, dict[int, float]]:
     """What ordinary text looks like, and the least depth (-log10 p) that passes in each stratum."""
-    sums = scanned.where("counters is not null").select(F.posexplode("counters").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # 262 rows
-    counters = [0] * _COUNTERS
-    for r in sums:
-        counters[r["at"]] = r["n"]
-    text = ordinary(counters)
+    sums = scanned.where("pairs is not null").select(F.explode("pairs").alias("p")).groupBy("p.at").agg(F.sum("p.n").alias("n"))
+    pairs = np.zeros(65_536, np.int64)
+    for r in sums.collect():  # at most 65,536 rows
+        pairs[r["at"]] = r["n"]
+    text = ordinary(pairs)
 
     def bins(source):
         for batch in source:
             found = [judge(c, text) for cell in batch.column("random").to_pylist() for c in cell]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([int(d * _BINS) for _, d in found], pa.int32())], names=["stratum", "bin"])
+            columns = [pa.array([s for s, _ in found], pa.int32()), pa.array([int(d * _BINS) for _, d in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["stratum", "bin"])
 
-    each = scanned.where("counters is null and size(random) > 0").select("random").mapInArrow(bins, "stratum int, bin int")
+    each = scanned.where("pairs is null and size(random) > 0").select("random").mapInArrow(bins, "stratum int, bin int")
     histogram = each.groupBy("stratum", "bin").count().collect()  # strata x bins rows at most
     return text, thresholds([(r["stratum"], r["bin"], r["count"]) for r in histogram], q)
 
 
-def judge(c: dict, text: tuple) -> tuple[int, float]:
+def length_class(n: int) -> int:
+    """Half octaves: 16-23, 24-31, 32-47, 48-63 and so on."""
+    k = n.bit_length()
+    return 2 * k + ((n >> (k - 2)) & 1)
+
+
+def judge(c: dict, text: list) -> tuple[int, float]:
     """Stratum and depth of a candidate."""
     n = c["end"] - c["start"]
-    p = p_value(n, c["encoding"], c["chi"], c["changes"], c["vowels"], text)
-    return c["encoding"] * 8 + min(7, n // 8), min(float(_TOP), -math.log10(max(1e-300, p)))
+    p = p_value(n, c["encoding"], c["chi"], c["changes"], c["product"], text)
+    return c["encoding"] * 64 + length_class(n), min(float(_TOP), -math.log10(max(1e-300, p)))
 
 
 def accepted(random: list[dict], learned: tuple) -> list[dict]:
@@ -197,7 +250,7 @@ def accepted(random: list[dict], learned: tuple) -> list[dict]:
 
 
 def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The one scan of all texts, kept in the shared folder: base spans, candidates, counters."""
+    """The one scan of all texts, kept in the shared folder: base spans, candidates, counts of pairs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return materialise(rows.mapInArrow(_scan, _SCAN.format(id=dict(rows.dtypes)["doc_id"])))
 
@@ -209,11 +262,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(source):
         for batch in source:
-            spans = [sorted(b + accepted(r, learned), key=lambda s: (s["start"], s["kind"])) for b, r in zip(batch.column("base").to_pylist(), batch.column("random").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(batch.column("base").to_pylist(), _BASE), pa.array(spans, _BASE)], names=["doc_id", "base", "spans"])
+            base = batch.column("base").to_pylist()
+            both = zip(base, batch.column("random").to_pylist(), strict=True)
+            spans = [sorted(b + accepted(r, learned), key=lambda s: (s["start"], s["kind"])) for b, r in both]
+            columns = [batch.column("doc_id"), pa.array(base, _BASE), pa.array(spans, _BASE)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "spans"])
 
     kind = "array<struct<start:int,kind:int,end:int>>"
-    return scanned.where("counters is null").select("doc_id", "base", "random").mapInArrow(run, f"doc_id {dict(scanned.dtypes)['doc_id']}, base {kind}, spans {kind}")
+    rows = scanned.where("pairs is null").select("doc_id", "base", "random")
+    return rows.mapInArrow(run, f"doc_id {dict(scanned.dtypes)['doc_id']}, base {kind}, spans {kind}")
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = FALSE_DISCOVERIES, mark: str = "[SECRET]") -> DataFrame:

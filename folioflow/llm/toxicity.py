@@ -12,9 +12,10 @@ by label choose the SELECTED features with the greatest likelihood ratio; a logi
 gives the score. Learning uses at most SAMPLE labelled documents, of rows with crc32(doc_id as text) mod 5 other than 0;
 lang, source and doc_id are never inputs of a score.
 
-Defined cases: null, empty and wordless texts get the score of no features; repeated rows are scored one by one, for
-learning a doc_id counts once; without labels of both kinds every score is the share of toxic labels (0 if none); an
-empty table gives no rows; other columns are not read.
+Defined cases: null, empty and wordless texts get the score of no features; very long texts and words are read whole;
+of readings with equal sums the one found first stays (as written before as meant); repeated rows are scored one by one,
+for learning a doc_id counts once, with its least text; without labels of both kinds every score is the share of toxic
+labels (0 if none); an empty table gives no rows; other columns are not read, and drop_toxic gives all columns back.
 """
 
 from __future__ import annotations
@@ -31,19 +32,23 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: What characters are written for; fixed values.
-LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "h"}
+LOOKS = {
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "h",
+}
 FOLDS = 5
 SAMPLE = 20_000
 SELECTED = 2_000
 LEAST_GAIN = 12.0
 FEATURE_BITS = 22
-REMEMBERED = 400_000
+REMEMBERED, REMEMBERED_WHOLE = 200_000, 30_000  # tokens: with their chosen features, with all features
 _LOOK_COST = 1.0
 _SIZE = 32  # symbols of the language model: 0 outside words, 1-26 letters, 27 letters from U+0080 on, 28 digits, 29 others
 _SYMBOL = np.array([27 if c >= 128 else 28 if 48 <= c <= 57 else (c | 32) - 96 if chr(c).isalpha() else 0 if c <= 32 else 29 for c in range(256)], np.int64)
 
-_APART = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]++){2,}[^\W_](?![^\W_])")
-_GAP = re.compile(r"[\s.\-_*]+")
+_BETWEEN = r"[\s.\-_*/\\,;:~=·•]"
+_APART = re.compile(rf"(?<![^\W_])(?:[^\W_]{_BETWEEN}++){{2,}}[^\W_](?![^\W_])")
+_GAP = re.compile(f"{_BETWEEN}+")
 _TOKEN = re.compile(r"[^\s,;:?\"“”()\[\]{}<>/\\]+")
 _RUN = re.compile(r"(.)\1+")
 _SIGN = re.compile(r"[0-9@$!|+€(*#]")
@@ -151,6 +156,7 @@ class Reader(dict):
     def __init__(self, model: np.ndarray, chosen: dict[int, int] | None):
         super().__init__()
         self.model, self.chosen = flat(model), chosen
+        self.most = REMEMBERED_WHOLE if chosen is None else REMEMBERED
 
     def word(self, token: str) -> str:
         word = token.strip(".,!?-_*'’")
@@ -164,7 +170,7 @@ class Reader(dict):
         if self.chosen is not None:
             found = [self.chosen[f] for f in found if f in self.chosen]
         found = tuple(found)
-        if len(self) < REMEMBERED and len(token) <= 64:
+        if len(self) < self.most and len(token) <= 64:
             self[token] = found
         return found
 
@@ -172,7 +178,7 @@ class Reader(dict):
     def spaced(run: str) -> list[str]:
         """The letters of a spaced-out run, in parts if some gaps are wider than others."""
         least = min(map(len, _GAP.findall(run)))
-        parts = [_GAP.sub("", p) for p in re.split(rf"[\s.\-_*]{{{least + 1},}}", run)]
+        parts = [_GAP.sub("", p) for p in re.split(f"{_BETWEEN}{{{least + 1},}}", run)]
         return [p for p in dict.fromkeys([*parts, "".join(parts)]) if len(set(p)) > 1]
 
     def read(self, text: str | None) -> set[int]:
@@ -192,12 +198,12 @@ class Reader(dict):
 
 
 def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` labelled documents (doc_id, toxic, text), one row a doc_id, none of the held-out fold."""
+    """At most `sample` labelled documents (toxic, text), one row a doc_id (its least text), none of the held-out fold."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     chosen = labels.where((fold != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` small rows
-    return materialise(texts.dropDuplicates(["doc_id"]))
+    return materialise(texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")))
 
 
 def _select(rows: DataFrame, model: np.ndarray, selected: int) -> dict[int, int]:
@@ -265,31 +271,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, selected: in
     return model, chosen, _fit(rows, model, chosen)
 
 
-def score(docs: DataFrame, trained, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, and the columns to keep."""
+def _scores(texts: pa.Array, reader: Reader, weights: np.ndarray) -> np.ndarray:
+    z = np.array([weights[-1] + weights[list(f)].sum() if (f := reader.read(t.as_py())) else weights[-1] for t in texts], np.float64)
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def score(docs: DataFrame, trained) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row."""
     held = docs.sparkSession.sparkContext.broadcast(trained)
-    rows = docs.select("doc_id", F.col("text").alias("_text"), *[c for c in keep if c != "doc_id"])
+    rows = docs.select("doc_id", "text")
 
     def run(source):
         model, chosen, weights = held.value
         reader = Reader(model, chosen)
         for batch in source:
-            z = np.array([weights[-1] + weights[list(f)].sum() if (f := reader.read(t.as_py())) else weights[-1] for t in batch.column("_text")])
-            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            p = _scores(batch.column("text"), reader, weights)
             out = pa.array([held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_())
-            others = [n for n in batch.schema.names if n not in ("doc_id", "_text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), out, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *[batch.column(n) for n in others]], names=["doc_id", "held_out", "score", "predicted", *others]
+                [batch.column("doc_id"), out, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )
 
-    kinds = dict(rows.dtypes)
-    others = "".join(f", `{n}` {t}" for n, t in rows.dtypes if n not in ("doc_id", "_text"))
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, held_out boolean, score double, predicted int{others}")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic."""
-    return score(docs, train(docs, labels), keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(source):
+        model, chosen, weights = held.value
+        reader = Reader(model, chosen)
+        for batch in source:
+            yield batch.filter(pa.array(_scores(batch.column("text"), reader, weights) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,72 @@ def test_false_discovery_thresholds():
     limit = secrets.thresholds([(0, 0, 1000), (0, 400, 5), (1, 100, 1)], 1e-3)
     assert limit == {0: 8.0}
     assert secrets.redact("abcdef", [(1, 3), (2, 4)], "#") == "a#ef"
-    assert 0 <= secrets.p_value(40, 0, 15.0, 18, 0.0, ([4.5] * 7, 0.02, 0.12)) < 1e-12
+    assert 0 <= secrets.p_value(40, 0, 15.0, 18, 0.0, [(0.3, 0.12, 0.02, 20.0, 400.0)] * 7) < 1e-6
+    assert [secrets.length_class(n) for n in (20, 23, 24, 31, 32, 47, 48)] == [10, 10, 11, 11, 12, 12, 13] and secrets.length_class(10**6) > secrets.length_class(10**5)
+
+
+def test_battery_by_brute_force():
+    """Statistics, figures of ordinary text and the three p-values, by plain loops."""
+    rng = np.random.default_rng(4)
+    for name, alphabet in secrets.ENCODINGS:
+        k = len(alphabet)
+        word = "".join(rng.choice(list(alphabet), 33))
+        encoding, chi, changes, product = secrets.battery(word)
+        held = secrets.ORDERS[encoding]
+        k = len(held)
+        assert set(word) <= set(held) and not any(set(word) <= set(a) for _, a in secrets.ENCODINGS[:encoding]), name
+        assert chi == pytest.approx(sum((word.count(c) - 33 / k) ** 2 / (33 / k) for c in held))
+        at = [held.index(c) for c in word]
+        assert changes == sum((2 * x >= k) != (2 * y >= k) for x, y in zip(at, at[1:], strict=False))
+        assert product == pytest.approx(sum((x - (k - 1) / 2) * (y - (k - 1) / 2) for x, y in zip(at, at[1:], strict=False)) / 32)
+    texts = ["The quick brown fox 12 jumps over 0x3f", "", "a", "été über façade deadbeef cafe babe", "a " + "0f" * 20 + " b"]
+    total = np.zeros(65536, np.int64)
+    for t in texts:
+        secrets.count_pairs(t, total)
+    pairs = [(x, y) for t in texts for x, y in zip(t.replace("0f" * 20, "").encode(), t.replace("0f" * 20, "").encode()[1:], strict=False)]
+    assert total.sum() == len(pairs) and all(total[x * 256 + y] == pairs.count((x, y)) for x, y in pairs)
+    for alphabet, (squares, cubes, change, mean, var) in zip(secrets.ORDERS, secrets.ordinary(total), strict=True):
+        k = len(alphabet)
+        at = [(alphabet.index(chr(x)), alphabet.index(chr(y)), 1.0) for x, y in pairs if chr(x) in alphabet and chr(y) in alphabet]
+        at += [(i, i, 1 / k) for i in range(k)]
+        all_ = sum(w for *_, w in at)
+        share = [sum(w for x, _, w in at if x == i) / all_ for i in range(k)]
+        assert squares == pytest.approx(sum(p * p for p in share)) and cubes == pytest.approx(sum(p**3 for p in share))
+        assert change == pytest.approx((sum(w for x, y, w in at if (2 * x >= k) != (2 * y >= k)) + 0.5) / (all_ + 1))
+        products = [((x - (k - 1) / 2) * (y - (k - 1) / 2), w) for x, y, w in at]
+        assert mean == pytest.approx(sum(p * w for p, w in products) / all_)
+        assert var == pytest.approx(sum((p - mean) ** 2 * w for p, w in products) / all_)
+
+
+def test_p_values_against_drawn_text():
+    """Windows of ordinary text seldom look random by any test; keys do, by the tests that can tell them apart."""
+    rng = np.random.default_rng(5)
+    words = "the quick brown fox jumps over lazy dogs while seven wizards mix potions under moonlight near old rivers".split()
+    text = "".join(rng.choice([w.capitalize() if rng.random() < 0.2 else w for w in words], 20_000))
+    raw = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+    figures = secrets.ordinary(np.bincount(raw[:-1] * 256 + raw[1:], minlength=65536))
+    for n in (24, 40, 80):
+        seen = []
+        for at in rng.integers(0, len(text) - n, 2000).tolist():
+            encoding, *found = secrets.battery(text[at : at + n])
+            if encoding == 5:
+                seen.append(secrets.p_values(n, encoding, *found, figures))
+        assert len(seen) > 500
+        for test in range(3):  # normal approximations, and windows with a capital only: a tail of 1 % may be some times heavier
+            assert sum(p[test] < 0.01 for p in seen) <= 0.06 * len(seen), (n, test)
+        keys = ["".join(rng.choice(list(secrets.ENCODINGS[5][1]), n)) for _ in range(200)]
+        least = [[min(1.0, p) for p in secrets.p_values(n, 5, *secrets.battery(w)[1:], figures)] for w in keys if secrets.battery(w)[0] == 5]
+        assert all(np.median([p[test] for p in least]) < 0.05 for test in (1, 2)) and np.median([secrets.p_value(n, *secrets.battery(w), figures) for w in keys]) < 1e-3
+
+
+def test_keys_around_base_spans_are_redacted_whole(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    keys = ["Zq7" + "0123456789abcdef3141592a" + "XkP9LmQ2TvB8", "kA9" + "9f3ac07e51b2d8640a7bce13" + "QzWx7Lp2Vt5"]
+    planted = spark.createDataFrame([(10**6 + k, f"before {w} after") for k, w in enumerate(keys)], "doc_id long, text string")
+    clean = secrets.redact_secrets(docs.unionByName(planted)).where("doc_id >= 1000000").collect()
+    assert [r.text for r in clean] == ["before [SECRET] after"] * 2
+    spans, found = secrets.spans_and_candidates("token=abcdefghijklmnopqrstuvwx")
+    assert len(spans) == 1 and found == []
 
 
 def test_viterbi_restores_disguises():
