@@ -5,12 +5,15 @@ space at either end. A pattern is a window of 10 consecutive words of an item (t
 with the same spaces around it, so that a match always covers whole words. A match is mapped to word numbers by
 counting spaces and to offsets in the original by the words' own offsets.
 
-The windows go to the executors by broadcast in chunks of bounded size (CHUNK_CHARS of normalised windows): a
-benchmark beyond one chunk is scanned for chunk by chunk and the hits are put together per document, so that no
-task holds more than one automaton. The size is measured first, by Spark.
-
-Defined cases: null or wordless texts have no words and no hits; null or wordless items have no window; repeated
-items count by item_id; a null item_id counts as an empty string; an empty table gives no rows or no hits.
+Spark normalises the items, drops repeated ones and cuts long ones into overlapping segments of at most SEGMENT words,
+so that no row is long. The segments go to the executors by broadcast, in chunks whose windows have about CHUNK_CHARS
+characters: sizes are measured first, by Spark. The corpus is read once; where there are several chunks, a task
+takes them one after another for each Arrow batch of texts and holds one automaton at a time.
+
+Defined cases: null or wordless texts have no words and no hits; null or wordless items have no window; very long texts
+and items are taken whole; repeated items count by item_id; hits of a text are in order of its words, overlapping ones
+are one; a null item_id counts as an empty string; an empty table gives no rows or no hits; columns that are not read
+keep whatever names they have.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, ids_and_bytes, table
+from .common import LOWER_AZ, ids_and_bytes, materialise, table
 
 WINDOW = 10
 CHUNK_CHARS = 4_000_000
@@ -93,76 +95,87 @@ def spans_in(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
+SEGMENT = 2_000
+
+
+def segments(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Distinct (item_id, text): normalised items, long ones cut into segments that share size - 1 words, so that every window is whole."""
+    normal = F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.btrim(normal).alias("text")).where("text <> ''").distinct()
+    words = F.split("text", " ")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - size), F.lit(SEGMENT))
+    cut = items.select("item_id", words.alias("words")).select("item_id", "words", F.explode(starts).alias("at"))
+    return cut.select("item_id", F.array_join(F.slice("words", F.col("at") + 1, SEGMENT + size - 1), " ").alias("text")).distinct()
+
+
 def chunks(benchmark: DataFrame, size: int = WINDOW, chunk_chars: int = CHUNK_CHARS) -> list:
-    """(key, broadcast items) of each bounded part of the benchmark; its size is measured by Spark first."""
+    """(key, broadcast segments) of each bounded part of the benchmark."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = materialise(segments(benchmark, size))
+    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total * size // chunk_chars))
-    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
-    return [(f"{uuid.uuid4()}", spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in p.collect()])) for p in parts]  # about chunk_chars / size bytes each
+    parts = [held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [held]
+    return [(f"{uuid.uuid4()}", spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in p.collect()])) for p in parts]  # about chunk_chars / size bytes each
 
 
 _RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_FOUND = "row long, doc_id {id}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
+_FOUND = "doc_id {id}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
+
+
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def scan_all(texts: list[bytes | None], found: list, size: int) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """For each text its words, runs of hit words and the item_ids found, over all chunks, one automaton at a time."""
+    out: list = [(0, [], set()) for _ in texts]
+    for key, held in found:
+        built = automaton(key, held.value, size)
+        for i, text in enumerate(texts):
+            n, hit, who = scan(text, built)
+            out[i] = n, out[i][1] + hit, out[i][2] | {held.value[k][0] for k in who}
+    return [(n, united(hit) if len(found) > 1 else hit, who) for n, hit, who in out]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Per row of docs: words, runs of hit words, items found, byte spans of the hits; rows of all chunks put together."""
+    """Per row of docs: words, runs of hit words, items found, byte spans of the hits."""
     found = chunks(benchmark, size, chunk_chars)
-    many = len(found) > 1
-    rows = ids_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id() if many else F.lit(0).cast("long"))
-    kind = dict(rows.dtypes)["doc_id"]
-    parts = [rows.mapInArrow(_scanner(held, key, size), _FOUND.format(id=kind)) for key, held in found]
-    if not many:
-        return parts[0]
-    flat = lambda c: F.flatten(F.collect_list(c))
-    return reduce(DataFrame.unionByName, parts).groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), flat("runs").alias("runs"), F.array_distinct(flat("items")).alias("items"), flat("spans").alias("spans"))
-
+    rows = ids_and_bytes(docs, id_col, text_col)
 
-def _scanner(held, key: str, size: int):
     def run(source):
-        built = automaton(key, held.value, size)
         for batch in source:
-            n_words, runs, found, spans = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                n, hit, who = scan(text, built)
-                n_words.append(n)
-                runs.append([{"a": a, "b": b} for a, b in hit])
-                found.append(sorted({held.value[i][0] for i in who}))
-                spans.append([{"a": a, "b": b} for a, b in spans_in(text, hit)] if hit else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(runs, _RUNS), pa.array(found, pa.list_(pa.string())), pa.array(spans, _RUNS)],
-                names=["row", "doc_id", "n_words", "runs", "items", "spans"],
-            )
+            texts = batch.column("text").to_pylist()
+            hits = scan_all(texts, found, size)
+            runs = [[{"a": a, "b": b} for a, b in hit] for _, hit, _ in hits]
+            spans = [[{"a": a, "b": b} for a, b in spans_in(t, hit)] if hit else [] for t, (_, hit, _) in zip(texts, hits, strict=True)]
+            columns = [pa.array([n for n, _, _ in hits], pa.int64()), pa.array(runs, _RUNS), pa.array([sorted(w) for _, _, w in hits], pa.list_(pa.string())), pa.array(spans, _RUNS)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_words", "runs", "items", "spans"])
 
-    return run
+    return rows.mapInArrow(run, _FOUND.format(id=dict(rows.dtypes)["doc_id"]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The rows of docs in which no window occurs; chunk after chunk of the benchmark drops its own."""
-    for key, held in chunks(benchmark, size, chunk_chars):
+    """The rows of docs in which no window occurs."""
+    found = chunks(benchmark, size, chunk_chars)
 
-        def run(source, key=key, held=held):
-            built = automaton(key, held.value, size)
-            for batch in source:
-                clean = [not scan(t.encode("utf-8") if t else None, built)[1] for t in batch.column(text_col).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+    def run(source):
+        for batch in source:
+            texts = [t.encode("utf-8") if t else None for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([not hit for _, hit, _ in scan_all(texts, found, size)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from find_hits. Runs of several chunks may overlap."""
-
-    def words_hit(runs):
-        """Words under the runs, in order, each adding what lies beyond the furthest end so far."""
-        pairs = F.array_sort(runs)
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("far"))
-        return F.aggregate(pairs, start, lambda s, p: F.struct((s["n"] + F.greatest(F.lit(0), p["b"] - F.greatest(p["a"], s["far"]))).alias("n"), F.greatest(s["far"], p["b"]).alias("far")), lambda s: s["n"])
-
-    n_hit = F.when(F.size("runs") == 0, F.lit(0).cast("long")).otherwise(words_hit(F.col("runs")))
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from find_hits."""
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, p: n + p["b"] - p["a"])
     return hits.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"),
