@@ -55,17 +55,19 @@ BROADCAST_ROWS = 100_000
 HOT_ROWS, HOT_KEYS = 1_000, 10_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has one narrow row a key, without a hot key meeting in one task; both materialised.
 
     A right side of BROADCAST_ROWS rows is broadcast. Beyond that, keys with more than HOT_ROWS rows and more than a
     HOT_KEYS-th of all rows on the left are HOT_KEYS at most: their rows of right are broadcast, so that the rows of left
-    stay where they are. All other keys are joined as usual.
+    stay where they are. All other keys are joined as usual. sizes: the rows a key on the left (count), where known.
     """
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
-    per = max(HOT_ROWS, -(-left.count() // HOT_KEYS))
-    hot = materialise(left.groupBy(on).count().where(F.col("count") > per).select(on))
+    sizes = left.groupBy(on).count() if sizes is None else sizes
+    total = left.count()
+    per = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = materialise(sizes.where(F.col("count") > per).select(on))
     if hot.isEmpty():
         return left.join(right, on, how)
     few = right.join(F.broadcast(hot), on, "left_semi")

@@ -36,7 +36,7 @@ SHINGLE = 5
 BUCKETS = 1 << 20
 _PART = 4096
 _FAN = 256
-_REMEMBERED = 400_000
+_REMEMBERED = 120_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -141,7 +141,7 @@ def _firsts(rows: DataFrame, common: np.ndarray) -> DataFrame:
             for copy, text in zip(batch.column("copy").to_pylist(), batch.column("text"), strict=True):
                 if copy in seen:
                     continue
-                if len(seen) < _REMEMBERED:  # a copy more does no harm
+                if len(seen) < _REMEMBERED // 2:  # a copy more does no harm
                     seen.add(copy)
                 h = np.unique(hashes(text.as_py(), known))
                 n = len(h)
@@ -168,10 +168,10 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         last, left = None, set()
         for batch in source:
             keep = []
-            for x, a, b in zip(batch.column("u").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            for x, a, b in zip(batch.column("u").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
                 if x != last:
-                    last, left = x, shingles(a)
-                keep.append(near(left, shingles(b)))
+                    last, left = x, shingles(a.as_py())
+                keep.append(near(left, shingles(b.as_py())))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return materialise(pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
@@ -182,8 +182,9 @@ def links(rows: DataFrame, common: np.ndarray) -> DataFrame:
     folder = f"{shared_dir(rows.sparkSession)}/near_copies/{uuid.uuid4()}"
     _firsts(rows, common).write.parquet(folder)
     tokens = rows.sparkSession.read.parquet(folder)
-    shared = materialise(tokens.groupBy("token").agg(F.min("copy").alias("first"), F.max("copy").alias("last")).where("first <> last").select("token", "first"))
-    members = materialise(spread_join(tokens, shared, "token").distinct())
+    ends = F.min("copy").alias("first"), F.max("copy").alias("last"), F.count(F.lit(1)).alias("count")
+    shared = materialise(tokens.groupBy("token").agg(*ends).where("first <> last"))
+    members = materialise(spread_join(tokens, shared.select("token", "first"), "token", sizes=shared).distinct())
     heads = materialise(members.where("copy = first").select("token", F.col("n").alias("n_first")))
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     others = members.where("copy <> first")

@@ -41,7 +41,7 @@ SAMPLE = 20_000
 SELECTED = 2_000
 LEAST_GAIN = 12.0
 FEATURE_BITS = 22
-REMEMBERED, REMEMBERED_WHOLE = 200_000, 30_000  # tokens: with their chosen features, with all features
+REMEMBERED, REMEMBERED_WHOLE = 100_000, 20_000  # tokens: with their chosen features, with all features
 _LOOK_COST = 1.0
 _SIZE = 32  # symbols of the language model: 0 outside words, 1-26 letters, 27 letters from U+0080 on, 28 digits, 29 others
 _SYMBOL = np.array([27 if c >= 128 else 28 if 48 <= c <= 57 else (c | 32) - 96 if chr(c).isalpha() else 0 if c <= 32 else 29 for c in range(256)], np.int64)
@@ -213,8 +213,8 @@ def _select(rows: DataFrame, model: np.ndarray, selected: int) -> dict[int, int]
     def run(source):
         reader, counts = Reader(held.value, None), np.zeros((2, 1 << FEATURE_BITS), np.int32)
         for batch in source:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                counts[int(toxic > 0), list(reader.read(text))] += 1
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                counts[int(toxic > 0), list(reader.read(text.as_py()))] += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at].astype(np.int64)), pa.array(counts[1, at].astype(np.int64))], names=["feature", "clean", "toxic"])
 
