@@ -80,5 +80,14 @@ def ids_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def slices(source, rows: int = 1_000):
+    """Arrow batches in slices of few rows, so that what is made of them stays small; a batch is let go before the next."""
+    for batch in source:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def batches(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

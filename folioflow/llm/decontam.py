@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, ids_and_bytes, materialise, table
+from .common import LOWER_AZ, ids_and_bytes, materialise, slices, table
 
 WINDOW = 10
 CHUNK_CHARS = 4_000_000
@@ -150,7 +150,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     rows = ids_and_bytes(docs, id_col, text_col)
 
     def run(source):
-        for batch in source:
+        for batch in slices(source) if len(found) == 1 else source:  # several automata are built anew for each
             texts = batch.column("text").to_pylist()
             hits = scan_all(texts, found, size)
             runs = [[{"a": a, "b": b} for a, b in hit] for _, hit, _ in hits]
@@ -166,7 +166,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     found = chunks(benchmark, size, chunk_chars)
 
     def run(source):
-        for batch in source:
+        for batch in slices(source) if len(found) == 1 else source:  # several automata are built anew for each
             texts = [t.encode("utf-8") if t else None for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([not hit for _, hit, _ in scan_all(texts, found, size)], pa.bool_()))
 

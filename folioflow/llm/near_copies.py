@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER_AZ, materialise, shared_dir, spread_join
+from .common import BROADCAST_ROWS, LOWER_AZ, materialise, shared_dir, slices, spread_join
 from .simhash import RADIUS, components, copies_of, keep_first, majority, same_fingerprint, text_bytes
 
 SHINGLE = 5
 BUCKETS = 1 << 20
 _PART = 4096
 _FAN = 256
+MARKS = 256
 _REMEMBERED = 120_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -81,34 +82,51 @@ def hashes(text: bytes | None, known: _Hashes, size: int = SHINGLE) -> np.ndarra
     return h ^ (h >> np.uint64(32))
 
 
+def marks_of(one: np.ndarray) -> bytes:
+    """How many of the distinct hashes fall into each of MARKS classes: two texts share no more than the lesser counts."""
+    counts = np.bincount((one >> np.uint64(40)).astype(np.int64) % MARKS, minlength=MARKS)
+    return zlib.compress(np.minimum(counts, 65_535).astype("<u2").tobytes(), 1)
+
+
+def plausible(a: bytes, b: bytes) -> bool:
+    """False where the counts rule out an index of 0.8 or more; never for near copies."""
+    x, y = (np.frombuffer(zlib.decompress(m), "<u2").astype(np.int64) for m in (a, b))
+    n = int(x.sum() + y.sum())
+    both = int(np.minimum(x, y).sum())
+    return max(x.max(), y.max()) == 65_535 or 5 * both >= 4 * (n - both)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One scan of all texts: id, copy (hash of the text), fp (SimHash) a row; and rows of counts, part by part of BUCKETS."""
+    """One scan of all texts: id, copy (hash of the text), fp (SimHash), marks (see marks_of) a row; and rows of counts."""
     text = text_bytes(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
     kind = dict(rows.dtypes)["id"]
-    names = ["id", "copy", "fp", "part", "task", "counts"]
+    names = ["id", "copy", "fp", "marks", "part", "task", "counts"]
 
     def run(source):
         total, known, last = np.zeros(BUCKETS, np.int64), _Hashes(), None
-        for batch in source:
-            fps = np.zeros(batch.num_rows, np.uint64)
+        for batch in slices(source):
+            fps, marks = np.zeros(batch.num_rows, np.uint64), []
             for i, text in enumerate(batch.column("text")):
                 h = hashes(text.as_py(), known)
+                one = np.unique(h)
+                marks.append(marks_of(one))
                 if len(h):
                     fps[i] = majority(h)
-                    np.add.at(total, (np.unique(h) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                    np.add.at(total, (one & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             last = batch.column("id").type
             none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(fps.view(np.int64)), *none], names=names)
+            found = [batch.column("id"), batch.column("copy"), pa.array(fps.view(np.int64)), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*found, *none], names=names)
         if last is not None:
             task = TaskContext.get().partitionId()
             at = [a for a in range(0, BUCKETS, _PART) if total[a : a + _PART].any()]
             counts = [zlib.compress(total[a : a + _PART].tobytes(), 1) for a in at]
-            none = [pa.nulls(len(at), t) for t in (last, pa.int64(), pa.int64())]
+            none = [pa.nulls(len(at), t) for t in (last, pa.int64(), pa.int64(), pa.binary())]
             ints = pa.array([a // _PART for a in at], pa.int32()), pa.array([task] * len(at), pa.int32())
             yield pa.RecordBatch.from_arrays([*none, *ints, pa.array(counts, pa.binary())], names=names)
 
-    return materialise(rows.mapInArrow(run, f"id {kind}, copy long, fp long, part int, task int, counts binary"))
+    return materialise(rows.mapInArrow(run, f"id {kind}, copy long, fp long, marks binary, part int, task int, counts binary"))
 
 
 def _commonness(sketched: DataFrame) -> np.ndarray:
@@ -136,7 +154,7 @@ def _firsts(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(source):
         level, known, seen = held.value, _Hashes(), set()
-        for batch in source:
+        for batch in slices(source):
             copies, sizes, tokens = [], [], []
             for copy, text in zip(batch.column("copy").to_pylist(), batch.column("text"), strict=True):
                 if copy in seen:
@@ -157,16 +175,26 @@ def _firsts(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "copy long, n int, token long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are near copies."""
-    pairs = materialise(pairs.distinct())
+def _with_ends(pairs: DataFrame, rows: DataFrame, what: str) -> DataFrame:
+    """Pairs (u, v) with a column of rows (copy, what) for either end, as a and b; rows may repeat a copy."""
     wanted = materialise(pairs.select(F.col("u").alias("copy")).unionByName(pairs.select(F.col("v").alias("copy"))).distinct())
-    texts = (rows.join(F.broadcast(wanted), "copy", "left_semi") if wanted.count() <= BROADCAST_ROWS else rows.join(wanted, "copy", "left_semi")).dropDuplicates(["copy"])
-    a, b = texts.select(F.col("copy").alias("u"), F.col("text").alias("a")), texts.select(F.col("copy").alias("v"), F.col("text").alias("b"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    held = rows.select("copy", what).join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
+    a, b = held.select(F.col("copy").alias("u"), F.col(what).alias("a")), held.select(F.col("copy").alias("v"), F.col(what).alias("b"))
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b")
 
-    def run(source):
+
+def _verified(pairs: DataFrame, rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are near copies: first by their marks, then, for what these leave, by the texts."""
+
+    def likely(source):
+        for batch in slices(source):
+            keep = [plausible(a.as_py(), b.as_py()) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def sure(source):
         last, left = None, set()
-        for batch in source:
+        for batch in slices(source):
             keep = []
             for x, a, b in zip(batch.column("u").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
                 if x != last:
@@ -174,13 +202,16 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 keep.append(near(left, shingles(b.as_py())))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    pairs = materialise(pairs.distinct())
+    marked = _with_ends(pairs, sketched.where("part is null"), "marks")
+    pairs = materialise(marked.mapInArrow(likely, "u long, v long"))
+    return materialise(_with_ends(pairs, rows, "text").mapInArrow(sure, "u long, v long"))
 
 
-def links(rows: DataFrame, common: np.ndarray) -> DataFrame:
+def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs (u, v) of near copies in rows (copy, text) whose components are those of all pairs of near copies."""
     folder = f"{shared_dir(rows.sparkSession)}/near_copies/{uuid.uuid4()}"
-    _firsts(rows, common).write.parquet(folder)
+    _firsts(rows, _commonness(sketched)).write.parquet(folder)
     tokens = rows.sparkSession.read.parquet(folder)
     ends = F.min("copy").alias("first"), F.max("copy").alias("last"), F.count(F.lit(1)).alias("count")
     shared = materialise(tokens.groupBy("token").agg(*ends).where("first <> last"))
@@ -189,7 +220,7 @@ def links(rows: DataFrame, common: np.ndarray) -> DataFrame:
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     others = members.where("copy <> first")
     star = spread_join(others, heads, "token").where(fits(F.col("n"), F.col("n_first")))
-    found = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows)
+    found = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows, sketched)
     roots = materialise(components(found).withColumnRenamed("node", "copy"))
     rest = materialise(spread_join(others, roots, "copy", "left").select("token", "copy", "n", F.coalesce("root", "copy").alias("root")))
     split = materialise(rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
@@ -197,7 +228,7 @@ def links(rows: DataFrame, common: np.ndarray) -> DataFrame:
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.copy") < F.col("y.copy")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
     more = x.join(y, apart).select(F.col("x.copy").alias("u"), F.col("y.copy").alias("v"))
-    return found.unionByName(_verified(more, rows))
+    return found.unionByName(_verified(more, rows, sketched))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,5 +240,5 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     each, copies = copies_of(sketched.where("part is null"))
     text = text_bytes(text_col)
     rows = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
-    pairs = links(rows, _commonness(sketched)).unionByName(same_fingerprint(copies, radius))
+    pairs = links(rows, sketched).unionByName(same_fingerprint(copies, radius))
     return keep_first(docs, each, copies, pairs, id_col, text_col)

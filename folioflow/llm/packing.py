@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from .tokenizing import encoder
 
 CAPACITY = 2048
@@ -36,7 +36,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
 
     def run(source):
         encode = encoder(path, keeps_space=False)
-        for batch in source:
+        for batch in slices(source):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 whole = encode(text.as_py()) + END

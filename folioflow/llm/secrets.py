@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 
 ASSIGN = re.compile(r"(?i:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -189,7 +189,7 @@ def spans_and_candidates(text: str) -> tuple[list[tuple[int, int, int]], list[di
 def _scan(source):
     total, last = np.zeros(65_536, np.int64), None
     names = ["doc_id", "pairs", "base", "random"]
-    for batch in source:
+    for batch in slices(source):
         base, random = [], []
         for cell in batch.column("text"):
             text = cell.as_py() or ""
@@ -215,7 +215,7 @@ def learn(scanned: DataFrame, q: float = FALSE_DISCOVERIES) -> tuple[list, dict[
     text = ordinary(pairs)
 
     def bins(source):
-        for batch in source:
+        for batch in slices(source):
             found = [judge(c, text) for cell in batch.column("random").to_pylist() for c in cell]
             columns = [pa.array([s for s, _ in found], pa.int32()), pa.array([int(d * _BINS) for _, d in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["stratum", "bin"])
@@ -261,7 +261,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     learned = learn(scanned, q)
 
     def run(source):
-        for batch in source:
+        for batch in slices(source):
             base = batch.column("base").to_pylist()
             both = zip(base, batch.column("random").to_pylist(), strict=True)
             spans = [sorted(b + accepted(r, learned), key=lambda s: (s["start"], s["kind"])) for b, r in both]
@@ -278,7 +278,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     learned = learn(scan_corpus(docs, id_col, text_col), q)
 
     def run(source):
-        for batch in source:
+        for batch in slices(source):
             out = []
             for text in batch.column(text_col).to_pylist():
                 if text:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER_AZ, fresh, ids_and_bytes, materialise, spread_join, table
+from .common import BROADCAST_ROWS, LOWER_AZ, fresh, ids_and_bytes, materialise, slices, spread_join, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = ids_and_bytes(docs, id_col, text_col)
 
     def run(source):
-        for batch in source:
+        for batch in slices(source):
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -160,7 +160,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     pairs = left.join(blocks.withColumnRenamed("members", "b"), ["tile", "block"]).select("a", "b", "same")
 
     def run(source):
-        for batch in source:
+        for batch in slices(source):
             for i in range(batch.num_rows):
                 a = batch.column("a")[i].values.to_numpy().view(np.uint64)
                 b = batch.column("b")[i].values.to_numpy().view(np.uint64)

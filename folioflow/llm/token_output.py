@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, slices, table
 from .token_file import read_frame, write_frame
 from .tokenizing import encoder
 
@@ -45,7 +45,7 @@ def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id",
                 [pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), doc_ids, pa.array([frame_bytes], pa.binary())], names=["file", "number", "n_ids", "doc_ids", "frame"]
             )
 
-        for batch in source:
+        for batch in slices(source):
             id_type = batch.column("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 whole = encode(text.as_py()) + END

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 
 #: What characters are written for; fixed values.
 LOOKS = {
@@ -67,7 +67,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
 
     def run(source):
         total = np.zeros(_SIZE**3, np.int64)
-        for batch in source:
+        for batch in slices(source):
             for cell in batch.column("text"):
                 raw = cell.as_buffer()
                 if raw is not None and raw.size:
@@ -212,7 +212,7 @@ def _select(rows: DataFrame, model: np.ndarray, selected: int) -> dict[int, int]
 
     def run(source):
         reader, counts = Reader(held.value, None), np.zeros((2, 1 << FEATURE_BITS), np.int32)
-        for batch in source:
+        for batch in slices(source):
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 counts[int(toxic > 0), list(reader.read(text.as_py()))] += 1
         at = np.flatnonzero(counts.any(axis=0))
@@ -237,7 +237,7 @@ def _fit(rows: DataFrame, model: np.ndarray, chosen: dict[int, int], rounds: int
 
     def run(source):
         reader = Reader(*held.value)
-        for batch in source:
+        for batch in slices(source):
             found = [sorted(reader.read(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
@@ -284,7 +284,7 @@ def score(docs: DataFrame, trained) -> DataFrame:
     def run(source):
         model, chosen, weights = held.value
         reader = Reader(model, chosen)
-        for batch in source:
+        for batch in slices(source):
             p = _scores(batch.column("text"), reader, weights)
             out = pa.array([held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -301,7 +301,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(source):
         model, chosen, weights = held.value
         reader = Reader(model, chosen)
-        for batch in source:
+        for batch in slices(source):
             yield batch.filter(pa.array(_scores(batch.column("text"), reader, weights) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

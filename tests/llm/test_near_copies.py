@@ -1,6 +1,9 @@
 """Near copies against all pairs found by brute force."""
 
+import random
+
 import corpus_pipeline
+import numpy as np
 import pytest
 from folioflow.llm import common, near_copies, simhash
 from folioflow.llm.common import table
@@ -89,3 +92,18 @@ def test_pipeline_leaves_no_near_copy(spark):
     docs = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "/root/testdata/sf0.01")
     texts = [(r.text or "").encode() for r in docs.collect()]
     assert len(texts) > 800 and groups_by_brute_force(texts)[1] == []
+
+
+def test_marks_never_rule_out_near_copies():
+    rng, known = random.Random(3), near_copies._Hashes()
+    for n in (3, 10, 100, 2000):
+        for _ in range(30):
+            words = [f"w{rng.randrange(5 * n)}" for _ in range(n)]
+            other = list(words)
+            for _ in range(rng.randrange(1 + n // 20)):
+                other[rng.randrange(n)] = f"x{rng.randrange(n)}"
+            a, b = " ".join(words).encode(), " ".join(other).encode()
+            one, two = (near_copies.marks_of(np.unique(near_copies.hashes(t, known))) for t in (a, b))
+            assert near_copies.plausible(one, two) or not near_copies.near(near_copies.shingles(a), near_copies.shingles(b))
+    strangers = [near_copies.marks_of(np.unique(near_copies.hashes(" ".join(f"{k}y{j}" for j in range(300)).encode(), known))) for k in (1, 2)]
+    assert not near_copies.plausible(*strangers)
