@@ -1,8 +1,8 @@
-"""Predicates compiled to two-valued Columns.
+"""Predicates compiled to filter Columns.
 
-A clause never raises for a type that does not fit and never yields NULL: a comparison with a missing, null or
-mismatched value is false (its negation true), so that `or` groups and negations stay two-valued. The Column is chosen with
-the schema in hand, which keeps plain comparisons plain and lets Catalyst push them to the scan.
+A clause never raises for a type that does not fit: a comparison with a missing, null or mismatched value does not hold,
+and its negation does. In a filter null is as good as false, also under `or` and `and`, so that only negations are made
+two-valued there, and bare comparisons, chosen with the schema in hand, reach the scan as pushed filters.
 """
 
 from __future__ import annotations
@@ -77,6 +77,14 @@ def column_at(schema: T.StructType, path: str) -> Column:
     return column
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _is_nan(v) -> bool:
     return isinstance(v, float) and math.isnan(v)
 
@@ -99,7 +107,7 @@ def _compare(column: Column, t: T.DataType | None, op: str, value) -> Column:
     found = {"<": column < v, "<=": column <= v, ">": column > v, ">=": column >= v}[op]
     if isinstance(t, (T.DoubleType, T.FloatType)) and op in (">", ">="):
         found = found & ~F.isnan(column)
-    return F.coalesce(found, F.lit(False))
+    return found
 
 
 def _member(column: Column, t: T.DataType | None, values) -> Column:
@@ -107,22 +115,22 @@ def _member(column: Column, t: T.DataType | None, values) -> Column:
         return F.lit(False)
     kind = kind_of_type(t)
     fit = [v for v in values if kind_of_value(v) == kind and not _is_nan(v)]
-    found = F.coalesce(column.isin(*fit), F.lit(False)) if fit else F.lit(False)
+    found = [column.isin(*fit)] if fit else []
     if any(v is None for v in values):
-        found = found | column.isNull()
+        found.append(column.isNull())
     if any(_is_nan(v) for v in values) and isinstance(t, (T.DoubleType, T.FloatType)):
-        found = found | F.coalesce(F.isnan(column), F.lit(False))
-    return found
+        found.append(F.isnan(column))
+    return reduce(lambda a, b: a | b, found) if found else F.lit(False)
 
 
 def _contains(column: Column, t: T.DataType | None, value) -> Column:
     if kind_of_type(t) == "string" and isinstance(value, str):
-        return F.coalesce(column.contains(value), F.lit(False))
+        return column.contains(value)
     if isinstance(t, T.ArrayType):
         if value is None:
-            return F.coalesce(F.exists(column, lambda x: x.isNull()), F.lit(False))
+            return F.exists(column, lambda x: x.isNull())
         if kind_of_type(t.elementType) == kind_of_value(value):
-            return F.coalesce(F.exists(column, lambda x: F.coalesce(x == F.lit(value), F.lit(False))), F.lit(False))
+            return F.exists(column, lambda x: x.eqNullSafe(F.lit(value)))
     return F.lit(False)
 
 
@@ -140,31 +148,40 @@ def compile_field(schema: T.StructType, clause: FieldClause) -> Column:
     if op == "contains":
         return _contains(column, t, value)
     if op == "startsWith":
-        return F.coalesce(column.startswith(value), F.lit(False)) if kind == "string" and isinstance(value, str) else F.lit(False)
+        return column.startswith(value) if kind == "string" and isinstance(value, str) else F.lit(False)
     if op == "between":
         if not isinstance(value, (list, tuple)) or len(value) != 2:
             return F.lit(False)
         return _compare(column, t, ">=", value[0]) & _compare(column, t, "<=", value[1])
     # beyond parity: documented extras
     if op == "not-in":
-        return ~_member(column, t, value)
+        return ~F.coalesce(_member(column, t, value), F.lit(False))
     if op == "array-contains-any":
-        return reduce(lambda a, b: a | b, (_contains(column, t, v) for v in value), F.lit(False)) if isinstance(t, T.ArrayType) else F.lit(False)
+        any_of = [_contains(column, t, v) for v in value] if isinstance(t, T.ArrayType) else []
+        return reduce(lambda a, b: a | b, any_of, F.lit(False))
     raise ValueError(f"unknown operator {op!r}")
 
 
 def compile_clause(df: DataFrame, clause) -> Column:
+    """A clause as a two-valued Column, for any use."""
+    return F.coalesce(filter_column(df, clause), F.lit(False))
+
+
+def filter_column(df: DataFrame, clause) -> Column:
+    """A clause as a Column for a filter, which takes null as false."""
     if isinstance(clause, FieldClause):
         return compile_field(df.schema, clause)
     if isinstance(clause, ColumnClause):
-        return F.coalesce(clause.build(df), F.lit(False))
+        return clause.build(df)
     if isinstance(clause, GroupClause):
-        parts = [compile_clause(df, c) for c in clause.clauses]
-        return reduce(lambda a, b: a | b, parts, F.lit(False)) if clause.how == "or" else reduce(lambda a, b: a & b, parts, F.lit(True))
+        parts = [filter_column(df, c) for c in clause.clauses]
+        if not parts:
+            return F.lit(clause.how != "or")
+        return reduce((lambda a, b: a | b) if clause.how == "or" else (lambda a, b: a & b), parts)
     raise TypeError(f"not a clause: {clause!r}")
 
 
 def apply_clauses(df: DataFrame, clauses) -> DataFrame:
     for clause in clauses:
-        df = df.where(compile_clause(df, clause))
+        df = df.where(filter_column(df, clause))
     return df

@@ -32,6 +32,19 @@ class Collection:
     indexes: tuple = ()  # names, or tuples of names
     unique: bool = True  # ids are known to be unique
 
+    def get(self, id_value) -> DataFrame:
+        """The row of an id, or none; the id reaches the scan as a filter."""
+        return self.df.where(F.col(self.id_col) == F.lit(id_value))
+
+    def get_many(self, ids: DataFrame) -> DataFrame:
+        """ids (column id) with the row of each as a struct, null where there is none."""
+        return lookup_join(ids, self.df, JoinLeg("id", "row", self.name), self.id_col, self.seq, self.unique)
+
+    def find_by_digest(self, path: str, value: str, stored: str | None = None) -> DataFrame:
+        """Rows whose field has the digest of a value; stored names a column that holds digests already."""
+        digest = F.col(stored) if stored else F.sha2(column_at(self.df.schema, path).cast("string"), 256)
+        return self.df.where(digest == F.sha2(F.lit(value), 256))
+
 
 class Catalog(dict):
     """Things by name; those that are declared by a function are made when they are first asked for."""
@@ -113,7 +126,7 @@ class Query:
     def offset(self, n: int) -> Query:
         return self._with(offset=n)
 
-    def join(self, path: str, alias: str, strategy: str | None = None, max_rows: int | None = None) -> Query:
+    def join(self, path: str, alias: str, strategy: str | None = None, max_rows: int | str | None = None) -> Query:
         if path in self.source.dictionaries:
             return self._with(joins=(JoinLeg(path, alias, self.source.dictionaries[path], dictionary=True),))
         declared = self.source.references.get(path)
@@ -193,12 +206,23 @@ class Query:
         """Rows one by one, a partition at a time in memory."""
         return self._joined(self._filtered()).toLocalIterator(prefetchPartitions=True)
 
-    def page_after(self, cursor, n: int) -> tuple[list, object]:
-        """Rows with ids beyond the cursor, in order of id, and the next cursor (None at the end)."""
+    def page(self, cursor, n: int) -> DataFrame:
+        """The next n rows with ids beyond the cursor (None: from the start), in order of id, joins attached."""
         df, key = self._filtered(), self.source.id_col
-        rows = (df if cursor is None else df.where(F.col(key) > F.lit(cursor))).orderBy(key).limit(n + 1).collect()
+        return self._joined((df if cursor is None else df.where(F.col(key) > F.lit(cursor))).orderBy(key).limit(n))
+
+    def page_after(self, cursor, n: int) -> tuple[list, object]:
+        """The rows of a page, and the next cursor (None at the end)."""
+        rows, key = self.page(cursor, n + 1).collect(), self.source.id_col
         return rows[:n], rows[n - 1][key] if len(rows) > n else None
 
+    def list(self, locale: str | None = None, fallback: tuple[str, ...] = (), fields: tuple[str, ...] = ()) -> DataFrame:
+        """to_df in one locale: localised fields (maps locale -> text) become text."""
+        from ..functions.i18n import apply_locale
+
+        df = self.to_df()
+        return df if locale is None else apply_locale(df, [*fields], locale, fallback)
+
     def _reducible(self) -> DataFrame:
         return self._joined(self._filtered()) if self.scanning else self._filtered()
 

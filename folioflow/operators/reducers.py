@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import RowCeiling
-from .predicates import column_at, kind_of_type, type_at
+from .predicates import column_at, fresh, kind_of_type, type_at
 
 MAX_GROUPS = 100_000
 
@@ -75,19 +74,23 @@ def reduce_rows(df: DataFrame, spec: dict[str, Reducer]) -> DataFrame:
     return df.agg(*[r.column(df).alias(name) for name, r in spec.items()])
 
 
+def at_most(df: DataFrame, ceiling: int | None, what: str) -> DataFrame:
+    """df, which fails when it runs if it has more rows than the ceiling; the check is a part of its plan, not a job."""
+    if ceiling is None:
+        return df
+    n = df.limit(ceiling + 1).agg(F.count(F.lit(1)).alias("n")).scalar()  # stops as soon as the ceiling is passed
+    return df.where(F.when(n > ceiling, F.raise_error(F.lit(f"RowCeiling: more than {ceiling} {what}")).cast("boolean")).otherwise(True))
+
+
 def group_rows(df: DataFrame, path: str, spec: dict[str, Reducer], seq: str | None = None, max_groups: int | None = MAX_GROUPS) -> DataFrame:
     """One row a key, named as the last segment of the path, in the order keys were first seen if seq orders rows.
 
-    Partial aggregates run before the shuffle, so that a hot key moves a row a task. The ceiling is checked on the
-    result, which is kept for that; at cluster scale turn it off (None) to aggregate lazily.
+    Partial aggregates run before the shuffle, so that a hot key moves a row a task. The ceiling is checked by the plan
+    itself, over the shuffle that the groups use too; None leaves it out.
     """
     name = path if "." not in path else path.split(".")[-1]
     grouped = df.groupBy(column_at(df.schema, path).alias(name))
-    order = [F.min(seq).alias("_first")] if seq else []
-    out = grouped.agg(*[r.column(df).alias(n) for n, r in spec.items()], *order)
-    if max_groups is not None:
-        out = out.persist()  # the few groups that pass the check are not computed again
-        if out.limit(max_groups + 1).count() > max_groups:
-            out.unpersist()
-            raise RowCeiling(f"more than {max_groups} groups of {path!r}")
-    return out.orderBy("_first").drop("_first") if seq else out
+    first = fresh(df, "_first")
+    order = [F.min(seq).alias(first)] if seq else []
+    out = at_most(grouped.agg(*[r.column(df).alias(n) for n, r in spec.items()], *order), max_groups, f"groups of {path!r}")
+    return out.orderBy(first).drop(first) if seq else out

@@ -56,7 +56,7 @@ class JoinLeg:
     target: str
     mode: str = "warn"
     strategy: str | None = None
-    max_rows: int | None = None
+    max_rows: int | str | None = None
     dictionary: bool = False
 
     def to_dict(self) -> dict:

@@ -11,6 +11,7 @@ from .functions import files, i18n
 from .operators import diff, joins, merge, periods, versions
 from .operators import reducers as R
 from .operators.query import Collection, Engine, Query
+from .operators.shared import shared_dir
 from .plans import JoinLeg, adapters
 from .sources import exports, stores
 
@@ -75,7 +76,7 @@ where_query("where_gte", "lineitem", LINE, lambda q: q.where("l_quantity", ">=",
 where_query("where_between", "lineitem", LINE, lambda q: q.where("l_quantity", "between", [10, 20]), "l_quantity BETWEEN 10 AND 20")
 where_query("where_in", "orders", ORD, lambda q: q.where("o_orderpriority", "in", ["1-URGENT", "2-HIGH", None, 3]), "o_orderpriority IN ('1-URGENT', '2-HIGH')")
 where_query("where_not_in", "orders", ORD, lambda q: q.where("o_orderpriority", "not-in", ["1-URGENT", "2-HIGH"]), "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
-where_query("where_contains", "part", "p_partkey p_name", lambda q: q.where("p_name", "contains", "1"), "contains(p_name, '1')")
+where_query("where_contains", "part", "p_partkey p_name", lambda q: q.where("p_name", "contains", "ring"), "contains(p_name, 'ring')")
 where_query("where_starts_with", "part", "p_partkey p_brand", lambda q: q.where("p_brand", "startsWith", "Brand#1"), "starts_with(p_brand, 'Brand#1')")
 where_query("where_type_mismatch", "orders", ORD, lambda q: q.where("o_totalprice", "==", "100").or_(lambda b: b), "false")
 where_query("where_mismatch_ne", "orders", ORD, lambda q: q.where("o_totalprice", "!=", "100").where("o_orderkey", ">", 10), "o_orderkey > 10")
@@ -112,19 +113,19 @@ def order_limit_offset(s, d):
     return engine(s, d).query("orders").order_by("o_totalprice", "desc").offset(10).limit(20).to_df().select("o_orderkey", "o_totalprice")
 
 
-@query("order_two_keys", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50")
+@query("order_two_keys", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
 def order_two_keys(s, d):
-    return engine(s, d).query("orders").order_by("o_orderpriority").order_by("o_totalprice", "desc").limit(999).limit(50).to_df().select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return engine(s, d).query("orders").order_by("o_orderpriority").order_by("o_totalprice", "desc").to_df().select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("order_asc_nulls_last", f"SELECT doc_id, quality FROM {LABELLED_SQL} ORDER BY quality ASC NULLS LAST, doc_id LIMIT 60")
+@query("order_asc_nulls_last", f"SELECT doc_id, quality FROM {LABELLED_SQL} ORDER BY quality ASC NULLS LAST, doc_id")
 def order_asc_nulls_last(s, d):
-    return engine(s, d).query("labelled").order_by("quality").limit(60).to_df().select("doc_id", "quality")
+    return engine(s, d).query("labelled").order_by("quality").to_df().select("doc_id", "quality")
 
 
-@query("order_desc_nulls_first", f"SELECT doc_id, quality FROM {LABELLED_SQL} ORDER BY quality DESC NULLS FIRST, doc_id LIMIT 60")
+@query("order_desc_nulls_first", f"SELECT doc_id, quality FROM {LABELLED_SQL} ORDER BY quality DESC NULLS FIRST, doc_id")
 def order_desc_nulls_first(s, d):
-    return engine(s, d).query("labelled").order_by("quality", "desc").limit(60).to_df().select("doc_id", "quality")
+    return engine(s, d).query("labelled").order_by("quality", "desc").to_df().select("doc_id", "quality")
 
 
 @query("first_row", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 1")
@@ -142,7 +143,7 @@ def lazy_order_drops_nulls(s, d):
 
 @query("page_keyset", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100")
 def page_keyset(s, d):
-    return engine(s, d).query("orders").where("o_orderkey", ">", 500).order_by("o_orderkey").limit(100).to_df().select("o_orderkey", "o_orderstatus")
+    return engine(s, d).query("orders").page(500, 100).select("o_orderkey", "o_orderstatus")
 
 
 @query("count_ignores_page", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'O'")
@@ -210,9 +211,9 @@ def groupby_nested_key(s, d):
     return engine(s, d).query("events").group_by("props.k", {"n": R.count()})
 
 
-@query("groupby_first_seen", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey ORDER BY min(o_orderkey) LIMIT 25")
+@query("groupby_first_seen", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey ORDER BY min(o_orderkey)")
 def groupby_first_seen(s, d):
-    return engine(s, d).query("orders").group_by("o_custkey", {"n": R.count()}, max_groups=None).limit(25)
+    return engine(s, d).query("orders").group_by("o_custkey", {"n": R.count()}, max_groups=None)
 
 
 @query("groupby_label", f"SELECT o_orderstatus, n, coalesce(d.th, d.en) AS \"o_orderstatusLabel\" FROM (SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1) LEFT JOIN {STATUS_SQL} ON d.key = o_orderstatus")
@@ -256,10 +257,11 @@ def join_limit_before(s, d):
     return flat(engine(s, d).query("orders").order_by("o_totalprice", "desc").limit(10).join("o_custkey", "customer").to_df(), "o_orderkey", "customer.c_name")
 
 
-@query("join_dangling_warn", "SELECT l.doc_id, d.lang AS document_lang FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d ON l.doc_id = d.doc_id")
+@query("join_dangling_warn", "SELECT d.doc_id, l.quality AS label_quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def join_dangling_warn(s, d):
-    documents = read(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang")
-    return flat(joins.lookup_join(read(s, d, "labels"), documents, JoinLeg("doc_id", "document", "documents"), "doc_id", unique=True), "doc_id", "document.lang")
+    """Labels cover only some documents: the others get null."""
+    leg = JoinLeg("doc_id", "label", "labels")
+    return flat(joins.lookup_join(read(s, d, "documents").select("doc_id", "lang"), read(s, d, "labels"), leg, "doc_id", unique=True), "doc_id", "label.quality")
 
 
 @query("join_last_duplicate_wins", "SELECT c_custkey, arg_max(o_orderkey, o_orderkey) AS last_o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -283,11 +285,17 @@ def scan_join_group(s, d):
     return rounded(chain(engine(s, d).scan("orders").where("o_orderstatus", "==", "F")).group_by("region.r_name", {"n": R.count(), "total": R.sum_of("o_totalprice")}))
 
 
-@query("integrity_report", "SELECT 'labels' AS collection, CAST(doc_id AS VARCHAR) AS id, 'doc_id' AS field, 'documents' AS target, CAST(doc_id AS VARCHAR) AS value FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'o_custkey', 'customer', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query(
+    "integrity_report",
+    """SELECT 'documents' AS collection, CAST(doc_id AS VARCHAR) AS id, 'doc_id' AS field, 'labels' AS target, CAST(doc_id AS VARCHAR) AS value
+    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'o_custkey', 'customer', CAST(o_custkey AS VARCHAR)
+    FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+)
 def integrity_report(s, d):
     t = lambda n: read(s, d, n)
-    held = {"labels": (t("labels"), "doc_id"), "documents": (t("documents").where("doc_id % 2 = 0"), "doc_id"), "orders": (t("orders"), "o_orderkey"), "customer": (t("customer"), "c_custkey")}
-    return joins.integrity_report(held, [("labels", "doc_id", "documents"), ("orders", "o_custkey", "customer")])
+    held = {"labels": (t("labels"), "doc_id"), "documents": (t("documents"), "doc_id"), "orders": (t("orders"), "o_orderkey"), "customer": (t("customer"), "c_custkey")}
+    return joins.integrity_report(held, [("documents", "doc_id", "labels"), ("orders", "o_custkey", "customer")])
 
 
 @query("cascade_delete_ids", "WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)) SELECT 'customer' AS collection, CAST(c_custkey AS VARCHAR) AS id FROM c UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM o UNION ALL SELECT 'nation', '3' FROM nation WHERE n_nationkey = 3")
@@ -300,8 +308,13 @@ def cascade_delete_ids(s, d):
 
 @query("get_many", "SELECT k AS id, o_totalprice FROM (VALUES (1), (2), (-5)) v(k) LEFT JOIN orders ON o_orderkey = k")
 def get_many(s, d):
-    wanted = s.createDataFrame([(1,), (2,), (-5,)], "id int")
-    return flat(joins.lookup_join(wanted, read(s, d, "orders"), JoinLeg("id", "o", "orders"), "o_orderkey", unique=True), "id", "o.o_totalprice").withColumnRenamed("o_o_totalprice", "o_totalprice")
+    found = engine(s, d).collections["orders"].get_many(s.createDataFrame([(1,), (2,), (-5,)], "id int"))
+    return flat(found, "id", "row.o_totalprice").withColumnRenamed("row_o_totalprice", "o_totalprice")
+
+
+@query("get_one", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
+def get_one(s, d):
+    return engine(s, d).collections["orders"].get(7).select("o_orderkey", "o_totalprice")
 
 
 # versions: events as a change log of user states
@@ -369,9 +382,7 @@ def prune_before(s, d):
 
 @query("version_fields_changed", f"SELECT id, CAST(_v AS BIGINT) AS _v, value IS DISTINCT FROM p AS value_changed, op IS DISTINCT FROM o AS op_changed FROM (SELECT *, lag(value) OVER w AS p, lag(op) OVER w AS o FROM {LOG_SQL} WINDOW w AS (PARTITION BY id ORDER BY _v)) WHERE _v > 1")
 def version_fields_changed(s, d):
-    held = log(s, d).df
-    before = held.select("id", (F.col("_v") + 1).alias("_v"), F.col("value").alias("p"), F.col("op").alias("o"))
-    return held.join(before, ["id", "_v"]).select("id", F.col("_v").cast("long").alias("_v"), (~F.col("value").eqNullSafe(F.col("p"))).alias("value_changed"), (~F.col("op").eqNullSafe(F.col("o"))).alias("op_changed"))
+    return versions.fields_changed(log(s, d), ["value", "op"]).withColumn("_v", F.col("_v").cast("long"))
 
 
 @query("ledger_gap_check", "SELECT user_id, event_id, p AS before, event_id - p - 1 AS gap FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE event_id - p <> 1")
@@ -379,20 +390,52 @@ def ledger_gap_check(s, d):
     return versions.ledger_gaps(read(s, d, "events"), "event_id", "user_id")
 
 
+LEDGER = ["event_id", "event_type", "user_id"]
+#: The chain again, entry by entry: each hash is that of the canonical JSON of the entry with the hash before.
+LEDGER_SQL = """WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+c AS (SELECT user_id, i, event_id, '' AS p, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","index":0,"prevHash":"","user_id":' || user_id || '}') AS h
+      FROM e WHERE i = 0
+      UNION ALL
+      SELECT e.user_id, e.i, e.event_id, c.h, sha256('{"event_id":' || e.event_id || ',"event_type":"' || e.event_type || '","index":' || e.i || ',"prevHash":"' || c.h || '","user_id":' || e.user_id || '}')
+      FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1)"""
+
+
+def ledger(s, d) -> DataFrame:
+    return versions.ledger_append(read(s, d, "events").select(*LEDGER), LEDGER, "event_id", "user_id")
+
+
+@query("ledger_append", LEDGER_SQL + ' SELECT user_id, CAST(i AS BIGINT) AS index, event_id, p AS "prevHash", h AS "entryHash" FROM c')
+def ledger_append(s, d):
+    return ledger(s, d).select("user_id", "index", "event_id", "prevHash", "entryHash")
+
+
 @query("ledger_verify", "SELECT user_id, CAST(count(*) AS BIGINT) AS entries, count(*) < 6 AS ok, CASE WHEN count(*) >= 6 THEN CAST(5 AS BIGINT) END AS first_bad FROM events GROUP BY user_id")
 def ledger_verify(s, d):
     """Chains whose entry 5 was changed afterwards: verification names it."""
-    columns = ["event_id", "event_type", "user_id"]
-    ledger = versions.ledger_append(read(s, d, "events").select(*columns), columns, "event_id", "user_id")
-    tampered = ledger.withColumn("event_type", F.when(F.col("index") == 5, "tampered").otherwise(F.col("event_type")))
-    return versions.ledger_verify(tampered, columns, "user_id")
+    tampered = ledger(s, d).withColumn("event_type", F.when(F.col("index") == 5, "tampered").otherwise(F.col("event_type")))
+    return versions.ledger_verify(tampered, LEDGER, "user_id")
 
 
-@query("ledger_head", "SELECT user_id, CAST(count(*) - 1 AS BIGINT) AS index, max(event_id) AS event_id FROM events GROUP BY user_id")
+@query("ledger_forged", "SELECT user_id, CAST(count(*) AS BIGINT) AS entries, count(*) < 4 AS ok, CASE WHEN count(*) >= 4 THEN CAST(3 AS BIGINT) END AS first_bad FROM events GROUP BY user_id")
+def ledger_forged(s, d):
+    """Chains whose entry 2 was changed and hashed anew: the entry after it no longer holds."""
+    forged = ledger(s, d).withColumn("event_type", F.when(F.col("index") == 2, "forged").otherwise(F.col("event_type")))
+    rehashed = F.when(F.col("index") == 2, versions.entry_hash([*LEDGER, "index", "prevHash"])).otherwise(F.col("entryHash"))
+    return versions.ledger_verify(forged.withColumn("entryHash", rehashed), LEDGER, "user_id")
+
+
+@query("ledger_head", LEDGER_SQL + " SELECT user_id, CAST(max(i) AS BIGINT) AS index, arg_max(h, i) AS hash FROM c GROUP BY user_id")
 def ledger_head(s, d):
-    columns = ["event_id", "event_type", "user_id"]
-    ledger = versions.ledger_append(read(s, d, "events").select(*columns), columns, "event_id", "user_id")
-    return ledger.join(versions.ledger_head(ledger, "user_id"), ["user_id", "index"]).select("user_id", "index", "event_id")
+    return versions.ledger_head(ledger(s, d), "user_id")
+
+
+@query("ledger_continue", LEDGER_SQL + ' SELECT user_id, CAST(i AS BIGINT) AS index, h AS "entryHash" FROM c WHERE event_id >= 5000')
+def ledger_continue(s, d):
+    """The entries of the later events, appended to the heads that the earlier ones left."""
+    events = read(s, d, "events").select(*LEDGER)
+    early = versions.ledger_append(events.where("event_id < 5000"), LEDGER, "event_id", "user_id")
+    late = versions.ledger_append(events.where("event_id >= 5000"), LEDGER, "event_id", "user_id", versions.ledger_head(early, "user_id"))
+    return late.select("user_id", "index", "entryHash")
 
 
 @query("put_many_cas", f"SELECT id, CASE WHEN id % 2 = 0 THEN 'written' ELSE 'rejected' END AS outcome, CAST(CASE WHEN id % 2 = 0 THEN _v + 1 ELSE _v END AS BIGINT) AS _v FROM {LATEST_SQL.format('true')}")
@@ -404,6 +447,56 @@ def put_many_cas(s, d):
     return written.unionByName(rejected.select("id", F.lit("rejected").alias("outcome"), F.col("actual_version").cast("long").alias("_v")))
 
 
+@query(
+    "put_many_batch",
+    f"""SELECT c.id, CAST(coalesce(l._v, 0) + n AS BIGINT) AS _v, c.id * 10 + n AS event_id
+    FROM (SELECT c_custkey AS id, unnest([1, 2]) AS n FROM customer) c LEFT JOIN {LATEST_SQL.format('true')} l ON l.id = c.id""",
+)
+def put_many_batch(s, d):
+    """Two writes an id in one batch, to ids that are there and to new ones: they take the next two versions."""
+    twice = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    incoming = twice.select("id", (F.col("id") * 10 + F.col("n")).alias("event_id"), "n")
+    after, _ = versions.put_many(log(s, d), incoming, F.lit("2024-03-01").cast("timestamp_ntz"), arrival="n")
+    return after.where("ts = timestamp_ntz'2024-03-01'").select("id", F.col("_v").cast("long").alias("_v"), "event_id")
+
+
+@query("delete_many", f"SELECT id, CAST(_v + 1 AS BIGINT) AS _v, 'delete' AS op FROM {LATEST_SQL.format('true')} WHERE op <> 'delete' AND id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def delete_many(s, d):
+    """Tombstones for ids that are alive; the others are left out."""
+    ids = read(s, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("id"))
+    after = versions.delete_many(log(s, d), ids, F.lit("2024-03-01").cast("timestamp_ntz"))
+    return after.where("ts = timestamp_ntz'2024-03-01'").select("id", F.col("_v").cast("long").alias("_v"), "op")
+
+
+@query("clear_history", f"SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v FROM {LATEST_SQL.format('true')}")
+def clear_history(s, d):
+    return state(versions.clear_history(log(s, d)))
+
+
+@query(
+    "transaction_commit",
+    f"""SELECT 'users' AS collection, id, CAST(_v + 1 AS BIGINT) AS _v, 'put' AS op FROM {LATEST_SQL.format('true')}
+    UNION ALL SELECT 'customers', c_custkey, CAST(2 AS BIGINT), 'delete' FROM customer WHERE c_acctbal < 0""",
+)
+def transaction_commit(s, d):
+    """Puts with the version each relies on in one collection, deletions in another, committed together."""
+    users, at = log(s, d), F.lit("2024-03-01").cast("timestamp_ntz")
+    customers = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("_v"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("put").alias("op"), "c_acctbal")
+    logs = {"users": users, "customers": versions.Log(customers, "id", "_v", "ts", "op")}
+    puts = {"users": versions.latest(users).select("id", "value", F.col("_v").alias("expected"))}
+    after = versions.transaction(logs, puts, {"customers": customers.where("c_acctbal < 0").select("id")}, at, "expected")
+    new = [df.where("ts = timestamp_ntz'2024-03-01'").select(F.lit(n).alias("collection"), F.col("id").cast("long").alias("id"), F.col("_v").cast("long").alias("_v"), "op") for n, df in after.items()]
+    return stores.union_all(new)
+
+
+@query("reconstruct_version", f"SELECT l.id, e.event_id, e.value FROM {LATEST_SQL.format('true')} l JOIN {LOG_SQL} e ON e.id = l.id AND e._v = least(2, l._v)")
+def reconstruct_version(s, d):
+    """Version 2 of every user, from the newest rows and the reverse deltas of the later ones."""
+    held = log(s, d)
+    deltas = diff.reverse_deltas(held.df, ["event_id", "value"], "id", "_v")
+    return diff.reconstruct(versions.latest(held).select("id", "event_id", "value"), deltas, 2, "id", "_v")
+
+
 # differences and imports
 
 
@@ -438,11 +531,61 @@ import_query("replace", "change <> 'deleted'", "new_bal")
 import_query("insert-only", "true", "coalesce(old_bal, new_bal)")
 
 
+# with fields that one side lacks, nested ones, and several collections
+
+NESTED_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '~ place.city: "' || c_name || '" → "moved"' WHEN c_custkey % 5 = 0 THEN '+ note: "new"' END AS text
+FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0"""
+
+
+def nested(s, d) -> tuple[DataFrame, DataFrame]:
+    """Customers with a nested place; every 7th moved, every 5th other one with a note that the live side does not know."""
+    c = read(s, d, "customer")
+    place = lambda city: F.struct(city.alias("city"), F.col("c_nationkey").alias("nation")).alias("place")
+    live = c.select("c_custkey", place(F.col("c_name")))
+    city = F.when(F.col("c_custkey") % 7 == 0, F.lit("moved")).otherwise(F.col("c_name"))
+    return live, c.select("c_custkey", place(city), F.when((F.col("c_custkey") % 5 == 0) & (F.col("c_custkey") % 7 != 0), "new").alias("note"))
+
+
+@query("field_diffs", NESTED_SQL)
+def field_diffs(s, d):
+    found = diff.field_diffs(diff.collection_diff(*nested(s, d), "c_custkey"))
+    return found.select("c_custkey", diff.format_changes(F.col("field_diffs")).alias("text"))
+
+
+@query("import_new_field", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'moved' ELSE c_name END AS city, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 <> 0 THEN 'new' END AS note FROM customer")
+def import_new_field(s, d):
+    return diff.import_plan(*nested(s, d), "merge", "c_custkey").select("c_custkey", F.col("place.city").alias("city"), "note")
+
+
+@query(
+    "vault_diff_collections",
+    f"""SELECT 'customer' AS collection, CAST(c_custkey AS VARCHAR) AS id, change, CASE WHEN change = 'modified' THEN 1 ELSE 0 END AS fields FROM {DIFF_SQL} WHERE change <> 'unchanged'
+    UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'deleted', 0 FROM nation
+    UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), 'added', 0 FROM region""",
+)
+def vault_diff_collections(s, d):
+    live = {"customer": (read(s, d, "customer"), "c_custkey"), "nation": (read(s, d, "nation"), "n_nationkey"), "_hidden": (read(s, d, "part"), "p_partkey")}
+    candidate = {"customer": (edited(s, d), "c_custkey"), "region": (read(s, d, "region"), "r_regionkey")}
+    return diff.vault_diff(live, candidate).select("collection", "id", "change", F.size("field_diffs").alias("fields"))
+
+
+@query(
+    "vault_diff_format",
+    f"""SELECT 0 AS place, '' AS collection, '' AS id, count(*) FILTER (change = 'added') || ' added · ' || count(*) FILTER (change = 'modified') || ' modified · ' || count(*) FILTER (change = 'deleted') || ' deleted' AS line FROM {DIFF_SQL}
+    UNION ALL SELECT 1, 'customer', CAST(c_custkey AS VARCHAR), CASE change WHEN 'added' THEN '+ ' WHEN 'deleted' THEN '- ' ELSE '~ ' END || 'customer/' || c_custkey || CASE WHEN change = 'modified' THEN ' (c_acctbal)' ELSE '' END
+    FROM {DIFF_SQL} WHERE change <> 'unchanged'""",
+)
+def vault_diff_format(s, d):
+    found = diff.vault_diff({"customer": (read(s, d, "customer"), "c_custkey")}, {"customer": (edited(s, d), "c_custkey")})
+    return diff.format_vault_diff(found, "one-line")
+
+
 @query("json_patch_names", f"SELECT c_custkey, '[{{\"op\": \"replace\", \"path\": \"/c_name\", \"value\": \"' || 'x' || c_custkey || '\"}}]' AS patch FROM customer")
 def json_patch_names(s, d):
     c = read(s, d, "customer")
-    doc = F.to_json(F.struct("c_custkey", "c_name"))
-    return c.select("c_custkey", diff.patch_of(doc, F.to_json(F.struct("c_custkey", F.concat(F.lit("x"), F.col("c_custkey")).alias("c_name")))).alias("patch"))
+    new = F.struct("c_custkey", F.concat(F.lit("x"), F.col("c_custkey")).alias("c_name"))
+    both = c.select("c_custkey", F.struct("c_custkey", "c_name").alias("old"), new.alias("new"))
+    return both.select("c_custkey", diff.patch_json(F.col("old"), F.col("new"), both.schema["old"].dataType).alias("patch"))
 
 
 # reconciliation
@@ -497,16 +640,59 @@ for _policy, _wins in (("version", "lv >= rv"), ("last-writer-wins", "lt >= rt")
     query(f"sync_pull_{_policy.replace('-', '_')}", pull_sql(_wins))(lambda s, d, p=_policy: merge.pull(*replicas(s, d), p))
 
 
-@query("sync_push", "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 5 AS INTEGER) AS _v, CASE WHEN c_custkey % 11 = 0 THEN 'created' WHEN c_custkey % 4 < c_custkey % 5 THEN 'written' ELSE 'conflict' END AS outcome FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 3 = 0")
+@query("sync_push", "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 5 AS INTEGER) AS _v, CASE WHEN c_custkey % 11 = 0 THEN 'created' WHEN c_custkey % 4 = c_custkey % 5 - 1 THEN 'written' ELSE 'conflict' END AS outcome FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 3 = 0")
 def sync_push(s, d):
     return merge.push(*replicas(s, d))
 
 
+SYNC_SQL = """WITH b AS (SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey % 13 <> 0 AS l, c_custkey % 11 <> 0 AS r, CAST(c_custkey % 5 AS INTEGER) AS lv, CAST(c_custkey % 17 AS INTEGER) AS lt,
+c_custkey % 3 = 0 AND c_custkey % 2 = 0 AS dirty, CAST(c_custkey % 4 AS INTEGER) AS rv, CAST(c_custkey % 19 AS INTEGER) AS rt FROM customer),
+o AS (SELECT *, CASE WHEN NOT l THEN 'pulled' WHEN NOT r AND dirty THEN 'created' WHEN NOT r THEN 'kept' WHEN dirty AND rv = lv - 1 THEN 'pushed' WHEN dirty THEN 'merged' WHEN rv > lv THEN 'pulled' ELSE 'kept' END AS outcome FROM b WHERE l OR r)
+SELECT id, outcome, CASE outcome WHEN 'pulled' THEN rv WHEN 'merged' THEN greatest(lv, rv) + 1 ELSE lv END AS _v, CASE outcome WHEN 'pulled' THEN rt WHEN 'merged' THEN greatest(lt, rt) ELSE lt END AS _ts FROM o"""
+
+
+@query("sync_both_ways", SYNC_SQL)
+def sync_both_ways(s, d):
+    """Push (of even ids only) and pull together; conflicts become a merged row."""
+    local, remote = replicas(s, d)
+    merged = F.struct((F.greatest("local._v", "remote._v") + 1).alias("_v"), F.greatest("local._ts", "remote._ts").alias("_ts"))
+    return merge.sync(local, remote, only=F.col("id") % 2 == 0, merged=merged).select("id", "outcome", "row._v", "row._ts")
+
+
 @query("cross_vault", "SELECT r_name AS vault, CAST(count(c_custkey) AS BIGINT) AS n, round(coalesce(sum(c_acctbal), 0.0), 2) AS total FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
 def cross_vault(s, d):
-    customers = read(s, d, "customer").join(F.broadcast(read(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    names = {r["r_regionkey"]: r["r_name"] for r in read(s, d, "region").collect()}  # a vault a region
-    return merge.across({n: customers.where(F.col("n_regionkey") == k) for k, n in names.items()}, lambda df: R.reduce_rows(df, {"n": R.count(), "total": R.custom(lambda x: F.round(F.coalesce(F.sum("c_acctbal"), F.lit(0.0)), 2))}))
+    """A vault a region: one grouped scan over all of them."""
+    vaults = read(s, d, "region").join(read(s, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    rows = vaults.join(read(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    spec = {"n": R.custom(lambda x: F.count("c_custkey")), "total": R.custom(lambda x: F.round(F.coalesce(F.sum("c_acctbal"), F.lit(0.0)), 2))}
+    return merge.across_by(rows, "r_name", spec)
+
+
+@query("cross_vault_each", "SELECT 'orders' AS vault, CAST(count(*) AS BIGINT) AS n FROM orders UNION ALL SELECT 'customers', CAST(count(*) AS BIGINT) FROM customer")
+def cross_vault_each(s, d):
+    """The same query over vaults that are tables of their own."""
+    vaults = {"orders": read(s, d, "orders").select(F.col("o_orderkey").alias("k")), "customers": read(s, d, "customer").select(F.col("c_custkey").alias("k"))}
+    return merge.across(vaults, lambda df: R.reduce_rows(df, {"n": R.count()})).select("vault", "n")
+
+
+@query("lww_build", "SELECT doc_id, source AS a, CASE WHEN lang = 'en' THEN 'new' ELSE source END AS b, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS b_ts FROM documents")
+def lww_build(s, d):
+    """Registers a and b written first; b alone written again for English documents: a keeps its value and time."""
+    docs = read(s, d, "documents")
+    first = merge.lww_build(i18n.map_of({"a": F.col("source"), "b": F.col("source")}), F.lit(None).cast("map<string,struct<v:string,ts:int>>"), F.lit(1))
+    again = merge.lww_build(i18n.map_of({"b": F.lit("new")}), F.col("state"), F.lit(2))
+    held = docs.select("doc_id", "lang", first.alias("state")).select("doc_id", F.when(F.col("lang") == "en", again).otherwise(F.col("state")).alias("state"))
+    return held.select("doc_id", F.col("state")["a"]["v"].alias("a"), F.col("state")["b"]["v"].alias("b"), F.col("state")["b"]["ts"].alias("b_ts"))
+
+
+@query("rga_build", "SELECT conv_id, CAST(count(*) FILTER (turn % 2 = 1) AS INTEGER) AS gone, CAST(count(*) AS INTEGER) + 1 AS items FROM conversations GROUP BY conv_id")
+def rga_build(s, d):
+    """Conversations written again without their odd turns and with a new one: the odd ones stay as tombstones."""
+    item = F.struct(F.concat(F.lit("n"), F.col("turn")).alias("nid"), F.col("turn").cast("string").alias("v"))
+    lists = read(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))), lambda y: y["x"]).alias("items"))
+    kept = F.transform(F.filter("items", lambda x: x["v"].cast("int") % 2 == 0), lambda x: x["v"])
+    built, gone = merge.rga_build(F.concat(kept, F.array(F.lit("new"))), F.col("items"), F.array().cast("array<string>"), F.lit("m"))
+    return lists.select("conv_id", F.size(gone).alias("gone"), F.size(built).alias("items"))
 
 
 # periods, tiers, attachments, presence
@@ -561,8 +747,7 @@ def blob_evictions(s, d):
 @query("presence_alive", "SELECT user_id, max(ts) AS last_seen FROM events WHERE user_id <> 7 GROUP BY user_id HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
 def presence_alive(s, d):
     e = read(s, d, "events")
-    now = e.agg(F.max("ts")).first()[0]  # one value
-    return periods.presence(e, "user_id", "ts", F.lit(now).cast("timestamp_ntz"), F.expr("interval 6 hours"), 7)
+    return periods.presence(e, "user_id", "ts", e.agg(F.max("ts")).scalar(), F.expr("interval 6 hours"), 7)
 
 
 @query("consent_audit", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' AND event_type = 'purchase' AND user_id = 42")
@@ -602,10 +787,22 @@ def dictionary_rename(s, d):
     return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mime_by_magic", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'image/png' WHEN page_id % 3 = 1 THEN 'application/pdf' END AS mime FROM pages")
+#: Signatures that text can begin with, in the order of the table.
+TEXT_MAGIC = (
+    ("GIF8", "image/gif"), ("BM", "image/bmp"), ("8BPS", "image/vnd.adobe.photoshop"), ("%PDF", "application/pdf"), ("BZh", "application/x-bzip2"), ("LZIP", "application/x-lzip"),
+    ("MSCF", "application/vnd.ms-cab-compressed"), ("fLaC", "audio/flac"), ("OggS", "application/ogg"), ("MThd", "audio/midi"), ("ID3", "audio/mpeg"), ("FLV", "video/x-flv"),
+    ("MZ", "application/vnd.microsoft.portable-executable"), ("FWS", "application/x-shockwave-flash"), ("CWS", "application/x-shockwave-flash"),
+    ("ZWS", "application/x-shockwave-flash"), ("PAR1", "application/vnd.apache.parquet"),
+)
+MIME_SQL = "CASE " + " ".join(f"WHEN starts_with({{0}}, '{m}') THEN '{k}'" for m, k in TEXT_MAGIC) + f" WHEN {{0}} IS NOT NULL THEN '{files.UNKNOWN}' END AS mime"
+
+
+@query("mime_by_magic", f"SELECT 'page' AS kind, page_id AS id, {MIME_SQL.format('html')} FROM pages UNION ALL SELECT 'word', doc_id, {MIME_SQL.format('upper(text)')} FROM documents")
 def mime_by_magic(s, d):
-    head = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A00"))).when(F.col("page_id") % 3 == 1, F.encode(F.lit("%PDF-1.7"), "UTF-8")).otherwise(F.encode(F.col("html"), "UTF-8"))
-    return read(s, d, "pages").select("page_id", files.mime_type(head).alias("mime"))
+    """Kinds of the bytes of every page, and of every document in capitals."""
+    pages = read(s, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), files.mime_type(F.encode("html", "UTF-8")).alias("mime"))
+    docs = read(s, d, "documents").select(F.lit("word").alias("kind"), F.col("doc_id").alias("id"), files.mime_type(F.encode(F.upper("text"), "UTF-8")).alias("mime"))
+    return pages.unionByName(docs)
 
 
 @query("safe_filenames", r"SELECT page_id, regexp_replace(regexp_replace(url, '[<>:\"/\\|?*]', '_', 'g'), '[. ]+$', '') AS name FROM pages")
@@ -616,14 +813,58 @@ def safe_filenames(s, d):
 # exports
 
 
-@query("export_csv_lines", "SELECT n_nationkey || ',' || CASE WHEN contains(n_name, ',') THEN '\"' || n_name || '\"' ELSE n_name END || ',' || n_regionkey AS line FROM nation")
+CSV_SQL = """CASE WHEN regexp_matches({0}, '[",\\r\\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
+
+
+@query("export_csv_lines", f"SELECT doc_id || ',' || {CSV_SQL.format('lang')} || ',' || coalesce({CSV_SQL.format('text')}, '') AS line FROM documents")
 def export_csv_lines(s, d):
-    return exports.csv_lines(read(s, d, "nation"))
+    """Whole texts, with their commas, quotes and line ends."""
+    return exports.csv_lines(read(s, d, "documents").select("doc_id", "lang", "text"))
 
 
-@query("export_ndjson", "SELECT '{\"_schema\":\"nation\",\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS line FROM nation")
+@query("export_ndjson", """SELECT '{"_schema":"documents","doc_id":' || doc_id || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}' AS line FROM documents WHERE text IS NOT NULL""")
 def export_ndjson(s, d):
-    return exports.json_lines(read(s, d, "nation"), "nation")
+    return exports.json_lines(read(s, d, "documents").where("text is not null").select("doc_id", "text"), "documents")
+
+
+def _folder(s: SparkSession, kind: str) -> str:
+    import uuid
+
+    return f"{shared_dir(s)}/{kind}/{uuid.uuid4()}"
+
+
+@query("csv_round_trip", "SELECT doc_id, lang, nullif(text, '') AS text FROM documents")
+def csv_round_trip(s, d):
+    """All documents written as CSV and read back."""
+    docs, at = read(s, d, "documents").select("doc_id", "lang", "text"), _folder(s, "csv")
+    exports.write_lines(exports.csv_lines(docs), at)
+    return exports.read_csv(s, at, docs.schema)
+
+
+@query("xml_round_trip", "SELECT page_id, url, html FROM pages")
+def xml_round_trip(s, d):
+    """All pages, markup and all, written as XML elements and read back."""
+    pages, at = read(s, d, "pages").select("page_id", "url", "html"), _folder(s, "xml")
+    exports.write_xml(pages, "pages", at)
+    return exports.read_xml(s, at, "pages", pages.schema)
+
+
+@query("json_document_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
+def json_document_round_trip(s, d):
+    """All turns written as JSON documents, one a partition, and read back."""
+    turns, at = read(s, d, "conversations").select("conv_id", "turn", "role", "text"), _folder(s, "json")
+    exports.write_json_documents(turns, "conversations", at)
+    return exports.read_json_documents(s, at, "conversations", turns.schema)
+
+
+@query("archive_round_trip", "SELECT 'orders' AS collection, CAST(o_orderkey AS BIGINT) AS id, o_totalprice AS value FROM orders UNION ALL SELECT 'customer', c_custkey, c_acctbal FROM customer")
+def archive_round_trip(s, d):
+    """Two collections written as an archive and read back with their schemas."""
+    at = _folder(s, "archive")
+    exports.write_archive({"orders": read(s, d, "orders"), "customer": read(s, d, "customer"), "_hidden": read(s, d, "nation")}, at)
+    held = exports.read_archive(s, at)
+    one = lambda n, k, v: held[n].select(F.lit(n).alias("collection"), F.col(k).cast("long").alias("id"), F.col(v).alias("value"))
+    return one("orders", "o_orderkey", "o_totalprice").unionByName(one("customer", "c_custkey", "c_acctbal"))
 
 
 @query("export_xml_lines", "SELECT '<Supplier><s_suppkey>' || s_suppkey || '</s_suppkey><s_name>' || replace(s_name, '&', '&amp;') || '</s_name></Supplier>' AS line FROM supplier")
@@ -664,7 +905,7 @@ def table_state(s, d):
 @query("digest_lookup", "SELECT c_custkey, c_name FROM customer WHERE sha256(c_mktsegment) = sha256('BUILDING')")
 def digest_lookup(s, d):
     """Equality search on a digest column, as over fields that are stored encrypted."""
-    return read(s, d, "customer").where(F.sha2("c_mktsegment", 256) == F.sha2(F.lit("BUILDING"), 256)).select("c_custkey", "c_name")
+    return engine(s, d).collections["customer"].find_by_digest("c_mktsegment", "BUILDING").select("c_custkey", "c_name")
 
 
 # streaming
@@ -672,25 +913,31 @@ def digest_lookup(s, d):
 
 @query("live_group_totals", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error' GROUP BY 1")
 def live_group_totals(s, d):
-    """A grouped live query over the newest event of each user, kept by a stream of the events table."""
-    import uuid
-
+    """A grouped live query over the newest event of each user, kept by a stream of several files, stopped and started again."""
     from .streaming.live import LiveState, change_stream
 
-    folder = f"{_shared(s)}/live/{uuid.uuid4()}"
-    schema = read(s, d, "events").schema
-    changes = change_stream(s, f"{d}/events*.parquet", schema).withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("put"))
-    live = LiveState(s, f"{folder}/state", "user_id", "event_id", "op")
-    live.start(changes, f"{folder}/checkpoint").awaitTermination()
+    folder, events = _folder(s, "live"), read(s, d, "events")
+    n = 4
+    for k in range(n):  # files arrive in two halves; all events are in one of them
+        events.where(F.pmod("event_id", F.lit(n)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        if k % 2:
+            changes = change_stream(s, f"{folder}/log", events.schema, files_a_batch=1).withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("put"))
+            live = LiveState(s, f"{folder}/state", "user_id", "event_id", "op")  # knows only what is in the folder
+            live.start(changes, f"{folder}/checkpoint").awaitTermination()
     return live.rows().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-def _shared(s: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    import tempfile
-
-    found = s.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        s.conf.set("spark.checkpoint.dir", found)
-    return found
+@query("live_join_totals", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
+def live_join_totals(s, d):
+    """A live join: orders come first, customers later; the value follows both sides."""
+    from .streaming.live import LiveJoin, LiveState, change_stream
+
+    folder, states = _folder(s, "livejoin"), {}
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey")):
+        states[name] = LiveState(s, f"{folder}/{name}", key, key)
+    joined = LiveJoin(states, lambda t: t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")))
+    for name, state in states.items():
+        state.start(change_stream(s, f"{d}/{name}*.parquet", read(s, d, name).schema), f"{folder}/cp_{name}").awaitTermination()
+    if joined.error:
+        raise joined.error
+    return s.createDataFrame(joined.value, "c_mktsegment string, n long")

@@ -1,7 +1,8 @@
 """Exports and imports: CSV, JSON, newline-delimited JSON, XML, SQL dumps, spreadsheets and archives.
 
-Line formats are Columns of text lines, so that any size is written by all executors. Spreadsheets and archives are single
-files by nature: they take a bounded number of rows and say so when there are more.
+Line formats are Columns of text lines, so that any size is written by all executors; archives are folders of such
+lines. A spreadsheet is a bounded report: a single file of at most REPORT_ROWS rows a sheet, made on the driver; more
+rows raise RowCeiling.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import zipfile
 from functools import reduce
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from ..operators.errors import RowCeiling
 from ..operators.predicates import kind_of_type
 
-SINGLE_FILE_ROWS = 1_000_000
+REPORT_ROWS = 100_000
 
 
 def _public(df: DataFrame) -> list[str]:
@@ -48,10 +50,21 @@ def csv_header(columns: list[str]) -> str:
     return ",".join('"' + c.replace('"', '""') + '"' if re.search('[",\r\n]', c) else c for c in columns)
 
 
+def _finite(df: DataFrame, name: str) -> Column:
+    """A column, with null for numbers that are not finite."""
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return c.alias(name)
+
+
 def json_lines(df: DataFrame, tag: str | None = None) -> DataFrame:
-    """Column line: one JSON object a row without the columns that start with _; tag goes first as _schema."""
+    """Column line: one JSON object a row without the columns that start with _; tag goes first as _schema.
+
+    Nulls are left out, and numbers that are not finite count as null.
+    """
     head = [F.lit(tag).alias("_schema")] if tag is not None else []
-    return df.select(F.to_json(F.struct(*head, *_public(df))).alias("line"))
+    return df.select(F.to_json(F.struct(*head, *[_finite(df, c) for c in _public(df)])).alias("line"))
 
 
 def _pascal(name: str) -> str:
@@ -59,6 +72,12 @@ def _pascal(name: str) -> str:
     return "".join(p[:1].upper() + p[1:] for p in re.split(r"[^A-Za-z0-9]+", one) if p) or "Record"
 
 
+def _xml_name(name: str) -> str:
+    """A name that XML takes: other characters become _, and one that begins no name gets a _ before it."""
+    name = re.sub(r"[^\w.\-]", "_", name)
+    return name if re.match(r"[^\W\d]", name) else f"_{name}"
+
+
 def xml_lines(df: DataFrame, collection: str) -> DataFrame:
     """Column line: one element a row, named after the collection in the singular; control characters are dropped."""
 
@@ -67,10 +86,24 @@ def xml_lines(df: DataFrame, collection: str) -> DataFrame:
         return reduce(lambda a, kv: F.replace(a, F.lit(kv[0]), F.lit(kv[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), c)
 
     tag = _pascal(collection)
-    fields = [F.concat(F.lit(f"<{c}>"), F.coalesce(clean(text_of(df, c)), F.lit("")), F.lit(f"</{c}>")) for c in _public(df)]
+    names = {c: _xml_name(c) for c in _public(df)}
+    fields = [F.concat(F.lit(f"<{n}>"), F.coalesce(clean(text_of(df, c)), F.lit("")), F.lit(f"</{n}>")) for c, n in names.items()]
     return df.select(F.concat(F.lit(f"<{tag}>"), *fields, F.lit(f"</{tag}>")).alias("line"))
 
 
+def write_xml(df: DataFrame, collection: str, path: str) -> None:
+    """XML documents, one for each partition of df: the elements of its rows inside one root element."""
+    root = f"{_pascal(collection)}List"
+
+    def run(source):
+        yield pa.RecordBatch.from_arrays([pa.array([f"<{root}>"])], names=["line"])
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([batch.column("line")], names=["line"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"</{root}>"])], names=["line"])
+
+    write_lines(xml_lines(df, collection).mapInArrow(run, "line string"), path)
+
+
 SQL_TYPES = {
     "postgres": {"number": "DOUBLE PRECISION", "boolean": "BOOLEAN", "date": "TIMESTAMP", "string": "TEXT"},
     "mysql": {"number": "DOUBLE", "boolean": "BOOLEAN", "date": "DATETIME", "string": "TEXT"},
@@ -93,20 +126,24 @@ def sql_lines(df: DataFrame, collection: str, dialect: str = "postgres") -> Data
         if kind == "boolean" and dialect == "sqlite":
             c = F.when(F.col(name), "1").otherwise("0")
         plain = c if kind in ("number", "boolean") else F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
-        return F.when(F.col(name).isNull(), "NULL").otherwise(plain)
+        return F.when(_finite(df, name).isNull(), "NULL").otherwise(plain)
 
     columns = _public(df)
     head = f"INSERT INTO {mark}{collection}{mark} (" + ", ".join(f"{mark}{c}{mark}" for c in columns) + ") VALUES ("
     return df.select(F.concat(F.lit(head), F.concat_ws(", ", *[literal(c) for c in columns]), F.lit(");")).alias("line"))
 
 
-def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    lines.select("line").write.mode(mode).text(path)
+def write_lines(lines: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
+    lines.select("line").write.mode(mode).option("compression", compression).text(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+def read_csv(spark: SparkSession, path: str, schema=None, header: bool = False) -> DataFrame:
+    """Files of csv_lines (or with a header line each): quoted fields may hold line ends; without a schema all is text.
+
+    An empty field is null, as csv_lines writes it; a file is read by one task, since a line end may be inside a field.
+    """
+    reader = spark.read.option("header", header).option("multiLine", True).option("escape", '"').option("lineSep", "\n")
+    return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -128,29 +165,57 @@ def export_chunks(collections: dict[str, DataFrame], dictionaries: dict[str, Dat
 def _bounded(df: DataFrame, most: int) -> list:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
-        raise RowCeiling(f"a single file takes {most} rows")
+        raise RowCeiling(f"a report takes {most} rows")
     return rows
 
 
-def to_json_document(collections: dict[str, DataFrame], most: int = SINGLE_FILE_ROWS) -> str:
-    """{collection: [records]} as one text, of bounded rows."""
-    return json.dumps({n: [json.loads(r["line"]) for r in _bounded(json_lines(df), most)] for n, _, df, _ in export_chunks(collections)})
+def write_archive(collections: dict[str, DataFrame], path: str) -> None:
+    """A folder an archive: compressed JSON lines of each collection, written by all executors, and a manifest of schemas."""
+    names = sorted(n for n in collections if not n.startswith("_"))
+    for name in names:
+        write_lines(json_lines(collections[name]), f"{path}/{name}", compression="gzip")
+    spark = next(iter(collections.values())).sparkSession
+    rows = [(n, collections[n].select(*_public(collections[n])).schema.json()) for n in names]
+    spark.createDataFrame(rows, "collection string, schema string").coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
 
 
-def to_archive(collections: dict[str, DataFrame], most: int = SINGLE_FILE_ROWS) -> bytes:
-    """A zip with records.json and a manifest, of bounded rows."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        document = to_json_document(collections, most)
-        z.writestr("records.json", document)
-        z.writestr("manifest.json", json.dumps({n: len(v) for n, v in json.loads(document).items()}))
-    return out.getvalue()
+def read_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Collections by name, with the schemas they were written with."""
+    manifest = spark.read.schema("collection string, schema string").json(f"{path}/_manifest").collect()  # a row a collection
+    return {r["collection"]: read_json_lines(spark, f"{path}/{r['collection']}", T.StructType.fromJson(json.loads(r["schema"]))) for r in manifest}
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """path, member, content of all files inside zip files: a task opens the zips of its partition, the driver none."""
+
+    def run(source):
+        for batch in source:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        if not member.endswith("/"):
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member]), pa.array([z.read(member)], pa.binary())], names=["path", "member", "content"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, member string, content binary")
+
+
+def read_json_documents(spark: SparkSession, path: str, collection: str, schema) -> DataFrame:
+    """The records of one collection in files that hold a whole document {collection: [records]} each."""
+    kind = T.StructType([T.StructField(collection, T.ArrayType(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)))])
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d"))
+    return whole.select(F.explode(F.col("d").getField(collection)).alias("r")).select("r.*")
+
+
+def write_json_documents(df: DataFrame, collection: str, path: str) -> None:
+    """Documents {collection: [records]}, one for each partition of df, each assembled by its own task."""
 
+    def run(source):
+        lines = [line for batch in source for line in batch.column("line").to_pylist()]
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{{{json.dumps(collection)}:[{','.join(lines)}]}}"])], names=["line"])
 
-def from_archive(spark: SparkSession, data: bytes) -> dict[str, DataFrame]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        records = json.loads(z.read("records.json"))
-    return {n: spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows])) for n, rows in records.items() if rows}
+    write_lines(json_lines(df).mapInArrow(run, "line string"), path)
 
 
 def _cell(column: int, row: int, value) -> str:
@@ -166,7 +231,7 @@ def _cell(column: int, row: int, value) -> str:
     return f'<c r="{name}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
-def to_workbook(collections: dict[str, DataFrame], most: int = 1_048_575) -> bytes:
+def to_workbook(collections: dict[str, DataFrame], most: int = REPORT_ROWS) -> bytes:
     """A spreadsheet file with a sheet a collection, header first, of bounded rows."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     kinds = "http://schemas.openxmlformats.org/package/2006/content-types"

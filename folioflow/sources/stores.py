@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import versions
+from ..operators.shared import checkpointed
+
 
 @dataclass(frozen=True)
 class FolderStore:
@@ -71,11 +74,14 @@ class RoutedStore:
     """Reads and writes by the first route whose prefix or name fits; reads of a tiered collection are unions."""
 
     default: object
-    routes: dict = field(default_factory=dict)  # collection -> store
+    routes: dict = field(default_factory=dict)  # collection, or a prefix that ends in *, -> store
     cold: object | None = None
 
     def store(self, collection: str):
-        return self.routes.get(collection, self.default)
+        if collection in self.routes:
+            return self.routes[collection]
+        fits = [r for r in self.routes if r.endswith("*") and collection.startswith(r[:-1])]
+        return self.routes[max(fits, key=len)] if fits else self.default  # the longest prefix that fits
 
     def read(self, spark: SparkSession, collection: str) -> DataFrame:
         hot = self.store(collection).read(spark, collection)
@@ -98,6 +104,48 @@ class RoutedStore:
         return df.where(~(F.col(ts) < F.lit(cutoff))), df.where(F.col(ts) < F.lit(cutoff))
 
 
+@dataclass(frozen=True)
+class LogStore:
+    """A versioned collection in a store: its change log is appended to, and read as the latest row of each id."""
+
+    store: object
+    collection: str
+    id: str = "id"
+
+    def log(self, spark: SparkSession) -> versions.Log:
+        return versions.Log(self.store.read(spark, self.collection), self.id)
+
+    def list(self, spark: SparkSession) -> DataFrame:
+        return versions.current(self.log(spark))
+
+    def get(self, spark: SparkSession, id_value) -> DataFrame:
+        """One row, or none: the id reaches the scan as a filter."""
+        log = self.log(spark)
+        return versions.current(versions.Log(log.df.where(F.col(self.id) == F.lit(id_value)), self.id))
+
+    def list_since(self, spark: SparkSession, ts) -> DataFrame:
+        """The last write of each id that was written after ts, tombstones included."""
+        return versions.latest(self.log(spark)).where(F.col("_ts") > F.lit(ts))
+
+    def _append(self, log: versions.Log, after: DataFrame) -> None:
+        """Writes the rows that `after` has beyond the log: those with a version above the newest of their id."""
+        top = log.df.groupBy(F.col(self.id).alias("_id")).agg(F.max(log.version).alias("_top"))
+        fresh = after.join(top, F.col(self.id) == F.col("_id"), "left").where((F.col(log.version) > F.col("_top")) | F.col("_top").isNull())
+        self.store.write(checkpointed(fresh.select(*log.df.columns)), self.collection, "append")
+
+    def put(self, spark: SparkSession, incoming: DataFrame, ts, expected: str | None = None, atomic: bool = False) -> DataFrame:
+        """Appends the next versions; gives the rejected writes back."""
+        log = self.log(spark)
+        after, rejected = versions.put_many(log, incoming, ts, expected, atomic=atomic)
+        rejected = checkpointed(rejected)
+        self._append(log, after)
+        return rejected
+
+    def delete(self, spark: SparkSession, ids: DataFrame, ts, referrers: list = ()) -> None:
+        log = self.log(spark)
+        self._append(log, versions.delete_many(log, ids, ts, referrers))
+
+
 def op_metrics(log: DataFrame, method: str = "method", ms: str = "ms", error: str = "error") -> DataFrame:
     """Per method: calls, errors, percentiles, greatest and mean of the milliseconds, from a log of store calls."""
     p = lambda q: F.percentile(ms, q)
