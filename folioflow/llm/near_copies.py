@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER_AZ, materialise, shared_dir, slices, spread_join
+from .common import BROADCAST_ROWS, LOWER_AZ, materialise, remove, shared_dir, slices, spread_join
 from .simhash import RADIUS, components, copies_of, keep_first, majority, same_fingerprint, text_bytes
 
 SHINGLE = 5
@@ -216,6 +216,7 @@ def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     ends = F.min("copy").alias("first"), F.max("copy").alias("last"), F.count(F.lit(1)).alias("count")
     shared = materialise(tokens.groupBy("token").agg(*ends).where("first <> last"))
     members = materialise(spread_join(tokens, shared.select("token", "first"), "token", sizes=shared).distinct())
+    remove(rows.sparkSession, folder)
     heads = materialise(members.where("copy = first").select("token", F.col("n").alias("n_first")))
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     others = members.where("copy <> first")

@@ -5,8 +5,9 @@ keep. All measures are DataFrame functions over the words and lines of one row,
 task and nothing is shuffled.
 
 Defined cases: a null or wordless text has zero for every measure and fails the base rule; ratios with a zero
-denominator are zero; repeated rows and ids are measured one by one; an empty table gives no rows; other columns of
-the input are not read. Repeated 3-word windows are found by the 64-bit hashes of their words.
+denominator are zero; very long texts are measured whole, inside their row; a ratio that equals its bound passes;
+repeated rows and ids are measured one by one; an empty table gives no rows; other columns of the input are not read.
+Repeated 3-word windows are found by the 64-bit hashes of their words.
 """
 
 from __future__ import annotations

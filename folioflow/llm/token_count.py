@@ -9,8 +9,8 @@ so that the counts equal those of the tokenizers library's Unigram model over th
 
 No public unigram vocabulary is at hand: pieces and scores are those of a public sentencepiece file, taken as they are.
 
-Defined cases: null, empty and blank texts have no words and no tokens; repeated rows are counted one by one; an empty
-table gives no rows; other columns are not read.
+Defined cases: null, empty and blank texts have no words and no tokens; very long texts and words are counted whole;
+repeated rows are counted one by one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

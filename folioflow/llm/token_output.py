@@ -4,8 +4,9 @@ Documents are put in order by ranges of their id (equal ids by their text's hash
 meet in one task); every task writes frames of about FRAME ids (see token_file), numbered by task and frame. Starts come
 from the frames' own counts: sums over frames of a file, and over files, which are one row a frame.
 
-Defined cases: a null text is empty and still has its end id; null ids come first; repeated rows are written one by
-one, equal ids in the order of their texts' hashes; an empty table writes no frame; other columns are not read.
+Defined cases: a null text is empty and still has its end id; very long texts are encoded whole and may fill a frame
+alone; null ids come first; repeated rows are written one by one, equal ids in the order of their texts' hashes; an empty
+table writes no frame; other columns are not read.
 """
 
 from __future__ import annotations

@@ -41,3 +41,41 @@ def test_stages_keep_their_contract(spark, tmp_path):
     assert sizes["toxicity"] < start
     assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
     assert docs.groupBy("sequence_id").sum("length").where(f"`sum(length)` > {packing.CAPACITY}").count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, predicted int, score double, held_out boolean, _text string, _key string, copy long, fp long, id string, row int"
+
+
+def odd_tables(spark, at, rows):
+    texts = [*rows, *[None, "", " ", "plain words here", "plain words here", "x" * 40_000, "key AKIA" + "A1B2C3D4" * 3]]
+    held = [(k if k % 5 else None, t, "en", "s", len(t) if t is not None else None, 9, 0.5, True, "t", "k", 1, 2, "i", 3) for k, t in enumerate(texts, 1)]
+    docs = spark.createDataFrame([*held, held[2], held[2]] if held[2:] else held, ODD)
+    docs.write.parquet(f"{at}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, "/root/testdata/sf0.001", name).write.parquet(f"{at}/{name}.parquet")
+    return docs
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    benchmark = table(spark, "/root/testdata/sf0.001", "benchmark").first().text
+    docs = odd_tables(spark, tmp_path, ["some words of their own, enough to be a text", f"before {benchmark} after", "more words of their own that nothing else has"])
+    stage = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "near_duplicates", "decontamination", "secret_scans"):
+        docs = stage[name](spark, docs, str(tmp_path)).cache()
+        assert docs.dtypes == spark.createDataFrame([], ODD).dtypes, name
+        assert all(r._text == "t" and r._key == "k" and r.predicted == 9 and r.copy == 1 and r.row == 3 for r in docs.collect())
+    texts = [r.text for r in docs.collect()]
+    assert sorted(t for t in texts if t and len(t) < 1000) == ["key [SECRET]", "more words of their own that nothing else has", "plain words here", "some words of their own, enough to be a text"]
+    assert len(texts) == 6 and sum(not (t or "").strip() for t in texts) == 1
+    assert stage["packing"](spark, docs, str(tmp_path)).select("doc_id").distinct().count() >= 5
+
+
+def test_run_gives_pieces_of_what_stays(spark, tmp_path):
+    odd_tables(spark, tmp_path, ["some words of their own, enough to be a text"])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.where("piece = 0").count() == 5 and out.groupBy("sequence_id").sum("length").where(f"`sum(length)` > {packing.CAPACITY}").isEmpty()
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], ODD).write.parquet(f"{empty}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
