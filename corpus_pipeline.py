@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, then packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
-are written as Parquet to the shared folder and read again, so that a lost executor costs at most the stage's own work.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
+other columns there are. Stages are written as Parquet to the shared folder and read again, so that a lost executor costs
+at most the stage's own work.
+
+Defined cases: null and empty texts pass toxicity, decontamination and secrets as they are, and are one group of
+near-duplicates, of which the row with the smallest id stays (null ids last); very long texts are taken whole; of
+repeated rows one stays; an empty table gives no pieces; secrets become [SECRET], and n_chars follows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import decontam, near_copies, packing, secrets, toxicity
-from folioflow.llm.common import shared_dir, table
+from folioflow.llm.common import remove, shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,14 @@ ORACLE_SQL = None  # stages rest on trained weights, hashes and a tokenizer; tes
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline/{uuid.uuid4()}"
+    """The pieces that packing gives. A stage's folder goes when the stage after it is written; packing keeps its own pieces."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline/{uuid.uuid4()}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)
+    return packed
