@@ -102,3 +102,14 @@ def safe_filename(name: Column, profile: str = "all", most: int | None = None, o
             out = F.when(out.rlike(r"(?i)^([.]DS_Store|[.]localized|[.]fseventsd|[.]_.+)$"), F.concat(F.lit("_"), out)).otherwise(out)
     out = F.when((out == "") | out.rlike(r"(^|[/\\])[.]{2}([/\\]|$)") | (out == "."), "_").otherwise(out)
     return _capped(out, most)
+
+
+#: Digits of ULIDs (no I, L, O, U) beside those of base 32; fixed values.
+ULID_DIGITS, BASE_32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
+
+def ulid(millis: Column, entropy: Column) -> Column:
+    """26 characters that sort by time: ten for the milliseconds, sixteen for the first 80 bits of entropy (hex text)."""
+    part = lambda c, n: F.lpad(F.conv(c, 16, 32), n, "0")
+    digits = F.concat(part(F.hex(millis), 10), part(F.substring(entropy, 1, 10), 8), part(F.substring(entropy, 11, 10), 8))
+    return F.translate(digits, BASE_32, ULID_DIGITS)

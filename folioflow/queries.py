@@ -867,6 +867,49 @@ def archive_round_trip(s, d):
     return one("orders", "o_orderkey", "o_totalprice").unionByName(one("customer", "c_custkey", "c_acctbal"))
 
 
+@query("dump_load_verify", "SELECT 'customer' AS collection, CAST(count(*) AS BIGINT) AS rows, true AS ok FROM customer UNION ALL SELECT 'orders', count(*), true FROM orders")
+def dump_load_verify(s, d):
+    at = _folder(s, "dump")
+    exports.dump({"orders": read(s, d, "orders"), "customer": read(s, d, "customer")}, at)
+    return exports.verify_dump(s, at)
+
+
+@query("load_dump", f"SELECT c_custkey, coalesce(new_bal, old_bal) AS c_acctbal FROM {DIFF_SQL}")
+def load_dump(s, d):
+    """A dump of edited customers, loaded over the live ones."""
+    at = _folder(s, "dump")
+    exports.dump({"customer": edited(s, d)}, at)
+    return exports.load({"customer": (read(s, d, "customer"), "c_custkey")}, at)["customer"].select("c_custkey", "c_acctbal")
+
+
+ULID_SQL = f"""WITH x AS (SELECT event_id, epoch_us(ts) // 1000 AS t, sha256(CAST(event_id AS VARCHAR)) AS h FROM events),
+y AS (SELECT event_id, t, CAST('0x' || h[1:10] AS BIGINT) AS a, CAST('0x' || h[11:20] AS BIGINT) AS b FROM x)
+SELECT event_id, array_to_string([substr('{files.ULID_DIGITS}', ((t >> (45 - 5 * i)) & 31) + 1, 1) FOR i IN range(10)], '')
+|| array_to_string([substr('{files.ULID_DIGITS}', ((a >> (35 - 5 * i)) & 31) + 1, 1) FOR i IN range(8)], '')
+|| array_to_string([substr('{files.ULID_DIGITS}', ((b >> (35 - 5 * i)) & 31) + 1, 1) FOR i IN range(8)], '') AS ulid FROM y"""
+
+
+@query("ulids", ULID_SQL)
+def ulids(s, d):
+    """Sortable ids of all events; entropy is derived from the event, so that a task that runs again gives the same."""
+    e = read(s, d, "events")
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return e.select("event_id", files.ulid(millis, F.sha2(F.col("event_id").cast("string"), 256)).alias("ulid"))
+
+
+@query(
+    "blob_files",
+    r"""WITH s AS (SELECT page_id, sha256(html) AS h, html, regexp_replace(replace(url, '\', '/'), '^/+', '') AS p FROM pages),
+    b AS (SELECT h, any_value(html) AS html FROM s GROUP BY h), c AS (SELECT *, count(*) OVER (PARTITION BY p) AS n FROM s)
+    SELECT CASE WHEN n > 1 THEN h[1:12] || '-' || p ELSE p END AS path, b.html AS content FROM c JOIN b USING (h)""",
+)
+def blob_files(s, d):
+    """Pages as attachments, stored once by their hash, exported under names of their own."""
+    pages = read(s, d, "pages").select("url", "html", F.sha2("html", 256).alias("hash"))
+    blobs = pages.groupBy("hash").agg(F.first("html").alias("content"))
+    return exports.blob_files(pages.select("url", "hash"), blobs, "url")
+
+
 @query("export_xml_lines", "SELECT '<Supplier><s_suppkey>' || s_suppkey || '</s_suppkey><s_name>' || replace(s_name, '&', '&amp;') || '</s_name></Supplier>' AS line FROM supplier")
 def export_xml_lines(s, d):
     return exports.xml_lines(read(s, d, "supplier").select("s_suppkey", "s_name"), "suppliers")

@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.files import safe_filename
+from ..operators.diff import import_plan
 from ..operators.errors import RowCeiling
 from ..operators.predicates import kind_of_type
+from .stores import slice_of
 
 REPORT_ROWS = 100_000
 
@@ -185,6 +188,47 @@ def read_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {r["collection"]: read_json_lines(spark, f"{path}/{r['collection']}", T.StructType.fromJson(json.loads(r["schema"]))) for r in manifest}
 
 
+def _digest(df: DataFrame) -> DataFrame:
+    """One row: rows, and a digest that does not depend on their order (sums of the halves of each row's hash)."""
+    whole = F.sha2(F.to_json(F.struct(*[_finite(df, c) for c in _public(df)])), 256)
+    half = lambda k: F.sum(F.conv(F.substring(whole, k, 12), 16, 10).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", F.coalesce(half(1), F.lit(0)), F.coalesce(half(13), F.lit(0))).alias("digest"))
+
+
+def dump(collections: dict[str, DataFrame], path: str, slices: dict | None = None) -> None:
+    """An archive with a seal: rows and digest of each collection. slices: keywords of slice_of, for a part of the vault."""
+    held = {n: (slice_of(df, **slices) if slices else df) for n, df in collections.items() if not n.startswith("_")}
+    write_archive(held, path)
+    seal = reduce(DataFrame.unionByName, [_digest(df).withColumn("collection", F.lit(n)) for n, df in held.items()])
+    seal.coalesce(1).write.mode("overwrite").json(f"{path}/_seal")
+
+
+def verify_dump(spark: SparkSession, path: str) -> DataFrame:
+    """collection, rows, ok: whether what can be read is what was sealed; a collection that is missing or new is not ok."""
+    found = reduce(DataFrame.unionByName, [_digest(df).select(F.lit(n).alias("_name"), F.col("rows").alias("_rows"), F.col("digest").alias("_digest")) for n, df in read_archive(spark, path).items()])
+    seal = spark.read.schema("collection string, rows long, digest string").json(f"{path}/_seal")
+    joined = seal.join(found, F.col("collection") == F.col("_name"), "full_outer")
+    ok = F.coalesce((F.col("rows") == F.col("_rows")) & (F.col("digest") == F.col("_digest")), F.lit(False))
+    return joined.select(F.coalesce("collection", "_name").alias("collection"), F.coalesce("_rows", F.lit(0)).alias("rows"), ok.alias("ok"))
+
+
+def load(live: dict[str, tuple[DataFrame, str]], path: str, policy: str = "merge") -> dict[str, DataFrame]:
+    """The collections (DataFrame, id) after the import of a dump; one that is not live yet is taken as it is."""
+    spark = next(iter(live.values()))[0].sparkSession
+    held = read_archive(spark, path)
+    out = {n: df for n, (df, _) in live.items()}
+    return out | {n: import_plan(live[n][0], df, policy, live[n][1]) if n in live else df for n, df in held.items()}
+
+
+def blob_files(slots: DataFrame, blobs: DataFrame, name: str, hash_col: str = "hash", content: str = "content", profile: str = "zip") -> DataFrame:
+    """path, content: attachments with names that an archive takes; names that meet get the start of their hash in front."""
+    named = slots.withColumn("_path", safe_filename(F.col(name), profile))
+    twice = named.groupBy(F.col("_path").alias("_p")).agg((F.count(F.lit(1)) > 1).alias("_meets"))
+    path = F.when(F.col("_meets"), F.concat(F.substring(hash_col, 1, 12), F.lit("-"), F.col("_path"))).otherwise(F.col("_path"))
+    joined = named.join(twice, F.col("_path") == F.col("_p")).select(path.alias("path"), F.col(hash_col).alias("_hash"))
+    return joined.join(blobs.select(F.col(hash_col).alias("_blob"), F.col(content).alias("content")), F.col("_hash") == F.col("_blob")).select("path", "content")
+
+
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """path, member, content of all files inside zip files: a task opens the zips of its partition, the driver none."""
 

@@ -320,3 +320,14 @@ def test_comparisons_reach_the_scan(spark, sf):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         pushed = " ".join(line.split("PushedFilters:")[1].split("ReadSchema")[0] for line in plan.split("\n") if "PushedFilters" in line)
         assert re.search(r"Than|In\(|StartsWith|Contains", pushed), (name, pushed)
+
+
+def test_dumps_show_damage(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
+    exports.dump({"c": df, "d": df, "_x": df}, f"{tmp_path}/dump")
+    ok = lambda: {r["collection"]: r["ok"] for r in exports.verify_dump(spark, f"{tmp_path}/dump").collect()}
+    assert ok() == {"c": True, "d": True}
+    exports.write_lines(exports.json_lines(df.where("id = 1")), f"{tmp_path}/dump/d", compression="gzip")
+    assert ok() == {"c": True, "d": False}
+    loaded = exports.load({"c": (spark.createDataFrame([(2, "old"), (3, "z")], "id int, s string"), "id")}, f"{tmp_path}/dump", "replace")
+    assert sorted(tuple(r) for r in loaded["c"].collect()) == [(1, "a"), (2, None)] and loaded["d"].count() == 1
