@@ -181,7 +181,12 @@ def agg_text_as_zero(s, d):
     return engine(s, d).query("orders").aggregate({"total": R.sum_of("o_orderstatus"), "high": R.greatest("o_orderstatus")})
 
 
-@query("agg_empty", "SELECT CAST(0 AS BIGINT) AS n, CAST(0.0 AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS low FROM (SELECT count(*) FROM orders)")
+@query(
+    "agg_empty",
+    """SELECT CAST(0 AS BIGINT) AS n, CAST(0.0 AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS low
+    FROM (SELECT count(*)
+    FROM orders)""",
+)
 def agg_empty(s, d):
     return engine(s, d).query("orders").where("o_orderstatus", "==", "never").aggregate({k: SPEC[k] for k in ("n", "total", "mean", "low")})
 
@@ -196,12 +201,23 @@ def groupby_status(s, d):
     return rounded(engine(s, d).query("orders").group_by("o_orderstatus", SPEC))
 
 
-@query("groupby_priority_paid", f"SELECT o_orderpriority, {SPEC_SQL.format('o_totalprice')} FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
+@query(
+    "groupby_priority_paid",
+    f"""SELECT o_orderpriority, {SPEC_SQL.format('o_totalprice')}
+    FROM orders
+    WHERE o_orderstatus = 'F'
+    GROUP BY o_orderpriority""",
+)
 def groupby_priority_paid(s, d):
     return rounded(engine(s, d).query("orders").where("o_orderstatus", "==", "F").group_by("o_orderpriority", SPEC))
 
 
-@query("groupby_null_key", f"SELECT quality, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS DOUBLE) AS total FROM {LABELLED_SQL} GROUP BY quality")
+@query(
+    "groupby_null_key",
+    f"""SELECT quality, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS DOUBLE) AS total
+    FROM {LABELLED_SQL}
+    GROUP BY quality""",
+)
 def groupby_null_key(s, d):
     return engine(s, d).query("labelled").group_by("quality", {"n": R.count(), "total": R.sum_of("n_chars")})
 
@@ -230,12 +246,23 @@ def flat(df: DataFrame, keep: str, *paths: str) -> DataFrame:
     return df.select(*keep.split(), *[F.col(p).alias(p.replace(".", "_")) for p in paths])
 
 
-@query("join_ref", "SELECT o_orderkey, c_custkey AS customer_c_custkey, c_name AS customer_c_name, c_mktsegment AS customer_c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@query(
+    "join_ref",
+    """SELECT o_orderkey, c_custkey AS customer_c_custkey, c_name AS customer_c_name, c_mktsegment AS customer_c_mktsegment
+    FROM orders
+    LEFT JOIN customer ON o_custkey = c_custkey""",
+)
 def join_ref(s, d):
     return flat(engine(s, d).query("orders").join("o_custkey", "customer").to_df(), "o_orderkey", *CUSTOMER.split())
 
 
-@query("join_hash_strategy", "SELECT o_orderkey, c_name AS customer_c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
+@query(
+    "join_hash_strategy",
+    """SELECT o_orderkey, c_name AS customer_c_name
+    FROM orders
+    LEFT JOIN customer ON o_custkey = c_custkey
+    WHERE o_orderstatus = 'P'""",
+)
 def join_hash_strategy(s, d):
     return flat(engine(s, d).query("orders").where("o_orderstatus", "==", "P").join("o_custkey", "customer", strategy="hash").to_df(), "o_orderkey", "customer.c_name")
 
@@ -252,7 +279,14 @@ def join_chain3(s, d):
     return flat(chain(engine(s, d).query("orders")).to_df(), "o_orderkey", "customer.c_name", "nation.n_name", "region.r_name")
 
 
-@query("join_limit_before", "SELECT o_orderkey, c_name AS customer_c_name FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10) LEFT JOIN customer ON o_custkey = c_custkey")
+@query(
+    "join_limit_before",
+    """SELECT o_orderkey, c_name AS customer_c_name
+    FROM (SELECT *
+    FROM orders
+    ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)
+    LEFT JOIN customer ON o_custkey = c_custkey""",
+)
 def join_limit_before(s, d):
     return flat(engine(s, d).query("orders").order_by("o_totalprice", "desc").limit(10).join("o_custkey", "customer").to_df(), "o_orderkey", "customer.c_name")
 
@@ -264,7 +298,13 @@ def join_dangling_warn(s, d):
     return flat(joins.lookup_join(read(s, d, "documents").select("doc_id", "lang"), read(s, d, "labels"), leg, "doc_id", unique=True), "doc_id", "label.quality")
 
 
-@query("join_last_duplicate_wins", "SELECT c_custkey, arg_max(o_orderkey, o_orderkey) AS last_o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query(
+    "join_last_duplicate_wins",
+    """SELECT c_custkey, arg_max(o_orderkey, o_orderkey) AS last_o_orderkey
+    FROM customer
+    LEFT JOIN orders ON o_custkey = c_custkey
+    GROUP BY c_custkey""",
+)
 def join_last_duplicate_wins(s, d):
     return flat(joins.lookup_join(read(s, d, "customer"), read(s, d, "orders"), JoinLeg("c_custkey", "last", "orders"), "o_custkey", "o_orderkey"), "c_custkey", "last.o_orderkey")
 
@@ -275,12 +315,23 @@ def join_dictionary(s, d):
     return flat(joins.dictionary_join(read(s, d, "orders"), e.dictionaries["status"], "o_orderstatus", "status", ("en", "th")), "o_orderkey", "status.key", "status.en")
 
 
-@query("scan_join_agg", "SELECT CAST(count(*) AS BIGINT) AS n, round(sum(p_retailprice), 2) AS total, CAST(max(p_size) AS DOUBLE) AS high FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25")
+@query(
+    "scan_join_agg",
+    """SELECT CAST(count(*) AS BIGINT) AS n, round(sum(p_retailprice), 2) AS total, CAST(max(p_size) AS DOUBLE) AS high
+    FROM lineitem
+    LEFT JOIN part ON l_partkey = p_partkey
+    WHERE l_quantity > 25""",
+)
 def scan_join_agg(s, d):
     return rounded(engine(s, d).scan("lineitem").where("l_quantity", ">", 25).join("l_partkey", "part").aggregate({"n": R.count(), "total": R.sum_of("part.p_retailprice"), "high": R.greatest("part.p_size")}))
 
 
-@query("scan_join_group", f"SELECT r_name, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total {CHAIN} WHERE o_orderstatus = 'F' GROUP BY r_name")
+@query(
+    "scan_join_group",
+    f"""SELECT r_name, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total {CHAIN}
+    WHERE o_orderstatus = 'F'
+    GROUP BY r_name""",
+)
 def scan_join_group(s, d):
     return rounded(chain(engine(s, d).scan("orders").where("o_orderstatus", "==", "F")).group_by("region.r_name", {"n": R.count(), "total": R.sum_of("o_totalprice")}))
 
@@ -298,7 +349,21 @@ def integrity_report(s, d):
     return joins.integrity_report(held, [("documents", "doc_id", "labels"), ("orders", "o_custkey", "customer")])
 
 
-@query("cascade_delete_ids", "WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)) SELECT 'customer' AS collection, CAST(c_custkey AS VARCHAR) AS id FROM c UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM o UNION ALL SELECT 'nation', '3' FROM nation WHERE n_nationkey = 3")
+@query(
+    "cascade_delete_ids",
+    """WITH c AS (SELECT c_custkey
+    FROM customer
+    WHERE c_nationkey = 3), o AS (SELECT o_orderkey
+    FROM orders
+    WHERE o_custkey IN (SELECT c_custkey
+    FROM c)) SELECT 'customer' AS collection, CAST(c_custkey AS VARCHAR) AS id
+    FROM c
+    UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR)
+    FROM o
+    UNION ALL SELECT 'nation', '3'
+    FROM nation
+    WHERE n_nationkey = 3""",
+)
 def cascade_delete_ids(s, d):
     t = lambda n: read(s, d, n)
     held = {"nation": (t("nation"), "n_nationkey"), "customer": (t("customer"), "c_custkey"), "orders": (t("orders"), "o_orderkey")}
@@ -339,7 +404,12 @@ def current_state(s, d):
     return state(versions.current(log(s, d)))
 
 
-@query("as_of", f"SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v FROM {LATEST_SQL.format(f'''ts <= TIMESTAMP '{MID}' ''')} WHERE op <> 'delete'")
+@query(
+    "as_of",
+    f"""SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v
+    FROM {LATEST_SQL.format(f'''ts <= TIMESTAMP '{MID}' ''')}
+    WHERE op <> 'delete'""",
+)
 def as_of(s, d):
     return state(versions.as_of(log(s, d), F.lit(MID).cast("timestamp_ntz")))
 
@@ -349,12 +419,26 @@ def alive_ids_at(s, d):
     return versions.alive_ids(log(s, d), F.lit(MID).cast("timestamp_ntz"))
 
 
-@query("history_of_one", f"SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v FROM {LOG_SQL} WHERE id = 7 AND ts >= TIMESTAMP '2024-01-05' AND _v < (SELECT max(_v) FROM {LOG_SQL} WHERE id = 7) ORDER BY _v DESC LIMIT 10")
+@query(
+    "history_of_one",
+    f"""SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v
+    FROM {LOG_SQL}
+    WHERE id = 7 AND ts >= TIMESTAMP '2024-01-05' AND _v < (SELECT max(_v)
+    FROM {LOG_SQL}
+    WHERE id = 7)
+    ORDER BY _v DESC LIMIT 10""",
+)
 def history_of_one(s, d):
     return state(versions.history(log(s, d), 7, since=F.lit("2024-01-05").cast("timestamp_ntz"), limit=10))
 
 
-@query("history_all", f"SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v FROM (SELECT *, max(_v) OVER (PARTITION BY id) AS m FROM {LOG_SQL}) WHERE _v < m")
+@query(
+    "history_all",
+    f"""SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v
+    FROM (SELECT *, max(_v) OVER (PARTITION BY id) AS m
+    FROM {LOG_SQL})
+    WHERE _v < m""",
+)
 def history_all(s, d):
     return state(versions.history(log(s, d)))
 
@@ -364,28 +448,63 @@ def version_lookup(s, d):
     return state(versions.get_version(log(s, d), 7, 3))
 
 
-@query("revert_to_version", f"SELECT CAST(max(_v) + 1 AS BIGINT) AS _v, (SELECT value FROM {LOG_SQL} WHERE id = 7 AND _v = 2) AS value FROM {LOG_SQL} WHERE id = 7")
+@query(
+    "revert_to_version",
+    f"""SELECT CAST(max(_v) + 1 AS BIGINT) AS _v, (SELECT value
+    FROM {LOG_SQL}
+    WHERE id = 7 AND _v = 2) AS value
+    FROM {LOG_SQL}
+    WHERE id = 7""",
+)
 def revert_to_version(s, d):
     reverted = versions.revert(log(s, d), 7, 2, F.lit("2024-02-01").cast("timestamp_ntz"))
     return versions.Log(reverted, "id", "_v", "ts", "op").df.where("id = 7").orderBy(F.desc("_v")).limit(1).select(F.col("_v").cast("long").alias("_v"), "value")
 
 
-@query("prune_keep_3", f"SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v FROM {LOG_SQL} QUALIFY row_number() OVER (PARTITION BY id ORDER BY _v DESC) <= 4")
+@query(
+    "prune_keep_3",
+    f"""SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v
+    FROM {LOG_SQL}
+    QUALIFY row_number() OVER (PARTITION BY id
+    ORDER BY _v DESC) <= 4""",
+)
 def prune_keep_3(s, d):
     return state(versions.prune(log(s, d), keep=3))
 
 
-@query("prune_before", f"SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v FROM {LOG_SQL} QUALIFY row_number() OVER (PARTITION BY id ORDER BY _v DESC) = 1 OR ts >= TIMESTAMP '{MID}'")
+@query(
+    "prune_before",
+    f"""SELECT id, event_id, value, CAST(_v AS BIGINT) AS _v
+    FROM {LOG_SQL}
+    QUALIFY row_number() OVER (PARTITION BY id
+    ORDER BY _v DESC) = 1 OR ts >= TIMESTAMP '{MID}'""",
+)
 def prune_before(s, d):
     return state(versions.prune(log(s, d), before=F.lit(MID).cast("timestamp_ntz")))
 
 
-@query("version_fields_changed", f"SELECT id, CAST(_v AS BIGINT) AS _v, value IS DISTINCT FROM p AS value_changed, op IS DISTINCT FROM o AS op_changed FROM (SELECT *, lag(value) OVER w AS p, lag(op) OVER w AS o FROM {LOG_SQL} WINDOW w AS (PARTITION BY id ORDER BY _v)) WHERE _v > 1")
+@query(
+    "version_fields_changed",
+    f"""SELECT id, CAST(_v AS BIGINT) AS _v, value IS DISTINCT
+    FROM p AS value_changed, op IS DISTINCT
+    FROM o AS op_changed
+    FROM (SELECT *, lag(value) OVER w AS p, lag(op) OVER w AS o
+    FROM {LOG_SQL} WINDOW w AS (PARTITION BY id
+    ORDER BY _v))
+    WHERE _v > 1""",
+)
 def version_fields_changed(s, d):
     return versions.fields_changed(log(s, d), ["value", "op"]).withColumn("_v", F.col("_v").cast("long"))
 
 
-@query("ledger_gap_check", "SELECT user_id, event_id, p AS before, event_id - p - 1 AS gap FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE event_id - p <> 1")
+@query(
+    "ledger_gap_check",
+    """SELECT user_id, event_id, p AS before, event_id - p - 1 AS gap
+    FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id
+    ORDER BY event_id) AS p
+    FROM events)
+    WHERE event_id - p <> 1""",
+)
 def ledger_gap_check(s, d):
     return versions.ledger_gaps(read(s, d, "events"), "event_id", "user_id")
 
@@ -409,14 +528,24 @@ def ledger_append(s, d):
     return ledger(s, d).select("user_id", "index", "event_id", "prevHash", "entryHash")
 
 
-@query("ledger_verify", "SELECT user_id, CAST(count(*) AS BIGINT) AS entries, count(*) < 6 AS ok, CASE WHEN count(*) >= 6 THEN CAST(5 AS BIGINT) END AS first_bad FROM events GROUP BY user_id")
+@query(
+    "ledger_verify",
+    """SELECT user_id, CAST(count(*) AS BIGINT) AS entries, count(*) < 6 AS ok, CASE WHEN count(*) >= 6 THEN CAST(5 AS BIGINT) END AS first_bad
+    FROM events
+    GROUP BY user_id""",
+)
 def ledger_verify(s, d):
     """Chains whose entry 5 was changed afterwards: verification names it."""
     tampered = ledger(s, d).withColumn("event_type", F.when(F.col("index") == 5, "tampered").otherwise(F.col("event_type")))
     return versions.ledger_verify(tampered, LEDGER, "user_id")
 
 
-@query("ledger_forged", "SELECT user_id, CAST(count(*) AS BIGINT) AS entries, count(*) < 4 AS ok, CASE WHEN count(*) >= 4 THEN CAST(3 AS BIGINT) END AS first_bad FROM events GROUP BY user_id")
+@query(
+    "ledger_forged",
+    """SELECT user_id, CAST(count(*) AS BIGINT) AS entries, count(*) < 4 AS ok, CASE WHEN count(*) >= 4 THEN CAST(3 AS BIGINT) END AS first_bad
+    FROM events
+    GROUP BY user_id""",
+)
 def ledger_forged(s, d):
     """Chains whose entry 2 was changed and hashed anew: the entry after it no longer holds."""
     forged = ledger(s, d).withColumn("event_type", F.when(F.col("index") == 2, "forged").otherwise(F.col("event_type")))
@@ -438,7 +567,11 @@ def ledger_continue(s, d):
     return late.select("user_id", "index", "entryHash")
 
 
-@query("put_many_cas", f"SELECT id, CASE WHEN id % 2 = 0 THEN 'written' ELSE 'rejected' END AS outcome, CAST(CASE WHEN id % 2 = 0 THEN _v + 1 ELSE _v END AS BIGINT) AS _v FROM {LATEST_SQL.format('true')}")
+@query(
+    "put_many_cas",
+    f"""SELECT id, CASE WHEN id % 2 = 0 THEN 'written' ELSE 'rejected' END AS outcome, CAST(CASE WHEN id % 2 = 0 THEN _v + 1 ELSE _v END AS BIGINT) AS _v
+    FROM {LATEST_SQL.format('true')}""",
+)
 def put_many_cas(s, d):
     held = log(s, d)
     incoming = versions.latest(held).select("id", "value", F.when(F.col("id") % 2 == 0, F.col("_v")).otherwise(F.lit(-1)).alias("expected"))
@@ -460,7 +593,14 @@ def put_many_batch(s, d):
     return after.where("ts = timestamp_ntz'2024-03-01'").select("id", F.col("_v").cast("long").alias("_v"), "event_id")
 
 
-@query("delete_many", f"SELECT id, CAST(_v + 1 AS BIGINT) AS _v, 'delete' AS op FROM {LATEST_SQL.format('true')} WHERE op <> 'delete' AND id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+@query(
+    "delete_many",
+    f"""SELECT id, CAST(_v + 1 AS BIGINT) AS _v, 'delete' AS op
+    FROM {LATEST_SQL.format('true')}
+    WHERE op <> 'delete' AND id IN (SELECT c_custkey
+    FROM customer
+    WHERE c_nationkey < 12)""",
+)
 def delete_many(s, d):
     """Tombstones for ids that are alive; the others are left out."""
     ids = read(s, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("id"))
@@ -489,7 +629,11 @@ def transaction_commit(s, d):
     return stores.union_all(new)
 
 
-@query("reconstruct_version", f"SELECT l.id, e.event_id, e.value FROM {LATEST_SQL.format('true')} l JOIN {LOG_SQL} e ON e.id = l.id AND e._v = least(2, l._v)")
+@query(
+    "reconstruct_version",
+    f"""SELECT l.id, e.event_id, e.value
+    FROM {LATEST_SQL.format('true')} l JOIN {LOG_SQL} e ON e.id = l.id AND e._v = least(2, l._v)""",
+)
 def reconstruct_version(s, d):
     """Version 2 of every user, from the newest rows and the reverse deltas of the later ones."""
     held = log(s, d)
@@ -511,12 +655,21 @@ EDITED_SQL = "(SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 =
 DIFF_SQL = f"(SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'deleted' WHEN o.c_acctbal IS DISTINCT FROM n.c_acctbal THEN 'modified' ELSE 'unchanged' END AS change, o.c_acctbal AS old_bal, n.c_acctbal AS new_bal, coalesce(o.c_name, n.c_name) AS c_name FROM customer o FULL JOIN {EDITED_SQL} n ON o.c_custkey = n.c_custkey)"
 
 
-@query("vault_diff_rows", f"SELECT c_custkey, change, CASE WHEN change = 'modified' THEN 'c_acctbal' ELSE '' END AS fields FROM {DIFF_SQL} WHERE change <> 'unchanged'")
+@query(
+    "vault_diff_rows",
+    f"""SELECT c_custkey, change, CASE WHEN change = 'modified' THEN 'c_acctbal' ELSE '' END AS fields
+    FROM {DIFF_SQL}
+    WHERE change <> 'unchanged'""",
+)
 def vault_diff_rows(s, d):
     return diff.collection_diff(read(s, d, "customer"), edited(s, d), "c_custkey").select("c_custkey", "change", F.array_join("fields_changed", ",").alias("fields"))
 
 
-@query("vault_diff_summary", f"SELECT CAST(count(*) FILTER (change = 'added') AS BIGINT) AS added, CAST(count(*) FILTER (change = 'modified') AS BIGINT) AS modified, CAST(count(*) FILTER (change = 'deleted') AS BIGINT) AS deleted FROM {DIFF_SQL}")
+@query(
+    "vault_diff_summary",
+    f"""SELECT CAST(count(*) FILTER (change = 'added') AS BIGINT) AS added, CAST(count(*) FILTER (change = 'modified') AS BIGINT) AS modified, CAST(count(*) FILTER (change = 'deleted') AS BIGINT) AS deleted
+    FROM {DIFF_SQL}""",
+)
 def vault_diff_summary(s, d):
     return diff.diff_summary(diff.collection_diff(read(s, d, "customer"), edited(s, d), "c_custkey"))
 
@@ -552,7 +705,11 @@ def field_diffs(s, d):
     return found.select("c_custkey", diff.format_changes(F.col("field_diffs")).alias("text"))
 
 
-@query("import_new_field", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'moved' ELSE c_name END AS city, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 <> 0 THEN 'new' END AS note FROM customer")
+@query(
+    "import_new_field",
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'moved' ELSE c_name END AS city, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 <> 0 THEN 'new' END AS note
+    FROM customer""",
+)
 def import_new_field(s, d):
     return diff.import_plan(*nested(s, d), "merge", "c_custkey").select("c_custkey", F.col("place.city").alias("city"), "note")
 
@@ -591,14 +748,28 @@ def json_patch_names(s, d):
 # reconciliation
 
 
-@query("lww_merge", "SELECT user_id, event_type, round(value, 4) AS value, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id % 2) = 1)")
+@query(
+    "lww_merge",
+    """SELECT user_id, event_type, round(value, 4) AS value, event_id
+    FROM (SELECT *
+    FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type
+    ORDER BY ts DESC, event_id % 2) = 1)""",
+)
 def lww_merge(s, d):
     """Registers (user, kind) of two replicas, the even and the odd events: the later write wins, a tie goes to the even."""
     e = read(s, d, "events").select("user_id", "event_type", "ts", F.struct(F.round("value", 4).alias("value"), "event_id").alias("v"), (F.col("event_id") % 2).alias("side"))
     return merge.lww_registers(e, ["user_id", "event_type"], "v", "ts", "side").select("user_id", "event_type", "v.value", "v.event_id")
 
 
-@query("lww_map_merge", "SELECT user_id, event_type, max(event_id) AS event_id FROM (SELECT user_id, event_type, event_id % 2 AS side, max(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY ALL")
+@query(
+    "lww_map_merge",
+    """SELECT user_id, event_type, max(event_id) AS event_id
+    FROM (SELECT user_id, event_type, event_id % 2 AS side, max(event_id) AS event_id
+    FROM events
+    GROUP BY ALL)
+    GROUP BY ALL""",
+)
 def lww_map_merge(s, d):
     """The same as maps: each side's map of registers (v and ts: the event's id), merged, and taken apart again."""
     e = read(s, d, "events").groupBy("user_id", (F.col("event_id") % 2).alias("side"), "event_type").agg(F.max("event_id").alias("m"))
@@ -609,7 +780,13 @@ def lww_map_merge(s, d):
     return both.select("user_id", F.explode(merge.lww_snapshot(F.col("state"))).alias("event_type", "event_id"))
 
 
-@query("rga_merge", "SELECT conv_id, CAST(count(*) FILTER (turn % 5 <> 0) AS BIGINT) AS n, string_agg(role, ',' ORDER BY (turn % 3 = 1), turn) FILTER (turn % 5 <> 0) AS roles FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 3 <> 1) > 0 AND count(*) FILTER (turn % 5 <> 0) > 0")
+@query(
+    "rga_merge",
+    """SELECT conv_id, CAST(count(*) FILTER (turn % 5 <> 0) AS BIGINT) AS n, string_agg(role, ','
+    ORDER BY (turn % 3 = 1), turn) FILTER (turn % 5 <> 0) AS roles
+    FROM conversations
+    GROUP BY conv_id HAVING count(*) FILTER (turn % 3 <> 1) > 0 AND count(*) FILTER (turn % 5 <> 0) > 0""",
+)
 def rga_merge(s, d):
     """Conversations as replicated lists: one side lacks every third turn, every fifth turn is deleted on the other."""
     c = read(s, d, "conversations").withColumn("x", F.struct(F.col("turn").cast("string").alias("nid"), F.col("role").alias("v"), F.col("turn").alias("t")))
@@ -640,7 +817,12 @@ for _policy, _wins in (("version", "lv >= rv"), ("last-writer-wins", "lt >= rt")
     query(f"sync_pull_{_policy.replace('-', '_')}", pull_sql(_wins))(lambda s, d, p=_policy: merge.pull(*replicas(s, d), p))
 
 
-@query("sync_push", "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 5 AS INTEGER) AS _v, CASE WHEN c_custkey % 11 = 0 THEN 'created' WHEN c_custkey % 4 = c_custkey % 5 - 1 THEN 'written' ELSE 'conflict' END AS outcome FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 3 = 0")
+@query(
+    "sync_push",
+    """SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 5 AS INTEGER) AS _v, CASE WHEN c_custkey % 11 = 0 THEN 'created' WHEN c_custkey % 4 = c_custkey % 5 - 1 THEN 'written' ELSE 'conflict' END AS outcome
+    FROM customer
+    WHERE c_custkey % 13 <> 0 AND c_custkey % 3 = 0""",
+)
 def sync_push(s, d):
     return merge.push(*replicas(s, d))
 
@@ -659,7 +841,14 @@ def sync_both_ways(s, d):
     return merge.sync(local, remote, only=F.col("id") % 2 == 0, merged=merged).select("id", "outcome", "row._v", "row._ts")
 
 
-@query("cross_vault", "SELECT r_name AS vault, CAST(count(c_custkey) AS BIGINT) AS n, round(coalesce(sum(c_acctbal), 0.0), 2) AS total FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
+@query(
+    "cross_vault",
+    """SELECT r_name AS vault, CAST(count(c_custkey) AS BIGINT) AS n, round(coalesce(sum(c_acctbal), 0.0), 2) AS total
+    FROM region
+    LEFT JOIN nation ON n_regionkey = r_regionkey
+    LEFT JOIN customer ON c_nationkey = n_nationkey
+    GROUP BY r_name""",
+)
 def cross_vault(s, d):
     """A vault a region: one grouped scan over all of them."""
     vaults = read(s, d, "region").join(read(s, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -668,14 +857,24 @@ def cross_vault(s, d):
     return merge.across_by(rows, "r_name", spec)
 
 
-@query("cross_vault_each", "SELECT 'orders' AS vault, CAST(count(*) AS BIGINT) AS n FROM orders UNION ALL SELECT 'customers', CAST(count(*) AS BIGINT) FROM customer")
+@query(
+    "cross_vault_each",
+    """SELECT 'orders' AS vault, CAST(count(*) AS BIGINT) AS n
+    FROM orders
+    UNION ALL SELECT 'customers', CAST(count(*) AS BIGINT)
+    FROM customer""",
+)
 def cross_vault_each(s, d):
     """The same query over vaults that are tables of their own."""
     vaults = {"orders": read(s, d, "orders").select(F.col("o_orderkey").alias("k")), "customers": read(s, d, "customer").select(F.col("c_custkey").alias("k"))}
     return merge.across(vaults, lambda df: R.reduce_rows(df, {"n": R.count()})).select("vault", "n")
 
 
-@query("lww_build", "SELECT doc_id, source AS a, CASE WHEN lang = 'en' THEN 'new' ELSE source END AS b, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS b_ts FROM documents")
+@query(
+    "lww_build",
+    """SELECT doc_id, source AS a, CASE WHEN lang = 'en' THEN 'new' ELSE source END AS b, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS b_ts
+    FROM documents""",
+)
 def lww_build(s, d):
     """Registers a and b written first; b alone written again for English documents: a keeps its value and time."""
     docs = read(s, d, "documents")
@@ -685,7 +884,12 @@ def lww_build(s, d):
     return held.select("doc_id", F.col("state")["a"]["v"].alias("a"), F.col("state")["b"]["v"].alias("b"), F.col("state")["b"]["ts"].alias("b_ts"))
 
 
-@query("rga_build", "SELECT conv_id, CAST(count(*) FILTER (turn % 2 = 1) AS INTEGER) AS gone, CAST(count(*) AS INTEGER) + 1 AS items FROM conversations GROUP BY conv_id")
+@query(
+    "rga_build",
+    """SELECT conv_id, CAST(count(*) FILTER (turn % 2 = 1) AS INTEGER) AS gone, CAST(count(*) AS INTEGER) + 1 AS items
+    FROM conversations
+    GROUP BY conv_id""",
+)
 def rga_build(s, d):
     """Conversations written again without their odd turns and with a new one: the odd ones stay as tombstones."""
     item = F.struct(F.concat(F.lit("n"), F.col("turn")).alias("nid"), F.col("turn").cast("string").alias("v"))
@@ -698,7 +902,12 @@ def rga_build(s, d):
 # periods, tiers, attachments, presence
 
 
-@query("period_seal_violations", f"SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '{ERA}' OR o_orderdate + INTERVAL 400 DAY <= TIMESTAMP '{ERA}'")
+@query(
+    "period_seal_violations",
+    f"""SELECT o_orderkey
+    FROM orders
+    WHERE o_orderdate <= TIMESTAMP '{ERA}' OR o_orderdate + INTERVAL 400 DAY <= TIMESTAMP '{ERA}'""",
+)
 def period_seal_violations(s, d):
     end = F.lit(ERA).cast("timestamp_ntz")
     return periods.violations(read(s, d, "orders"), end, F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 400 days")).select("o_orderkey")
@@ -709,7 +918,13 @@ def period_text_dates(s, d):
     return periods.violations(read(s, d, "orders"), "1996-03-31", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).select("o_orderkey")
 
 
-@query("carry_forward", f"SELECT o_custkey, round(sum(o_totalprice), 2) AS opening, CAST(count(*) AS BIGINT) AS entries FROM orders WHERE o_orderdate <= TIMESTAMP '{ERA}' GROUP BY o_custkey")
+@query(
+    "carry_forward",
+    f"""SELECT o_custkey, round(sum(o_totalprice), 2) AS opening, CAST(count(*) AS BIGINT) AS entries
+    FROM orders
+    WHERE o_orderdate <= TIMESTAMP '{ERA}'
+    GROUP BY o_custkey""",
+)
 def carry_forward(s, d):
     return periods.carry_forward(read(s, d, "orders"), "o_custkey", "o_totalprice", "o_orderdate", F.lit(ERA).cast("timestamp_ntz")).withColumn("opening", F.round("opening", 2))
 
@@ -728,29 +943,56 @@ def tier_invisible(s, d):
     return periods.visible(tiered(s, d), 1)
 
 
-@query("tier_ghost", "SELECT c_custkey AS id, CAST(c_custkey % 4 AS INTEGER) AS _tier, CASE WHEN c_custkey % 4 <= 1 THEN c_name END AS c_name FROM customer")
+@query(
+    "tier_ghost",
+    """SELECT c_custkey AS id, CAST(c_custkey % 4 AS INTEGER) AS _tier, CASE WHEN c_custkey % 4 <= 1 THEN c_name END AS c_name
+    FROM customer""",
+)
 def tier_ghost(s, d):
     return periods.visible(tiered(s, d), 1, "ghost")
 
 
-@query("blob_dedupe", "SELECT sha256(text) AS hash, CAST(strlen(any_value(text)) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS ref_count FROM documents GROUP BY 1")
+@query(
+    "blob_dedupe",
+    """SELECT sha256(text) AS hash, CAST(strlen(any_value(text)) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS ref_count
+    FROM documents
+    GROUP BY 1""",
+)
 def blob_dedupe(s, d):
     return periods.dedupe_blobs(read(s, d, "documents"), "text")
 
 
-@query("blob_evictions", "SELECT event_id, CASE WHEN a > 10 AND event_type = 'error' THEN 'both' WHEN a > 10 THEN 'ttl' ELSE 'predicate' END AS reason FROM (SELECT event_id, event_type, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS a FROM events) WHERE a > 10 OR event_type = 'error'")
+@query(
+    "blob_evictions",
+    """SELECT event_id, CASE WHEN a > 10 AND event_type = 'error' THEN 'both' WHEN a > 10 THEN 'ttl' ELSE 'predicate' END AS reason
+    FROM (SELECT event_id, event_type, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS a
+    FROM events)
+    WHERE a > 10 OR event_type = 'error'""",
+)
 def blob_evictions(s, d):
     age = F.datediff(F.lit("2024-01-31").cast("date"), F.col("ts").cast("date"))
     return periods.evictions(read(s, d, "events"), age, 10, F.col("event_type") == "error").select("event_id", "reason")
 
 
-@query("presence_alive", "SELECT user_id, max(ts) AS last_seen FROM events WHERE user_id <> 7 GROUP BY user_id HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
+@query(
+    "presence_alive",
+    """SELECT user_id, max(ts) AS last_seen
+    FROM events
+    WHERE user_id <> 7
+    GROUP BY user_id HAVING max(ts) >= (SELECT max(ts)
+    FROM events) - INTERVAL 6 HOUR""",
+)
 def presence_alive(s, d):
     e = read(s, d, "events")
     return periods.presence(e, "user_id", "ts", e.agg(F.max("ts")).scalar(), F.expr("interval 6 hours"), 7)
 
 
-@query("consent_audit", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' AND event_type = 'purchase' AND user_id = 42")
+@query(
+    "consent_audit",
+    """SELECT event_id, user_id
+    FROM events
+    WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' AND event_type = 'purchase' AND user_id = 42""",
+)
 def consent_audit(s, d):
     import datetime
 
@@ -766,12 +1008,20 @@ def texts(s, d) -> DataFrame:
     return read(s, d, "documents").select("doc_id", languages.alias("name"))
 
 
-@query("i18n_resolve", "SELECT doc_id, CASE WHEN lang = 'en' THEN source WHEN lang = 'de' THEN source ELSE 'fr-' || source END AS name FROM documents")
+@query(
+    "i18n_resolve",
+    """SELECT doc_id, CASE WHEN lang = 'en' THEN source WHEN lang = 'de' THEN source ELSE 'fr-' || source END AS name
+    FROM documents""",
+)
 def i18n_resolve(s, d):
     return i18n.apply_locale(texts(s, d), ["name"], "en", ("de", "any"))
 
 
-@query("i18n_missing", "SELECT doc_id, concat_ws(',', CASE WHEN lang <> 'en' THEN 'en' END, CASE WHEN lang <> 'de' THEN 'de' END) AS missing FROM documents")
+@query(
+    "i18n_missing",
+    """SELECT doc_id, concat_ws(',', CASE WHEN lang <> 'en' THEN 'en' END, CASE WHEN lang <> 'de' THEN 'de' END) AS missing
+    FROM documents""",
+)
 def i18n_missing(s, d):
     return texts(s, d).select("doc_id", F.array_join(i18n.missing_locales(F.col("name"), ("en", "de", "fr")), ",").alias("missing"))
 
@@ -781,7 +1031,12 @@ def dictionary_labels(s, d):
     return i18n.with_label(read(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", engine(s, d).dictionaries["status"], "en", ("th",)).select("o_orderkey", "o_orderstatusLabel")
 
 
-@query("dictionary_rename", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+@query(
+    "dictionary_rename",
+    """SELECT CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CAST(count(*) AS BIGINT) AS n
+    FROM orders
+    GROUP BY 1""",
+)
 def dictionary_rename(s, d):
     _, (orders,) = i18n.dictionary_rename(engine(s, d).dictionaries["status"], "P", "X", [(read(s, d, "orders"), "o_orderstatus")])
     return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
@@ -797,7 +1052,13 @@ TEXT_MAGIC = (
 MIME_SQL = "CASE " + " ".join(f"WHEN starts_with({{0}}, '{m}') THEN '{k}'" for m, k in TEXT_MAGIC) + f" WHEN {{0}} IS NOT NULL THEN '{files.UNKNOWN}' END AS mime"
 
 
-@query("mime_by_magic", f"SELECT 'page' AS kind, page_id AS id, {MIME_SQL.format('html')} FROM pages UNION ALL SELECT 'word', doc_id, {MIME_SQL.format('upper(text)')} FROM documents")
+@query(
+    "mime_by_magic",
+    f"""SELECT 'page' AS kind, page_id AS id, {MIME_SQL.format('html')}
+    FROM pages
+    UNION ALL SELECT 'word', doc_id, {MIME_SQL.format('upper(text)')}
+    FROM documents""",
+)
 def mime_by_magic(s, d):
     """Kinds of the bytes of every page, and of every document in capitals."""
     pages = read(s, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), files.mime_type(F.encode("html", "UTF-8")).alias("mime"))
@@ -816,7 +1077,11 @@ def safe_filenames(s, d):
 CSV_SQL = """CASE WHEN regexp_matches({0}, '[",\\r\\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
 
 
-@query("export_csv_lines", f"SELECT doc_id || ',' || {CSV_SQL.format('lang')} || ',' || coalesce({CSV_SQL.format('text')}, '') AS line FROM documents")
+@query(
+    "export_csv_lines",
+    f"""SELECT doc_id || ',' || {CSV_SQL.format('lang')} || ',' || coalesce({CSV_SQL.format('text')}, '') AS line
+    FROM documents""",
+)
 def export_csv_lines(s, d):
     """Whole texts, with their commas, quotes and line ends."""
     return exports.csv_lines(read(s, d, "documents").select("doc_id", "lang", "text"))
@@ -857,7 +1122,13 @@ def json_document_round_trip(s, d):
     return exports.read_json_documents(s, at, "conversations", turns.schema)
 
 
-@query("archive_round_trip", "SELECT 'orders' AS collection, CAST(o_orderkey AS BIGINT) AS id, o_totalprice AS value FROM orders UNION ALL SELECT 'customer', c_custkey, c_acctbal FROM customer")
+@query(
+    "archive_round_trip",
+    """SELECT 'orders' AS collection, CAST(o_orderkey AS BIGINT) AS id, o_totalprice AS value
+    FROM orders
+    UNION ALL SELECT 'customer', c_custkey, c_acctbal
+    FROM customer""",
+)
 def archive_round_trip(s, d):
     """Two collections written as an archive and read back with their schemas."""
     at = _folder(s, "archive")
@@ -867,7 +1138,13 @@ def archive_round_trip(s, d):
     return one("orders", "o_orderkey", "o_totalprice").unionByName(one("customer", "c_custkey", "c_acctbal"))
 
 
-@query("dump_load_verify", "SELECT 'customer' AS collection, CAST(count(*) AS BIGINT) AS rows, true AS ok FROM customer UNION ALL SELECT 'orders', count(*), true FROM orders")
+@query(
+    "dump_load_verify",
+    """SELECT 'customer' AS collection, CAST(count(*) AS BIGINT) AS rows, true AS ok
+    FROM customer
+    UNION ALL SELECT 'orders', count(*), true
+    FROM orders""",
+)
 def dump_load_verify(s, d):
     at = _folder(s, "dump")
     exports.dump({"orders": read(s, d, "orders"), "customer": read(s, d, "customer")}, at)
@@ -910,7 +1187,11 @@ def blob_files(s, d):
     return exports.blob_files(pages.select("url", "hash"), blobs, "url")
 
 
-@query("export_xml_lines", "SELECT '<Supplier><s_suppkey>' || s_suppkey || '</s_suppkey><s_name>' || replace(s_name, '&', '&amp;') || '</s_name></Supplier>' AS line FROM supplier")
+@query(
+    "export_xml_lines",
+    """SELECT '<Supplier><s_suppkey>' || s_suppkey || '</s_suppkey><s_name>' || replace(s_name, '&', '&amp;') || '</s_name></Supplier>' AS line
+    FROM supplier""",
+)
 def export_xml_lines(s, d):
     return exports.xml_lines(read(s, d, "supplier").select("s_suppkey", "s_name"), "suppliers")
 
@@ -920,12 +1201,22 @@ def export_sql_lines(s, d):
     return exports.sql_lines(read(s, d, "part").select("p_partkey", "p_name"), "part")
 
 
-@query("bundle_slice", "SELECT c_custkey AS id, CAST(c_custkey % 4 AS INTEGER) AS _tier, c_name FROM customer WHERE c_custkey % 4 <= 2 AND c_custkey > 100")
+@query(
+    "bundle_slice",
+    """SELECT c_custkey AS id, CAST(c_custkey % 4 AS INTEGER) AS _tier, c_name
+    FROM customer
+    WHERE c_custkey % 4 <= 2 AND c_custkey > 100""",
+)
 def bundle_slice(s, d):
     return stores.slice_of(tiered(s, d), tier_at_most=2, where=F.col("id") > 100)
 
 
-@query("store_metrics", "SELECT event_type AS method, CAST(count(*) AS BIGINT) AS count, CAST(count(*) FILTER (value > 90) AS BIGINT) AS errors, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.99), 4) AS p99, round(max(value), 4) AS max, round(avg(value), 4) AS avg FROM events GROUP BY 1")
+@query(
+    "store_metrics",
+    """SELECT event_type AS method, CAST(count(*) AS BIGINT) AS count, CAST(count(*) FILTER (value > 90) AS BIGINT) AS errors, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.99), 4) AS p99, round(max(value), 4) AS max, round(avg(value), 4) AS avg
+    FROM events
+    GROUP BY 1""",
+)
 def store_metrics(s, d):
     calls = read(s, d, "events").select(F.col("event_type").alias("method"), F.col("value").alias("ms"), (F.col("value") > 90).alias("error"))
     return stores.op_metrics(calls).drop("p90").withColumns({c: F.round(c, 4) for c in ("p50", "p99", "max", "avg")})
@@ -934,12 +1225,24 @@ def store_metrics(s, d):
 # plans from elsewhere
 
 
-@query("rest_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+@query(
+    "rest_where",
+    """SELECT o_orderkey, o_totalprice
+    FROM orders
+    WHERE o_orderstatus = 'F' AND o_totalprice >= 1000
+    ORDER BY o_totalprice DESC, o_orderkey LIMIT 30""",
+)
 def rest_where(s, d):
     return adapters.from_params(engine(s, d).query("orders"), {"where": ["o_orderstatus:eq:F", "o_totalprice:gte:1000"], "orderBy": "o_totalprice:desc", "limit": "30"}).to_df().select("o_orderkey", "o_totalprice")
 
 
-@query("table_state", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority = '2-HIGH' ORDER BY o_orderkey DESC LIMIT 20 OFFSET 40")
+@query(
+    "table_state",
+    """SELECT o_orderkey, o_orderpriority
+    FROM orders
+    WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority = '2-HIGH'
+    ORDER BY o_orderkey DESC LIMIT 20 OFFSET 40""",
+)
 def table_state(s, d):
     state = {"columnFilters": [{"id": "o_orderstatus", "value": ["O", "P"]}, {"id": "o_orderpriority", "value": "2-HIGH"}, {"id": "o_custkey", "value": ""}], "sorting": [{"id": "o_orderkey", "desc": True}], "pagination": {"pageIndex": 2, "pageSize": 20}}
     return adapters.from_table_state(engine(s, d).query("orders"), state).to_df().select("o_orderkey", "o_orderpriority")
@@ -954,7 +1257,16 @@ def digest_lookup(s, d):
 # streaming
 
 
-@query("live_group_totals", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error' GROUP BY 1")
+@query(
+    "live_group_totals",
+    """SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total
+    FROM (SELECT *
+    FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id
+    ORDER BY event_id DESC) = 1)
+    WHERE event_type <> 'error'
+    GROUP BY 1""",
+)
 def live_group_totals(s, d):
     """A grouped live query over the newest event of each user, kept by a stream of several files, stopped and started again."""
     from .streaming.live import LiveState, change_stream
