@@ -155,8 +155,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
             hits = scan_all(texts, found, size)
             runs = [[{"a": a, "b": b} for a, b in hit] for _, hit, _ in hits]
             spans = [[{"a": a, "b": b} for a, b in spans_in(t, hit)] if hit else [] for t, (_, hit, _) in zip(texts, hits, strict=True)]
-            columns = [pa.array([n for n, _, _ in hits], pa.int64()), pa.array(runs, _RUNS), pa.array([sorted(w) for _, _, w in hits], pa.list_(pa.string())), pa.array(spans, _RUNS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_words", "runs", "items", "spans"])
+            columns = [
+                batch.column("doc_id"), pa.array([n for n, _, _ in hits], pa.int64()), pa.array(runs, _RUNS),
+                pa.array([sorted(w) for _, _, w in hits], pa.list_(pa.string())), pa.array(spans, _RUNS),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "runs", "items", "spans"])
 
     return rows.mapInArrow(run, _FOUND.format(id=dict(rows.dtypes)["doc_id"]))
 

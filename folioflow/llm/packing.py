@@ -48,7 +48,8 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     ids.append(part)
-            made = [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            longs = [pa.array(x, pa.int64()) for x in (start, length, crc)]
+            made = [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), *longs]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(made + [pa.array(ids, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 

@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under length-aware false-discovery control.
 
 Base patterns give their spans as they are. Beside them every run of 20 or more key characters that is not all digits
-is a candidate. Its encoding is the smallest of hexadecimal, base 32, base 36, base 62 and base 64 that holds it. Three
-tests over the positions of its characters in that encoding's alphabet, in the order common to rare, ask whether it
-could be ordinary text: chi-squared uniformity; the runs above and below the alphabet's median; and the serial
-correlation of neighbours about its middle. What is plainly not uniform is no key, whatever text looks like. What ordinary text gives for each encoding (shares of characters, rate of changes across the median, mean
-and spread of neighbours' products) is counted over the character pairs of the whole corpus, candidates left out, in the same scan. The three
-p-values become one by Fisher's rule, and the Benjamini-Hochberg threshold is set for each encoding and length class
-(half an octave, without end) on its own, from a histogram of all candidates of the corpus.
+is a candidate. Its encoding is the smallest of hexadecimal, base 32, base 36, base 62 and base 64 that holds it.
+Three tests over the positions of its characters in that encoding's alphabet, in the order common to rare, ask whether
+it could be ordinary text: chi-squared uniformity; the runs above and below the alphabet's median; and the serial
+correlation of neighbours about its middle. What is plainly not uniform is no key, whatever text looks like. What
+ordinary text gives for each encoding (shares of characters, rate of changes across the median, mean and spread of
+neighbours' products) is counted over the character pairs of the whole corpus, candidates left out, in the same scan.
+The three p-values become one by Fisher's rule, and the Benjamini-Hochberg threshold is set for each encoding and
+length class (half an octave, without end) on its own, from a histogram of all candidates of the corpus.
 
 The scan runs once; its rows (spans and candidates, no text) are kept in the shared checkpoint folder.
 

@@ -156,7 +156,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
         )
     )
     left = blocks.withColumn("to", F.explode(targets)).where((F.col("to.tile") > F.col("tile")) | (F.col("to.block") >= F.col("block")))
-    left = left.select(F.col("to.tile").alias("tile"), F.col("to.block").alias("block"), F.col("members").alias("a"), ((F.col("to.tile") == F.col("tile")) & (F.col("to.block") == F.col("block"))).alias("same"))
+    same = (F.col("to.tile") == F.col("tile")) & (F.col("to.block") == F.col("block"))
+    left = left.select(F.col("to.tile").alias("tile"), F.col("to.block").alias("block"), F.col("members").alias("a"), same.alias("same"))
     pairs = left.join(blocks.withColumnRenamed("members", "b"), ["tile", "block"]).select("a", "b", "same")
 
     def run(source):

@@ -37,7 +37,8 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     import sentencepiece
 
     held = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(held.id_to_piece(i), held.get_score(i)) for i in range(held.get_piece_size()) if not (held.is_control(i) or held.is_unknown(i) or held.is_byte(i) or held.is_unused(i))]
+    special = lambda i: held.is_control(i) or held.is_unknown(i) or held.is_byte(i) or held.is_unused(i)
+    return [(held.id_to_piece(i), held.get_score(i)) for i in range(held.get_piece_size()) if not special(i)]
 
 
 class Counter(dict):
