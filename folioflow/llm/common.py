@@ -15,6 +15,7 @@ LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches have 1,000 rows where the session leaves Spark's 10,000: rows hold whole texts here."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Computes df once into the shared checkpoint folder and cuts its lineage there."""
     shared_dir(df.sparkSession)

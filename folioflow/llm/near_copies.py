@@ -8,7 +8,7 @@ Shingles are put in one order for all texts, rare ones first (by counts in BUCKE
 index 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of either, so that texts which share none of these
 need no comparison; this holds for any order, rare-first only keeps the groups small. Candidates are compared exactly,
 shingle by shingle. First each text meets the least of those it shares a shingle with; only texts which are then in
-different components meet each other, so that a large group of copies is not paired out.
+different components meet each other, once a pair, so that a large group of copies is not paired out.
 
 Defined cases: words are kept apart by ASCII white space, A-Z are lower-cased; fewer words than a shingle make one shingle
 of them all; very long texts are taken whole; equal texts (by a 64-bit hash) are copies of each other, null is the empty
@@ -37,6 +37,7 @@ BUCKETS = 1 << 20
 _PART = 4096
 _FAN = 256
 MARKS = 256
+FIRST = 64
 _REMEMBERED = 120_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -222,16 +223,26 @@ def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     others = members.where("copy <> first")
     star = spread_join(others, heads, "token").where(fits(F.col("n"), F.col("n_first")))
     found = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows, sketched)
-    roots = materialise(components(found).withColumnRenamed("node", "copy"))
-    rest = materialise(spread_join(others, roots, "copy", "left").select("token", "copy", "n", F.coalesce("root", "copy").alias("root")))
-    split = materialise(rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
-    rest = materialise(spread_join(rest, split, "token").select("token", "copy", "n", "root"))
+    rest = _apart(others, found)
+    # a pair that shares several shingles meets at the least of them, as far as FIRST shingles of either tell
+    least = rest.groupBy("copy").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRST).alias("least"))
+    rest = materialise(rest.join(least, "copy"))
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.copy") < F.col("y.copy")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
-    more = x.join(y, apart).select(F.col("x.copy").alias("u"), F.col("y.copy").alias("v"))
+    here = F.coalesce(F.array_min(F.array_intersect("x.least", "y.least")) >= F.col("x.token"), F.lit(True))
+    more = x.join(y, apart & here).select(F.col("x.copy").alias("u"), F.col("y.copy").alias("v"))
     return found.unionByName(_verified(more, rows, sketched))
 
 
+def _apart(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """token, copy, n, root of rest, for tokens whose copies are not all in one component of the links found."""
+    roots = materialise(components(found).withColumnRenamed("node", "copy"))
+    held = rest.select("token", "copy", "n")
+    rooted = materialise(spread_join(held, roots, "copy", "left").select("token", "copy", "n", F.coalesce("root", "copy").alias("root")))
+    split = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return materialise(spread_join(rooted, materialise(split), "token").select("token", "copy", "n", "root"))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each component the row with the smallest id stays (nulls last).
 

@@ -41,7 +41,7 @@ SAMPLE = 20_000
 SELECTED = 2_000
 LEAST_GAIN = 12.0
 FEATURE_BITS = 22
-REMEMBERED, REMEMBERED_WHOLE = 100_000, 20_000  # tokens: with their chosen features, with all features
+REMEMBERED, REMEMBERED_WHOLE = 400_000, 60_000  # tokens: with their chosen features, with all features
 _LOOK_COST = 1.0
 _SIZE = 32  # symbols of the language model: 0 outside words, 1-26 letters, 27 letters from U+0080 on, 28 digits, 29 others
 _SYMBOL = np.array([27 if c >= 128 else 28 if 48 <= c <= 57 else (c | 32) - 96 if chr(c).isalpha() else 0 if c <= 32 else 29 for c in range(256)], np.int64)
@@ -58,8 +58,18 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
+class _Symbols(dict):
+    """Character to its symbol; the letters from U+0080 on are not kept."""
+
+    def __missing__(self, c: str) -> int:
+        return 27
+
+
+_SYMBOLS = _Symbols({chr(c): int(_SYMBOL[c]) for c in range(128)})
+
+
 def symbol(c: str) -> int:
-    return int(_SYMBOL[ord(c)]) if ord(c) < 128 else 27
+    return _SYMBOLS[c]
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -142,12 +152,35 @@ def restore(word: str, model, blanks: bool = False) -> str:
     return "".join(reversed(found))
 
 
+def undouble(word: str, logs: list[float]) -> str:
+    """As restore, for a word without signs: each run stands for one or two letters, and the few words are scored whole."""
+    ways, at = [("", 0.0)], 0
+    for m in _RUN.finditer(word):
+        one, two = (0.5, 0.0) if m.end() - m.start() == 2 else (0.0, 0.5)
+        plain, c = word[at : m.start()], m[1]
+        ways = [way for text, cost in ways for way in ((text + plain + c, cost + one), (text + plain + c + c, cost + two))]
+        at = m.end()
+    best, found = -math.inf, word
+    for text, cost in ways:
+        text, state, total = text + word[at:], 0, -cost
+        for k in map(_SYMBOLS.__getitem__, text):
+            state = (state & 1023) << 5 | k
+            total += logs[state]
+        total += logs[(state & 1023) << 5]
+        if total > best:
+            best, found = total, text
+    return found
+
+
 def features(word: str) -> list[int]:
     """Hashes of a word, its beginnings of 2 to 6 characters and its inner sequences of 4."""
-    w = f"^{word}$"
-    parts = {w, *(w[:k] for k in range(3, min(8, len(w)))), *(w[i : i + 4] for i in range(1, len(w) - 4))}
-    mask = (1 << FEATURE_BITS) - 1
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & mask for p in parts]
+    w, mask, crc = f"^{word}$", (1 << FEATURE_BITS) - 1, zlib.crc32
+    n = len(w)
+    if w.isascii():  # a character is a byte
+        w = w.encode()
+        return [crc(p) & mask for p in {w, *(w[:k] for k in range(3, min(8, n))), *(w[i : i + 4] for i in range(1, n - 4))}]
+    parts = {w, *(w[:k] for k in range(3, min(8, n))), *(w[i : i + 4] for i in range(1, n - 4))}
+    return [crc(p.encode("utf-8", "surrogatepass")) & mask for p in parts]
 
 
 class Reader(dict):
@@ -160,9 +193,10 @@ class Reader(dict):
 
     def word(self, token: str) -> str:
         word = token.strip(".,!?-_*'’")
-        if (_SIGN.search(word) and any(c.isalpha() for c in word)) or _RUN.search(word):
-            word = restore(word, self.model)
-        return word
+        if _SIGN.search(word):
+            return restore(word, self.model) if any(c.isalpha() for c in word) or _RUN.search(word) else word
+        runs = len(_RUN.findall(word))
+        return word if not runs else undouble(word, self.model) if runs <= 4 else restore(word, self.model)
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         word = self.word(token)

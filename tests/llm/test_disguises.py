@@ -42,3 +42,14 @@ def test_long_words_take_linear_time(model):
     for text in ("ab1" * 20_000, "u" * 1_000_000, "a b1 c " * 20_000, "_" * 100_000, "a _" * 30_000, "a" + " " * 200_000 + "b"):
         reader.read(text)
     assert time.time() - begin < 20
+
+
+def test_doubled_words_are_scored_as_by_viterbi(model):
+    rng = np.random.default_rng(6)
+    logs = toxicity.flat(model)
+    for _ in range(3000):
+        word = "".join(rng.choice(list("aeiost-é'"), rng.integers(1, 12)))
+        if len(toxicity._RUN.findall(word)) <= 4:
+            a, b = toxicity.undouble(word, logs), toxicity.restore(word, logs)
+            total = lambda w: sum(model[x, y, z] for x, y, z in zip([0, 0, *map(toxicity.symbol, w)], [0, *map(toxicity.symbol, w), 0], [*map(toxicity.symbol, w), 0], strict=False))  # noqa: B023, E731
+            assert a == b or abs(total(a) - total(b)) < 0.51, word
