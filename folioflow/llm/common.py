@@ -48,6 +48,7 @@ def small_batches(spark: SparkSession) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """Computes df once into the shared checkpoint folder and cuts its lineage there."""
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
