@@ -7,8 +7,9 @@ pairs of index 0.8 or more are found beside it, without loss, and both kinds of
 Shingles are put in one order for all texts, rare ones first (by counts in BUCKETS buckets, then by hash). Two sets of
 index 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of either, so that texts which share none of these
 need no comparison; this holds for any order, rare-first only keeps the groups small. Candidates are compared exactly,
-shingle by shingle. First each text meets the least of those it shares a shingle with; only texts which are then in
-different components meet each other, once a pair, so that a large group of copies is not paired out.
+shingle by shingle. First each text meets the least of those it shares a shingle with; only texts which are then, with
+the links of SimHash, in different components meet each other, once a pair, so that a large group of copies is not
+paired out.
 
 Defined cases: words are kept apart by ASCII white space, A-Z are lower-cased; fewer words than a shingle make one shingle
 of them all; very long texts are taken whole; equal texts (by a 64-bit hash) are copies of each other, null is the empty
@@ -209,8 +210,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, sketched: DataFrame) -> DataFra
     return materialise(_with_ends(pairs, rows, "text").mapInArrow(sure, "u long, v long"))
 
 
-def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs (u, v) of near copies in rows (copy, text) whose components are those of all pairs of near copies."""
+def links(rows: DataFrame, sketched: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (u, v) of near copies in rows (copy, text) which, with the links known, join what all pairs of near copies join."""
     folder = f"{shared_dir(rows.sparkSession)}/near_copies/{uuid.uuid4()}"
     _firsts(rows, _commonness(sketched)).write.parquet(folder)
     tokens = rows.sparkSession.read.parquet(folder)
@@ -223,7 +224,7 @@ def links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     others = members.where("copy <> first")
     star = spread_join(others, heads, "token").where(fits(F.col("n"), F.col("n_first")))
     found = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows, sketched)
-    rest = _apart(others, found)
+    rest = _apart(others, found.unionByName(known))
     # a pair that shares several shingles meets at the least of them, as far as FIRST shingles of either tell
     least = rest.groupBy("copy").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRST).alias("least"))
     rest = materialise(rest.join(least, "copy"))
@@ -252,5 +253,6 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     each, copies = copies_of(sketched.where("part is null"))
     text = text_bytes(text_col)
     rows = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
-    pairs = links(rows, sketched).unionByName(same_fingerprint(copies, radius))
+    alike = materialise(same_fingerprint(copies, radius))
+    pairs = links(rows, sketched, alike).unionByName(alike)
     return keep_first(docs, each, copies, pairs, id_col, text_col)
