@@ -7,9 +7,9 @@ pairs of index 0.8 or more are found beside it, without loss, and both kinds of
 Shingles are put in one order for all texts, rare ones first (by counts in BUCKETS buckets, then by hash). Two sets of
 index 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of either, so that texts which share none of these
 need no comparison; this holds for any order, rare-first only keeps the groups small. Candidates are compared exactly,
-shingle by shingle. First each text meets the least of those it shares a shingle with; only texts which are then, with
-the links of SimHash, in different components meet each other, once a pair, so that a large group of copies is not
-paired out.
+shingle by shingle. First each text meets the least of those it shares a shingle with, then STARS others, drawn anew, if
+it is not connected with them; only texts which are then, with the links of SimHash, in different components meet each
+other, once a pair, so that a large group of copies is not paired out.
 
 Defined cases: words are kept apart by ASCII white space, A-Z are lower-cased; fewer words than a shingle make one shingle
 of them all; very long texts are taken whole; equal texts (by a 64-bit hash) are copies of each other, null is the empty
@@ -39,6 +39,7 @@ _PART = 4096
 _FAN = 256
 MARKS = 256
 FIRST = 64
+STARS = 2
 _REMEMBERED = 120_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -225,6 +226,15 @@ def links(rows: DataFrame, sketched: DataFrame, known: DataFrame) -> DataFrame:
     star = spread_join(others, heads, "token").where(fits(F.col("n"), F.col("n_first")))
     found = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows, sketched)
     rest = _apart(others, found.unionByName(known))
+    for k in range(STARS):  # a head drawn anew for each shingle meets what is not connected with it yet
+        head = F.min_by(F.struct("copy", "n", "root"), F.xxhash64("copy", F.lit(k))).alias("head")
+        heads = rest.groupBy("token").agg(head)
+        heads = materialise(heads.select("token", F.col("head.copy").alias("first"), F.col("head.n").alias("n_first"), F.col("head.root").alias("its")))
+        against = materialise(spread_join(rest, heads, "token"))
+        star = against.where((F.col("root") != F.col("its")) & fits(F.col("n"), F.col("n_first")))
+        more = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows, sketched)
+        found = materialise(found.unionByName(more))
+        rest = _apart(against.where("copy <> first"), found.unionByName(known))
     # a pair that shares several shingles meets at the least of them, as far as FIRST shingles of either tell
     least = rest.groupBy("copy").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRST).alias("least"))
     rest = materialise(rest.join(least, "copy"))
