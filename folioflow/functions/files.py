@@ -42,15 +42,19 @@ PROFILES = ("all", "posix", "windows", "macos-smb", "zip", "url-path", "s3-key",
 
 
 def mime_type(content: Column) -> Column:
-    """Kind by the first 16 bytes; application/octet-stream if unknown, null of null."""
+    """Kind by the first 16 bytes; application/octet-stream if unknown, null of null.
+
+    One flat CASE whose conditions all read the head: Spark then computes content and head once a row, where nested
+    ones compute them anew for each signature.
+    """
     head = F.hex(F.substring(content, 1, 16))
-    at = lambda place, sign: F.substring(head, 2 * place + 1, len(sign)) == sign
-    found = F.when(head.rlike("^FF[EF][0-9A-F]") & (F.conv(F.substring(head, 4, 1), 16, 10).cast("int") != 1), "audio/mpeg").otherwise(UNKNOWN)
-    for kind, sign, *more in reversed(MAGIC):
+    at = lambda place, sign: F.substring(head, 2 * place + 1, len(sign)) == sign if place else F.startswith(head, F.lit(sign))
+    found = F.when(head.isNull(), F.lit(None).cast("string"))
+    for kind, sign, *more in MAGIC:
         place, second, second_place = [*more, *(0, "", 0)[len(more) :]]
-        fits = at(place, sign) & at(second_place, second) if second else at(place, sign)
-        found = F.when(fits, kind).otherwise(found)
-    return F.when(content.isNotNull(), found)
+        found = found.when(at(place, sign) & at(second_place, second) if second else at(place, sign), kind)
+    frame = head.rlike("^FF[EF][0-9A-F]") & (F.conv(F.substring(head, 4, 1), 16, 10).cast("int") != 1)
+    return found.when(frame, "audio/mpeg").otherwise(UNKNOWN)
 
 
 def pre_compressed(mime: Column) -> Column:

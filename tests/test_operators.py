@@ -225,6 +225,14 @@ def test_kinds_by_signature(spark):
     assert [r[0] for r in df.select(files.mime_type(F.col("h"))).collect()] == [*heads.values(), None]
 
 
+def test_kind_reads_its_content_once(spark, capsys):
+    df = spark.range(3).select(files.mime_type(F.encode(F.upper(F.col("id").cast("string")), "UTF-8")).alias("mime"))
+    df.explain("codegen")
+    code = capsys.readouterr().out
+    assert code.count("CollationSupport.Upper.exec") == 1, code.count("CollationSupport.Upper.exec")
+    assert [r.mime for r in df.collect()] == [files.UNKNOWN] * 3
+
+
 def test_exports_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"\nc', None, True), (2, "", 2.0, None)], "id int, s string, d double, b boolean")
     lines = [r["line"] for r in exports.csv_lines(df).collect()]
