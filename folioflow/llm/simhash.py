@@ -172,13 +172,39 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
+#: So many links are joined by one task, in at most about 100 MB; more of them in rounds of joins.
+ONE_TASK = 1_000_000
+_CHUNK = 50_000
+
+
+def _joined(source):
+    """node and root of all links (u, v) of a task."""
+    u, v = [], []
+    for batch in source:
+        u.append(batch.column("u").to_numpy())
+        v.append(batch.column("v").to_numpy())
+    if u:
+        u, v = np.concatenate(u), np.concatenate(v)
+        nodes = np.unique(np.concatenate([u, v]))
+        forest = Forest(len(nodes))
+        for i in range(0, len(u), _CHUNK):
+            forest.join(np.searchsorted(nodes, u[i : i + _CHUNK]), np.searchsorted(nodes, v[i : i + _CHUNK]))
+        for i in range(0, len(nodes), _CHUNK):
+            roots = nodes[forest.roots(np.arange(i, min(i + _CHUNK, len(nodes))))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + _CHUNK]), pa.array(roots)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for every node of the edges (u, v).
 
-    Labels go to the neighbours' smallest label and then to that label's own label, until nothing changes, which takes
-    about the logarithm of the longest path; each round is cut off in the shared checkpoint folder. The driver sees
-    one number a round. Labels that many nodes share are not gathered in one task.
+    At most ONE_TASK edges are joined by one task, without further plans on the driver; beyond that, labels go to the
+    neighbours' smallest label and then to that label's own label, until nothing changes, which takes about the
+    logarithm of the longest path; each round is cut off in the shared checkpoint folder. The driver sees one number a
+    round. Labels that many nodes share are not gathered in one task.
     """
+    edges = materialise(edges.select("u", "v").distinct())
+    if edges.count() <= ONE_TASK:
+        return edges.repartition(1).mapInArrow(_joined, "node long, root long")
     both = materialise(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:

@@ -128,6 +128,30 @@ def test_simhash_blocks_lose_no_link(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    """Chains, stars and links of a node with itself; few links take few jobs, however long the chains are."""
+    rng = np.random.default_rng(6)
+    names = rng.integers(-(2**63), 2**63 - 1, 900, dtype=np.int64).tolist()
+    pairs = list(zip(names[:40], names[1:40], strict=False)) + [(names[400], x) for x in names[401:440]] + [(names[600], names[600])]
+    pairs += [(names[k], names[j]) for k, j in rng.integers(700, 740, (20, 2)).tolist()]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    edges, context = spark.createDataFrame(pairs, "u long, v long"), spark.sparkContext
+    for most in (simhash.ONE_TASK, 0):
+        monkeypatch.setattr(simhash, "ONE_TASK", most)
+        context.setJobGroup(f"components {most}", "")
+        got = simhash.components(edges).collect()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert len(got) == len(root) and {r.node: r.root for r in got} == root
+        jobs = len(context.statusTracker().getJobIdsForGroup(f"components {most}"))
+        assert jobs <= 8 if most else jobs > 20, jobs
+
+
 def test_decontamination_chunks_agree(docs, empty, spark):
     items = [(1, "one two three one two three"), (2, "the cat"), (3, " ".join(f"word{k % 37} tail{k % 11}" for k in range(5, 30))), (4, None), (5, "??"), (1, "THREE one two"), (None, "x")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
