@@ -9,7 +9,9 @@ index 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of either,
 need no comparison; this holds for any order, rare-first only keeps the groups small. Candidates are compared exactly,
 shingle by shingle. First each text meets the least of those it shares a shingle with, then STARS others, drawn anew, if
 it is not connected with them; only texts which are then, with the links of SimHash, in different components meet each
-other, once a pair, so that a large group of copies is not paired out.
+other, once a pair, so that a large group of copies is not paired out. They meet at the first shingle in the order that
+both have, and only if what either has from there on is enough for an index of 0.8: a text with many shingles of its own,
+which are rare and come first, has too few left to be near the others of its group, and meets none of them.
 
 Defined cases: words are kept apart by ASCII white space, A-Z are lower-cased; fewer words than a shingle make one shingle
 of them all; very long texts are taken whole; equal texts (by a 64-bit hash) are copies of each other, null is the empty
@@ -152,13 +154,13 @@ def _commonness(sketched: DataFrame) -> np.ndarray:
 
 
 def _firsts(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """copy, n, token: of each text its number of shingles and the shingles it has to share one of."""
+    """copy, n, token, at: of each text its number of shingles, and the shingles it has to share one of, with their places."""
     held = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(source):
         level, known, seen = held.value, _Hashes(), set()
         for batch in slices(source):
-            copies, sizes, tokens = [], [], []
+            copies, sizes, tokens, places = [], [], [], []
             for copy, text in zip(batch.column("copy").to_pylist(), batch.column("text"), strict=True):
                 if copy in seen:
                     continue
@@ -172,10 +174,12 @@ def _firsts(rows: DataFrame, common: np.ndarray) -> DataFrame:
                     copies.append(np.full(len(chosen), copy, np.int64))
                     sizes.append(np.full(len(chosen), n, np.int32))
                     tokens.append(chosen.view(np.int64))
+                    places.append(np.arange(len(chosen), dtype=np.int32))
             if copies:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (copies, sizes, tokens)], names=["copy", "n", "token"])
+                columns = [pa.array(np.concatenate(x)) for x in (copies, sizes, tokens, places)]
+                yield pa.RecordBatch.from_arrays(columns, names=["copy", "n", "token", "at"])
 
-    return rows.mapInArrow(run, "copy long, n int, token long")
+    return rows.mapInArrow(run, "copy long, n int, token long, at int")
 
 
 def _with_ends(pairs: DataFrame, rows: DataFrame, what: str) -> DataFrame:
@@ -235,23 +239,36 @@ def links(rows: DataFrame, sketched: DataFrame, known: DataFrame) -> DataFrame:
         more = _verified(star.select(F.col("first").alias("u"), F.col("copy").alias("v")), rows, sketched)
         found = materialise(found.unionByName(more))
         rest = _apart(against.where("copy <> first"), found.unionByName(known))
-    # a pair that shares several shingles meets at the least of them, as far as FIRST shingles of either tell
-    least = rest.groupBy("copy").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRST).alias("least"))
-    rest = materialise(rest.join(least, "copy"))
+    return found.unionByName(_verified(_meetings(rest), rows, sketched))
+
+
+def _meetings(rest: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rest (token, copy, n, at, root) in different components that may be near copies.
+
+    Texts of n and m shingles with an index of 0.8 or more share at least 4 / 9 of n + m; at the first shingle that they
+    share each has so many left, this one included. So n - at >= 4 / 9 (n + m), or m <= most, holds for both. A pair that
+    shares several shingles meets at the first of them, as far as FIRST shingles of either tell.
+    """
+    most = F.floor((5 * F.col("n") - 9 * F.col("at")) / 4).cast("int").alias("most")
+    firsts = F.slice(F.array_sort(F.collect_set(F.struct("at", "token"))), 1, FIRST).getField("token").alias("firsts")
+    place = F.array_position("firsts", F.col("token")).cast("int")
+    before = F.when(place > 0, place - 1).otherwise(F.size("firsts")).alias("before")
+    rest = rest.select("token", "copy", "n", "root", most).join(rest.groupBy("copy").agg(firsts), "copy")
+    rest = materialise(rest.select("*", before))
     x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.copy") < F.col("y.copy")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
-    here = F.coalesce(F.array_min(F.array_intersect("x.least", "y.least")) >= F.col("x.token"), F.lit(True))
-    more = x.join(y, apart & here).select(F.col("x.copy").alias("u"), F.col("y.copy").alias("v"))
-    return found.unionByName(_verified(more, rows, sketched))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.copy") < F.col("y.copy")) & (F.col("x.root") != F.col("y.root"))
+    enough = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    met = F.arrays_overlap(F.slice("x.firsts", 1, F.col("x.before")), F.slice("y.firsts", 1, F.col("y.before")))
+    return x.join(y, apart & enough & ~met).select(F.col("x.copy").alias("u"), F.col("y.copy").alias("v"))
 
 
 def _apart(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """token, copy, n, root of rest, for tokens whose copies are not all in one component of the links found."""
+    """token, copy, n, at, root of rest, for tokens whose copies are not all in one component of the links found."""
     roots = materialise(components(found).withColumnRenamed("node", "copy"))
-    held = rest.select("token", "copy", "n")
-    rooted = materialise(spread_join(held, roots, "copy", "left").select("token", "copy", "n", F.coalesce("root", "copy").alias("root")))
+    held = rest.select("token", "copy", "n", "at")
+    rooted = materialise(spread_join(held, roots, "copy", "left").select("token", "copy", "n", "at", F.coalesce("root", "copy").alias("root")))
     split = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return materialise(spread_join(rooted, materialise(split), "token").select("token", "copy", "n", "root"))
+    return materialise(spread_join(rooted, materialise(split), "token").select("token", "copy", "n", "at", "root"))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,6 +54,43 @@ def test_no_near_copy_stays(spark):
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_a_large_group_is_not_paired_out(spark):
+    """Copies of one text with 1 to 6 changed words each, most of them not near each other: none is lost, few are compared."""
+    rng, base = random.Random(5), [f"b{k}" for k in range(160)]
+    rows = []
+    for doc in range(240):
+        words = list(base)
+        for k in rng.sample(range(4, 156), 1 if doc % 8 == 0 else rng.choice((2, 4, 5, 6))):
+            words[k] = f"own{doc}x{k}"
+        rows.append((doc, " ".join(words)))
+    met, verified = [], near_copies._verified
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(near_copies, "_verified", lambda pairs, *more: (met.append(pairs.distinct().count()), verified(pairs, *more))[1])
+        kept = sorted(r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == survivors(rows) and 50 < len(kept) < 200
+    assert met[-1] < 3 * len(rows)  # the last step; the steps before meet one head a shingle
+
+
+def test_texts_meet_wherever_they_are_near(spark):
+    """What the last step pairs, without links known before, holds every near pair; once each."""
+    rng, known, rows, sets = random.Random(11), near_copies._Hashes(), [], []
+    for doc in range(150):
+        words = [f"c{doc % 3}x{k}" for k in range(rng.choice((30, 90, 100)))]
+        for k in rng.sample(range(len(words)), rng.randrange(4)):
+            words[k] = f"own{doc}x{k}" if rng.random() < 0.6 else f"shared{rng.randrange(3)}"
+        h = np.unique(near_copies.hashes(" ".join(words).encode(), known))
+        sets.append(set(h.tolist()))
+        order = sorted(h.tolist(), key=lambda x: (x % 5, x))
+        rows += [(x - 2**63, doc, len(h), at, doc) for at, x in enumerate(order[: len(h) + 1 + (-4 * len(h) // 5)])]
+    rest = common.materialise(spark.createDataFrame(rows, "token long, copy long, n int, at int, root long"))
+    for first in (near_copies.FIRST, 2):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_copies, "FIRST", first)
+            met = [tuple(r) for r in near_copies._meetings(rest).collect()]
+        near = {(a, b) for b in range(150) for a in range(b) if near_copies.near(sets[a], sets[b])}
+        assert len(near) > 100 and near <= set(met) and (first == 2 or len(met) == len(set(met)))
+
+
 def test_columns_with_clashing_names_stay(spark):
     """Columns named as those inside the operator, repeated rows, null ids; and the way without broadcasts."""
     names = "id copy fp part task counts n key none root token first u v _id _copy _key _gone_id".split()
