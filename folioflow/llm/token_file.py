@@ -128,9 +128,10 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     lanes = len(lengths)
     if not lanes:
         return lengths, []
-    grid = np.zeros(lanes * BLOCK, np.int32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
+    grid = np.zeros((BLOCK, lanes), np.uint16)
+    full, rest = divmod(len(ids), BLOCK)
+    grid[:, :full] = ids[: full * BLOCK].reshape(full, BLOCK).T
+    grid[:rest, full:] = ids[full * BLOCK :, None]
     model = _Model(lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
     digits = np.zeros((2 * BLOCK + 4, lanes), np.uint32)
@@ -141,7 +142,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
             last_low[-1], last_put[-1] = low[-1], put[-1]
             model.keep(lanes - 1)
             low, rng, put = low[:-1], rng[:-1], put[:-1]
-        now = grid[step, : model.lanes]
+        now = grid[step, : model.lanes].astype(np.int32)
         model.predict()
         is2 = (now == model.ids[1]) & (model.share2 > 0)
         is1 = (now == model.ids[0]) & (model.share1 > 0) & ~is2
@@ -192,14 +193,16 @@ def decode_blocks(lengths: np.ndarray, blocks: list[bytes]) -> np.ndarray:
     if not lanes:
         return np.zeros(0, np.int64)
     deep = max(len(b) // 2 for b in blocks) + 5
-    digits = np.zeros((lanes, deep), np.int64)
+    digits = np.zeros((lanes, deep), np.uint16)
     for k, b in enumerate(blocks):
         digits[k, : len(b) // 2] = np.frombuffer(b, "<u2")
     flat = np.ascontiguousarray(digits.T).reshape(-1)
-    value = (flat[:lanes] << 32) + (flat[lanes : 2 * lanes] << 16) + flat[2 * lanes : 3 * lanes]
+    del digits
+    first = flat[: 3 * lanes].astype(np.int64).reshape(3, lanes)
+    value = (first[0] << 32) + (first[1] << 16) + first[2]
     get = np.arange(lanes, dtype=np.int64) + 3 * lanes
     rng = np.full(lanes, (1 << 48) - 1, np.int64)
-    grid = np.zeros((BLOCK, lanes), np.int32)
+    grid = np.zeros((BLOCK, lanes), np.uint16)
     model = _Model(lanes)
     for step in range(int(lengths[0])):
         if step == lengths[-1] and lanes > 1 and model.lanes == lanes:
@@ -244,7 +247,8 @@ def decode_blocks(lengths: np.ndarray, blocks: list[bytes]) -> np.ndarray:
             small = small[rng[small] < _LEAST_RANGE]
         model.update(now)
         grid[step, : model.lanes] = now
-    return grid.T.reshape(-1)[: int(lengths.sum())]
+    del model, flat
+    return grid.T.reshape(-1)[: int(lengths.sum())].astype(np.int32)
 
 
 def write_frame(counts: np.ndarray, ids: np.ndarray) -> bytes:

@@ -37,10 +37,10 @@ def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id",
     def run(source):
         encode = encoder(path, keeps_space=True)
         file, number = TaskContext.get().partitionId(), 0
-        ids, held, counts, size, id_type = [], [], [], 0, None
+        ids, held, counts, size, id_type = [], bytearray(), [], 0, None
 
         def full():
-            frame_bytes = write_frame(np.array(counts, np.int64), np.frombuffer(b"".join(held), "<u4"))
+            frame_bytes = write_frame(np.array(counts, np.int64), np.frombuffer(held, "<u4"))
             doc_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type))
             return pa.RecordBatch.from_arrays(
                 [pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), doc_ids, pa.array([frame_bytes], pa.binary())], names=["file", "number", "n_ids", "doc_ids", "frame"]
@@ -51,12 +51,12 @@ def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id",
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 whole = encode(text.as_py()) + END
                 ids.append(doc_id)
-                held.append(whole)
+                held += whole
                 counts.append(len(whole) // 4)
                 size += counts[-1]
                 if size >= frame:
                     yield full()
-                    ids, held, counts, size, number = [], [], [], 0, number + 1
+                    ids, held, counts, size, number = [], bytearray(), [], 0, number + 1
         if ids:
             yield full()
 
@@ -73,17 +73,23 @@ def read_corpus(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFr
     places = frames.select("file", "number", "n_ids").withColumn("_inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
     places = places.join(files, "file").select("file", "number", (F.col("_before") + F.col("_inside")).alias("_start"))
 
+    def rows_of(file: int, number: int, doc_ids: pa.Array, frame: bytes):
+        """A frame's rows; its ids are let go before the next frame is read, and copied only if asked for."""
+        counts, ids = read_frame(frame)
+        ends = np.cumsum(counts)
+        raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        same = [pa.array(np.full(len(counts), k, np.int32)) for k in (file, number)]
+        columns = [*same, doc_ids, pa.array(ends - counts), pa.array(counts), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+        names = ["file", "number", "doc_id", "_at", "n_tokens", "ids_crc32"]
+        held = [pa.array([p.tobytes() for p in parts], pa.binary())] if keep_ids else []
+        return pa.RecordBatch.from_arrays(columns + held, names=names + ["ids"] * keep_ids)
+
     def run(source):
         for batch in source:
             for i in range(batch.num_rows):
-                counts, ids = read_frame(batch.column("frame")[i].as_py())
-                ends = np.cumsum(counts)
-                raw = ids.astype("<u4").tobytes()
-                parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                same = lambda k: pa.array(np.full(len(counts), batch.column(k)[i].as_py(), np.int32))  # noqa: B023, E731
-                columns = [same("file"), same("number"), batch.column("doc_ids")[i].values, pa.array(ends - counts), pa.array(counts), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
-                names = ["file", "number", "doc_id", "_at", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
+                file, number, doc_ids, frame = (batch.column(k)[i] for k in ("file", "number", "doc_ids", "frame"))
+                yield rows_of(file.as_py(), number.as_py(), doc_ids.values, frame.as_py())
 
     schema = f"file int, number int, doc_id {kind}, _at long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
     docs = frames.select("file", "number", "doc_ids", "frame").mapInArrow(run, schema)

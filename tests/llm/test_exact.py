@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -241,6 +242,19 @@ def test_token_file_coding(n):
         assert counts.tolist() == [n] and back.tolist() == ids.tolist()
 
 
+def test_token_file_is_read_in_little_memory():
+    """Ids and digits are held in 16 bits each: a frame is read in few bytes an id."""
+    ids = np.random.default_rng(2).integers(0, 50_000, 400_000).astype("<u4")
+    frame = token_file.write_frame(np.array([len(ids)]), ids)
+    tracemalloc.start()
+    try:
+        back = token_file.read_frame(frame)[1]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(back, ids) and peak < 20 * len(ids)
+
+
 def test_token_file_notices_damage():
     frame = bytearray(token_file.write_frame(np.array([3000]), np.arange(3000, dtype="<u4")))
     for at in (0, 20, len(frame) - 3):
