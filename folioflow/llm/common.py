@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings by their default in Spark, and rows a batch instead.
+_BATCHES = {("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"): "1000", ("spark.sql.parquet.columnarReaderBatchSize", "4096"): "1024"}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches have 1,000 rows where the session leaves Spark's 10,000: rows hold whole texts here."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "1000")
+    """Lets Arrow batches and those of the Parquet reader have fewer rows where the session leaves Spark's: rows hold whole texts here."""
+    for (name, usual), rows in _BATCHES.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, rows)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -97,8 +101,38 @@ def ids_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def slices(source, rows: int = 1_000):
-    """Arrow batches in slices of few rows, so that what is made of them stays small; a batch is let go before the next."""
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What make gives, kept in this Python worker for its next tasks; only the last key asked for is kept."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go(but=None) -> None:
+    """Lets go of what is kept under other keys, and gives freed memory back to the system.
+
+    Spark's workers serve one stage after another: without this, a stage would also hold what the stages before it used.
+    """
+    for key in [k for k in _KEPT if k != but]:
+        del _KEPT[key]
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only; elsewhere freed memory stays with the process
+
+
+def slices(source, rows: int = 1_000, keeps=None):
+    """Arrow batches in slices of few rows, so that what is made of them stays small; a batch is let go before the next.
+
+    keeps: the key of what the task uses by kept(); all else that the worker keeps goes before the first batch.
+    """
+    let_go(keeps)
     for batch in source:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)

@@ -36,7 +36,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
 
     def run(source):
         encode = encoder(path, keeps_space=False)
-        for batch in slices(source):
+        for batch in slices(source, keeps=path):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 whole = encode(text.as_py()) + END

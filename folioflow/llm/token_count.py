@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -92,15 +92,12 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
 
 
-_KEPT: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(source):
-        counter = _KEPT.get(path) or _KEPT.setdefault(path, Counter(vocabulary(path)))
+        counter = kept(path, lambda: Counter(vocabulary(path)))
         for batch in source:
             words, tokens, unknown = [], [], []
             for text in batch.column("text"):

@@ -46,7 +46,7 @@ def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id",
                 [pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), doc_ids, pa.array([frame_bytes], pa.binary())], names=["file", "number", "n_ids", "doc_ids", "frame"]
             )
 
-        for batch in slices(source):
+        for batch in slices(source, keeps=path):
             id_type = batch.column("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 whole = encode(text.as_py()) + END

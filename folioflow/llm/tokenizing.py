@@ -13,6 +13,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from .common import kept
+
 #: White space, or what some Unicode version takes for it, other than blank and \n.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _WITH_SPACE = re.compile("[ \n]*[^ \n]+|[ \n]+")
@@ -85,15 +87,14 @@ class AfterBlank(dict):
         return found
 
 
-_KEPT: dict[str, tuple[Memory, AfterBlank]] = {}
-
-
 def encoder(path: str, keeps_space: bool):
     """A function from text to its ids as bytes; keeps_space: the tokenizer encodes white space and case."""
-    if path not in _KEPT:
+
+    def make() -> tuple[Memory, AfterBlank]:
         memory = Memory(path, keeps_space)
-        _KEPT[path] = memory, AfterBlank(memory)
-    memory, after = _KEPT[path]
+        return memory, AfterBlank(memory)
+
+    memory, after = kept(path, make)
 
     def encode(text: str | None) -> bytes:
         if not text:

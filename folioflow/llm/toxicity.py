@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ SAMPLE = 20_000
 SELECTED = 2_000
 LEAST_GAIN = 12.0
 FEATURE_BITS = 22
-REMEMBERED, REMEMBERED_WHOLE = 400_000, 60_000  # tokens: with their chosen features, with all features
+REMEMBERED, REMEMBERED_WHOLE = 200_000, 60_000  # tokens: with their chosen features, with all features
 _LOOK_COST = 1.0
 _SIZE = 32  # symbols of the language model: 0 outside words, 1-26 letters, 27 letters from U+0080 on, 28 digits, 29 others
 _SYMBOL = np.array([27 if c >= 128 else 28 if 48 <= c <= 57 else (c | 32) - 96 if chr(c).isalpha() else 0 if c <= 32 else 29 for c in range(256)], np.int64)
@@ -198,12 +199,12 @@ class Reader(dict):
         runs = len(_RUN.findall(word))
         return word if not runs else undouble(word, self.model) if runs <= 4 else restore(word, self.model)
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
+    def __missing__(self, token: str) -> tuple[int, ...] | array:
         word = self.word(token)
         found = features(word) if word else []
         if self.chosen is not None:
             found = [self.chosen[f] for f in found if f in self.chosen]
-        found = tuple(found)
+        found = array("i", found) if self.chosen is None else tuple(found)
         if len(self) < self.most and len(token) <= 64:
             self[token] = found
         return found

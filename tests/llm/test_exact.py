@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 from tokenizers import pre_tokenizers as pre
 
-from folioflow.llm import decontam, packing, quality, sharding, simhash, token_count, token_file, token_output, tokenizing
+from folioflow.llm import common, decontam, packing, quality, sharding, simhash, token_count, token_file, token_output, tokenizing
 from folioflow.llm.common import table
 
 LONG = " ".join(f"word{k % 37} tail{k % 11}," for k in range(9000))
@@ -218,6 +218,18 @@ def test_encoder_is_the_tokenizer(spark, sf, name, keeps):
     assert [encode(t) for t in texts] == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_workers_let_go_of_what_former_stages_keep():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizing.encoder(path, False)
+    assert not list(common.slices(iter([]), keeps=path)) and list(common._KEPT) == [path]
+    assert not list(common.slices(iter([]))) and not common._KEPT
+
+
+def test_readers_have_small_batches(spark, sf):
+    table(spark, sf, "documents")
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "1024"
+
+
 def test_token_output_round_trip(docs, empty, spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode = tokenizing.encoder(path, True)
