@@ -1,19 +1,19 @@
-"""Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
+"""Token-id files: a context-mixing range coder in independently reset, checksummed blocks.
 
 Format. A dataset is a folder of Parquet files that Spark's committer writes, so that it can live in any store and a
 lost executor leaves no half file. A row is a frame: the documents of one run in ascending id order, cut into blocks of
-BLOCK ids that know nothing of each other. Frame bytes, little-endian:
+BLOCK ids that know nothing of each other but how often the frame has each id. Frame bytes, little-endian:
 
-    "FTK1", documents u32, blocks u32, crc32 of the two tables below u32
+    "FTK2", documents u32, blocks u32, bytes of the shares u32, crc32 of the three tables below u32
     documents: ids of each u64           blocks: ids u32, bytes u32, crc32 of the bytes u32
+    order 0's share of each id below 2^16, u32 each, compressed by zlib
     the blocks' bytes
 
 Coding of an id. Order 2 and order 1 each predict the id that last followed the last two ids or the last id in this
-block, with a confidence of 0 to 7 that hits raise and misses lower; for each confidence an adaptive probability says
-how often such a prediction is right. Order 0 counts octaves of ids and the eight parts of each octave, and is uniform
-inside a part. The three shares are mixed into one interval of 2^30, of which order 0 keeps an eighth at least, and a
-48-bit range coder with carries narrows its range to the id's part. Many blocks are coded side by side, an element of
-a numpy array each.
+block, with a confidence of 0 to 7 that hits raise and misses lower, and with it the prediction's share. Order 0 knows how
+often the frame has each id (the frame's own table, in shares of 2^18, one at least for each id it has). The three shares
+are mixed into one interval of 2^30, of which order 0 keeps an eighth at least, and a 48-bit range coder with carries
+narrows its range to the id's part. Many blocks are coded side by side, an element of a numpy array each.
 """
 
 from __future__ import annotations
@@ -23,21 +23,23 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"FTK1"
+MAGIC = b"FTK2"
 BLOCK = 1024
 VOCABULARY = 1 << 16
 
 _TOTAL = 1 << 30
 _ORDER0 = 1 << 27  # order 0's least share
+_BITS0 = 18  # order 0's shares of ids are parts of 2^18
 _LEAST_RANGE = np.int64(1 << 32)
 _SLOTS1, _SLOTS2 = 512, 1024
+_LANES = 4096  # blocks coded at once
 _TOP = 7  # greatest confidence
-_OCTAVES, _PARTS = 13, 8
-#: Octave 0 has the ids below 16 (parts of 2), octave k from 2^(k+3) on (parts of 2^k).
-_BITS = np.array([1, *range(1, 13)], np.int64)
-_FIRST = np.array([0, *(1 << k for k in range(4, 16))], np.int64)
-_OCTAVE = (np.searchsorted(_FIRST, np.arange(VOCABULARY), "right") - 1).astype(np.int64)
-_START = np.array([65535 * c / (c + 1.5) for c in range(_TOP + 1)], np.int64)
+
+_SURE = [65535 * c // (2 * c + 3) * 2 for c in range(_TOP + 1)]  # 65536 * c / (c + 1.5): 0 of no prediction
+_SHARE2 = np.array([q * ((_TOTAL - _ORDER0) >> 16) for q in _SURE], np.int64)
+#: By the confidences of order 2 (times 8) and order 1: the share of both, and what order 0 has for each of its parts.
+_SHARE12 = np.array([s + ((_TOTAL - _ORDER0 - s) >> 16) * q for s in _SHARE2.tolist() for q in _SURE], np.int64)
+_UNIT0 = (_TOTAL - _SHARE12) >> _BITS0
 
 
 class _Model:
@@ -48,72 +50,44 @@ class _Model:
         self.lanes = lanes
         self.held = np.zeros(lanes * (_SLOTS1 + _SLOTS2), np.int32)
         self.at = np.stack([at * _SLOTS1, lanes * _SLOTS1 + at * _SLOTS2])
-        self.sure = np.tile(_START.astype(np.int32), 2 * lanes)
-        self.at_sure = np.stack([at * (_TOP + 1), (lanes + at) * (_TOP + 1)])
         self.last, self.mixed = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.slot, self.p = np.zeros((2, lanes), np.intp), np.zeros((2, lanes), np.intp)
-        # counts below each octave (octaves are rows), and of parts up to each part of an octave as the bytes of a word
-        self.octaves = np.tile(np.arange(_OCTAVES + 1, dtype=np.int16)[:, None], (1, lanes))
-        self.parts = np.zeros(lanes * _OCTAVES, np.uint64)
-        self.at_parts = np.arange(lanes, dtype=np.int64) * _OCTAVES
+        self.slot = np.zeros((2, lanes), np.intp)
 
     def predict(self) -> None:
         """Sets the slots, the predicted ids and their shares of 2^30; the rest is order 0's."""
         now = self.last * np.int32(40503)
-        self.slot[0] = self.at[0] + ((now >> 4) & (_SLOTS1 - 1))
-        self.slot[1] = self.at[1] + ((now + self.mixed >> 5) & (_SLOTS2 - 1))
+        np.add(self.at[0], (now >> 4) & (_SLOTS1 - 1), out=self.slot[0])
+        np.add(self.at[1], (now + self.mixed >> 5) & (_SLOTS2 - 1), out=self.slot[1])
         self.mixed = self.last * np.int32(60493)
         self.entry = self.held.take(self.slot)
         self.ids, self.conf = self.entry >> 3, self.entry & 7
-        np.add(self.at_sure, self.conf, out=self.p)
-        self.q = self.sure.take(self.p)
-        # confidence 0 has probability 0 and never learns, so that an empty slot has no share
-        self.share2 = self.q[1] * np.int32((_TOTAL - _ORDER0) >> 16)
-        self.share1 = (((_TOTAL - _ORDER0) - self.share2) >> 16) * self.q[0] * (self.ids[0] != self.ids[1])
-        self.share12 = self.share1 + self.share2
+        self.both = (self.conf[1] << 3) + self.conf[0]
+        self.share2, self.share12 = _SHARE2.take(self.conf[1]), _SHARE12.take(self.both)
 
     def update(self, ids: np.ndarray) -> None:
         """Learns the ids coded in this step."""
-        hit = (self.ids == ids) & (self.conf > 0)
-        self.sure[self.p] = self.q + ((hit * np.int32(65535) - self.q) >> 4)
-        self.held[self.slot] = np.where(hit, self.entry + (self.conf < _TOP), np.where(self.conf > 2, self.entry - 2, (ids << 3) + 1))
+        missed = np.where(self.conf > 2, self.entry - 2, (ids << 3) + 1)
+        self.held[self.slot] = np.where(self.ids == ids, self.entry + (self.conf < _TOP), missed)
         self.last = ids
 
-    def count(self, by0: np.ndarray, octave: np.ndarray, row: np.ndarray, word: np.ndarray, part: np.ndarray) -> None:
-        """Counts what order 0 has coded; the parts of an octave are halved when a byte is full."""
-        seen = np.full(self.octaves.shape[1], _OCTAVES, np.int16)
-        seen[by0] = octave
-        self.octaves += _PLACES > seen
-        word = word + _ADD.take(part)
-        full = word >= _FULL
-        if full.any():
-            word = np.where(full, (word >> np.uint64(1)) & _HALVES, word)
-        self.parts[row] = word
-
     def keep(self, n: int) -> None:
         """Goes on with the first n lanes."""
-        for name in ("at", "at_sure", "at_parts", "last", "mixed", "slot", "p", "octaves"):
+        for name in ("at", "last", "mixed", "slot"):
             setattr(self, name, getattr(self, name)[..., :n])
-        self.slot, self.p = self.slot.copy(), self.p.copy()
+        self.slot = self.slot.copy()
         self.lanes = n
 
 
-_PLACES = np.arange(_OCTAVES + 1, dtype=np.int16)[:, None]
-#: 1 in byte k and all bytes above; the greatest byte is byte 7.
-_ADD = np.array([sum(1 << (8 * i) for i in range(k, 8)) for k in range(8)], np.uint64)
-_FULL, _HALVES = np.uint64(0xFF << 56), np.uint64(0x7F7F7F7F7F7F7F7F)
-_UP_TO = np.arange(1, _PARTS + 1, dtype=np.int16)
-
-
-def _parts_of(words: np.ndarray) -> np.ndarray:
-    """Counts up to each part, one added for each part, as n x 8."""
-    return words.view(np.uint8).reshape(-1, 8) + _UP_TO
-
-
-def _narrow(below: np.ndarray, above: np.ndarray, total: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The interval of counts below..above of a total inside start..start + width."""
-    unit = width // total
-    return start + below * unit, (above - below) * unit
+def _shares(ids: np.ndarray) -> np.ndarray:
+    """Order 0's share of each id of the vocabulary, 2^18 in all; 0 for ids that do not occur."""
+    counts = np.zeros(VOCABULARY, np.int64)
+    for i in range(0, len(ids), 1 << 20):
+        counts += np.bincount(ids[i : i + (1 << 20)], minlength=VOCABULARY)
+    used = int((counts > 0).sum())
+    if used:
+        counts = (counts > 0) + counts * ((1 << _BITS0) - used) // len(ids)
+        counts[np.argmax(counts)] += (1 << _BITS0) - counts.sum()
+    return counts.astype(np.int32)
 
 
 def _lengths(n_ids: int) -> np.ndarray:
@@ -122,12 +96,22 @@ def _lengths(n_ids: int) -> np.ndarray:
     return np.array([BLOCK] * full + [rest] * (rest > 0), np.int64)
 
 
-def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Ids of each block, and each block's bytes."""
-    lengths = _lengths(len(ids))
+def _sets(lanes: int) -> list[tuple[int, int]]:
+    """Sets of at most _LANES lanes, of equal sizes, as the steps cost much where a set is small."""
+    n = -(-lanes // _LANES)
+    return [(lanes * k // n, lanes * (k + 1) // n) for k in range(n)]
+
+
+def encode_blocks(ids: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Ids of each block, and each block's bytes; shares: order 0's."""
+    lengths, blocks, first = _lengths(len(ids)), [], (np.cumsum(shares) - shares).astype(np.int32)
+    for i, j in _sets(len(lengths)):
+        blocks += _encode(lengths[i:j], ids[i * BLOCK : j * BLOCK], first, shares)
+    return lengths, blocks
+
+
+def _encode(lengths: np.ndarray, ids: np.ndarray, first: np.ndarray, shares: np.ndarray) -> list[bytes]:
     lanes = len(lengths)
-    if not lanes:
-        return lengths, []
     grid = np.zeros((BLOCK, lanes), np.uint16)
     full, rest = divmod(len(ids), BLOCK)
     grid[:, :full] = ids[: full * BLOCK].reshape(full, BLOCK).T
@@ -144,37 +128,25 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
             low, rng, put = low[:-1], rng[:-1], put[:-1]
         now = grid[step, : model.lanes].astype(np.int32)
         model.predict()
-        is2 = (now == model.ids[1]) & (model.share2 > 0)
-        is1 = (now == model.ids[0]) & (model.share1 > 0) & ~is2
-        start, width = np.where(is2, np.int32(0), model.share2), np.where(is2, model.share2, model.share1)
-        by0 = np.flatnonzero(~(is1 | is2))
-        if len(by0):
-            want = now.take(by0).astype(np.int64)
-            octave = _OCTAVE.take(want)
-            bits = _BITS.take(octave)
-            inside = want - _FIRST.take(octave)
-            part8 = inside >> bits
-            row, share = model.at_parts.take(by0) + octave, model.share12.take(by0).astype(np.int64)
-            below, above, total = (model.octaves[o, by0].astype(np.int64) for o in (octave, octave + 1, _OCTAVES))
-            at, wide = _narrow(below, above, total, share, _TOTAL - share)
-            word, shift = model.parts.take(row), (part8 << 3).astype(np.uint64)
-            above = ((word >> shift) & np.uint64(255)).astype(np.int64) + part8 + 1
-            below = (((word << np.uint64(8)) >> shift) & np.uint64(255)).astype(np.int64) + part8
-            at, wide = _narrow(below, above, (word >> np.uint64(56)).astype(np.int64) + _PARTS, at, wide)
-            wide >>= bits
-            start[by0] = at + (inside - (part8 << bits)) * wide
-            width[by0] = wide
-            model.count(by0, octave, row, word, part8)
+        right = (model.ids == now) & (model.conf > 0)
+        is2 = right[1]
+        start = np.where(is2, 0, model.share2)
+        width = np.where(is2, model.share2, model.share12 - model.share2)
+        by0 = np.flatnonzero(~(right[0] | is2))
+        want, unit = now.take(by0), _UNIT0.take(model.both.take(by0))
+        start[by0] = model.share12.take(by0) + first.take(want) * unit
+        width[by0] = shares.take(want) * unit
         part = rng >> 30
         low = low + start * part
         rng = width * part
         small = np.flatnonzero(rng < _LEAST_RANGE)
-        while len(small):
-            flat[put[small]] = low[small] >> 32
-            put[small] += lanes
-            low[small] = (low[small] & 0xFFFFFFFF) << 16
-            rng[small] <<= 16
-            small = small[rng[small] < _LEAST_RANGE]
+        while len(small):  # twice at most
+            at, lows, ranges = put.take(small), low.take(small), rng.take(small) << 16
+            flat[at] = lows >> 32
+            put[small] = at + lanes
+            low[small] = (lows & 0xFFFFFFFF) << 16
+            rng[small] = ranges
+            small = small[ranges < _LEAST_RANGE]
         model.update(now)
     last_low[: len(low)], last_put[: len(put)] = low, put
     # one more digit names a point inside the last range; then carries go up
@@ -184,22 +156,30 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         digits[k - 1] += digits[k] >> 16
         digits[k] &= 0xFFFF
     rows = np.ascontiguousarray(digits[: int(used.max())].astype("<u2").T)
-    return lengths, [rows[k, :n].tobytes() for k, n in enumerate(used.tolist())]
+    return [rows[k, :n].tobytes() for k, n in enumerate(used.tolist())]
 
 
-def decode_blocks(lengths: np.ndarray, blocks: list[bytes]) -> np.ndarray:
+def decode_blocks(lengths: np.ndarray, blocks: list[bytes], shares: np.ndarray) -> np.ndarray:
     """The ids of blocks in order; lengths must not rise, as encode_blocks gives them."""
+    ids, done, first = np.zeros(int(lengths.sum()), np.int32), 0, (np.cumsum(shares) - shares).astype(np.int32)
+    id_at = np.repeat(np.arange(VOCABULARY, dtype=np.uint16), shares)  # the id of each part of order 0
+    for i, j in _sets(len(lengths)):
+        n = int(lengths[i:j].sum())
+        ids[done : done + n] = _decode(lengths[i:j], blocks[i:j], first, shares, id_at)
+        done += n
+    return ids
+
+
+def _decode(lengths: np.ndarray, blocks: list[bytes], first: np.ndarray, shares: np.ndarray, id_at: np.ndarray) -> np.ndarray:
     lanes = len(lengths)
-    if not lanes:
-        return np.zeros(0, np.int64)
     deep = max(len(b) // 2 for b in blocks) + 5
     digits = np.zeros((lanes, deep), np.uint16)
     for k, b in enumerate(blocks):
         digits[k, : len(b) // 2] = np.frombuffer(b, "<u2")
     flat = np.ascontiguousarray(digits.T).reshape(-1)
     del digits
-    first = flat[: 3 * lanes].astype(np.int64).reshape(3, lanes)
-    value = (first[0] << 32) + (first[1] << 16) + first[2]
+    head = flat[: 3 * lanes].astype(np.int64).reshape(3, lanes)
+    value = (head[0] << 32) + (head[1] << 16) + head[2]
     get = np.arange(lanes, dtype=np.int64) + 3 * lanes
     rng = np.full(lanes, (1 << 48) - 1, np.int64)
     grid = np.zeros((BLOCK, lanes), np.uint16)
@@ -210,69 +190,57 @@ def decode_blocks(lengths: np.ndarray, blocks: list[bytes]) -> np.ndarray:
             value, rng, get = value[:-1], rng[:-1], get[:-1]
         model.predict()
         part = rng >> 30
-        is2 = value < model.share2 * part
-        in12 = value < model.share12 * part
-        start, width = np.where(is2, np.int32(0), model.share2), np.where(is2, model.share2, model.share1)
+        to2, to12 = model.share2 * part, model.share12 * part
+        is2 = value < to2
+        start, width = np.where(is2, 0, to2), np.where(is2, to2, to12 - to2)
         now = np.where(is2, model.ids[1], model.ids[0])
-        by0 = np.flatnonzero(~in12)
-        if len(by0):
-            each, share = np.arange(len(by0)), model.share12.take(by0).astype(np.int64)
-            find = value.take(by0) // part.take(by0)
-            octaves = model.octaves.take(by0, axis=1)
-            total, wide = octaves[-1].astype(np.int64), _TOTAL - share
-            octave = (octaves <= np.minimum((find - share) // (wide // total), total - 1).astype(np.int16)).sum(axis=0) - 1
-            at, wide = _narrow(octaves[octave, each].astype(np.int64), octaves[octave + 1, each].astype(np.int64), total, share, wide)
-            row = model.at_parts.take(by0) + octave
-            word = model.parts.take(row)
-            parts = _parts_of(word)
-            total = parts[:, -1].astype(np.int64)
-            part8 = (parts <= np.minimum((find - at) // (wide // total), total - 1).astype(np.int16)[:, None]).sum(axis=1)
-            above = parts[each, part8].astype(np.int64)
-            below = np.where(part8 > 0, parts[each, part8 - 1], 0).astype(np.int64)
-            at, wide = _narrow(below, above, total, at, wide)
-            bits = _BITS.take(octave)
-            wide >>= bits
-            inside = np.minimum((find - at) // wide, (1 << bits) - 1)
-            now[by0] = _FIRST.take(octave) + (part8 << bits) + inside
-            start[by0] = at + inside * wide
-            width[by0] = wide
-            model.count(by0, octave, row, word, part8)
-        value = value - start * part
-        rng = width * part
+        by0 = np.flatnonzero(value >= to12)
+        unit, base = _UNIT0.take(model.both.take(by0)) * part.take(by0), to12.take(by0)
+        found = id_at.take(np.minimum((value.take(by0) - base) // unit, (1 << _BITS0) - 1))
+        now[by0] = found
+        start[by0] = base + first.take(found) * unit
+        width[by0] = shares.take(found) * unit
+        value = value - start
+        rng = width
         small = np.flatnonzero(rng < _LEAST_RANGE)
         while len(small):
-            value[small] = (value[small] << 16) + flat[get[small]]
-            get[small] += lanes
-            rng[small] <<= 16
-            small = small[rng[small] < _LEAST_RANGE]
+            at, ranges = get.take(small), rng.take(small) << 16
+            value[small] = (value.take(small) << 16) + flat.take(at)
+            get[small] = at + lanes
+            rng[small] = ranges
+            small = small[ranges < _LEAST_RANGE]
         model.update(now)
         grid[step, : model.lanes] = now
     del model, flat
-    return grid.T.reshape(-1)[: int(lengths.sum())].astype(np.int32)
+    return grid.T.reshape(-1)[: int(lengths.sum())]
 
 
 def write_frame(counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A frame of documents with so many ids each."""
     if len(ids) and int(ids.max()) >= VOCABULARY:
         raise ValueError(f"ids must be below {VOCABULARY}")
-    lengths, blocks = encode_blocks(ids)
+    shares = _shares(ids)
+    lengths, blocks = encode_blocks(ids, shares)
     heads = np.array([[n, len(b), zlib.crc32(b)] for n, b in zip(lengths.tolist(), blocks, strict=True)], "<u4")
-    tables = counts.astype("<u8").tobytes() + heads.tobytes()
-    return b"".join([MAGIC, struct.pack("<III", len(counts), len(blocks), zlib.crc32(tables)), tables, *blocks])
+    packed = zlib.compress(shares.astype("<u4").tobytes(), 1)
+    tables = counts.astype("<u8").tobytes() + heads.tobytes() + packed
+    return b"".join([MAGIC, struct.pack("<IIII", len(counts), len(blocks), len(packed), zlib.crc32(tables)), tables, *blocks])
 
 
 def read_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each document, and all ids; raises ValueError where a checksum does not hold."""
-    n_docs, n_blocks, crc = struct.unpack_from("<III", frame, 4)
-    tables = frame[16 : 16 + 8 * n_docs + 12 * n_blocks]
+    n_docs, n_blocks, n_packed, crc = struct.unpack_from("<IIII", frame, 4)
+    plain = 8 * n_docs + 12 * n_blocks
+    tables = frame[20 : 20 + plain + n_packed]
     if frame[:4] != MAGIC or zlib.crc32(tables) != crc:
         raise ValueError("not a frame, or its tables are damaged")
     counts = np.frombuffer(tables, "<u8", n_docs).astype(np.int64)
-    heads = np.frombuffer(tables, "<u4", offset=8 * n_docs).reshape(-1, 3).astype(np.int64)
-    at, blocks = 16 + len(tables), []
+    heads = np.frombuffer(tables, "<u4", 3 * n_blocks, offset=8 * n_docs).reshape(-1, 3).astype(np.int64)
+    shares = np.frombuffer(zlib.decompress(tables[plain:]), "<u4").astype(np.int32)
+    at, blocks = 20 + len(tables), []
     for k, (_, size, check) in enumerate(heads.tolist()):
         blocks.append(frame[at : at + size])
         at += size
         if zlib.crc32(blocks[-1]) != check:
             raise ValueError(f"block {k} is damaged")
-    return counts, decode_blocks(heads[:, 0], blocks)
+    return counts, decode_blocks(heads[:, 0], blocks, shares)

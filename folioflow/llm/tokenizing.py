@@ -19,7 +19,7 @@ from .common import kept
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _WITH_SPACE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 _CLOSING = ".,!?;:"
-REMEMBERED = 600_000
+REMEMBERED, REMEMBERED_AFTER = 600_000, 1_300_000
 
 
 def _alphabet() -> dict[int, str]:
@@ -40,6 +40,7 @@ class Memory(dict):
         super().__init__()
         self.blanks = blanks  # blanks and case are encoded
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
 
     def whole(self, text: str) -> bytes:
@@ -51,7 +52,7 @@ class Memory(dict):
             else:
                 written = text.encode().decode("latin-1").translate(_ALPHABET) if max(word) <= "\xff" else None
             if written is not None:
-                return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+                return array("I", [t.id for t in self.merges.tokenize(written)]).tobytes()
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
@@ -80,9 +81,11 @@ class AfterBlank(dict):
             found = self[word] + self.memory[piece[len(word) :]]
         elif "\n" in piece:
             return b"".join([self.memory[p] for p in _WITH_SPACE.findall(" " + piece)])
+        elif piece.isascii() and piece.isalpha():  # as in Memory.whole
+            found = array("I", [t.id for t in self.memory.merges.tokenize(_BLANK + piece)]).tobytes()
         else:
             found = self.memory.whole(" " + piece)
-        if len(self) < REMEMBERED and len(piece) <= 64:
+        if len(self) < REMEMBERED_AFTER and len(piece) <= 64:
             self[piece] = found
         return found
 

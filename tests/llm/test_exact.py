@@ -267,6 +267,18 @@ def test_token_file_is_read_in_little_memory():
     assert np.array_equal(back, ids) and peak < 20 * len(ids)
 
 
+def test_token_file_in_sets_of_lanes(monkeypatch):
+    """Blocks give the same bytes whatever is coded beside them; ids that a frame has often cost little from its first block on."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(50_000)[np.minimum(rng.zipf(1.3, 30_000), 5_000)].astype("<u4")
+    frame = token_file.write_frame(np.array([len(ids)]), ids)
+    entropy = -sum(n * np.log2(n / len(ids)) for n in np.unique(ids, return_counts=True)[1]) / 8
+    assert len(frame) < 1.15 * entropy + 20_000
+    monkeypatch.setattr(token_file, "_LANES", 7)
+    assert token_file.write_frame(np.array([len(ids)]), ids) == frame
+    assert np.array_equal(token_file.read_frame(frame)[1], ids)
+
+
 def test_token_file_notices_damage():
     frame = bytearray(token_file.write_frame(np.array([3000]), np.arange(3000, dtype="<u4")))
     for at in (0, 20, len(frame) - 3):
