@@ -140,5 +140,18 @@ def slices(source, rows: int = 1_000, keeps=None):
         pa.default_memory_pool().release_unused()
 
 
+def gathered(source, size: int):
+    """Arrow batches put together to at most so many bytes; a larger batch stays as it is."""
+    held, n = [], 0
+    for batch in source:
+        if held and n + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+        held.append(batch)
+        n += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def batches(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -20,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from .common import gathered, shared_dir, slices, table
 from .token_file import read_frame, write_frame
-from .tokenizing import encoder
+from .tokenizing import encode_all
 
 END = b"\0\0\0\0"
 FRAME = 8_000_000
+TOGETHER = 12_000_000  # bytes of batches that are encoded together
 
 
 def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", frame: int = FRAME) -> None:
@@ -35,7 +36,6 @@ def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id",
     kind = rows.schema["doc_id"].dataType
 
     def run(source):
-        encode = encoder(path, keeps_space=True)
         file, number = TaskContext.get().partitionId(), 0
         ids, held, counts, size, id_type = [], bytearray(), [], 0, None
 
@@ -46,13 +46,13 @@ def encode_corpus(docs: DataFrame, path: str, out: str, id_col: str = "doc_id",
                 [pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), doc_ids, pa.array([frame_bytes], pa.binary())], names=["file", "number", "n_ids", "doc_ids", "frame"]
             )
 
-        for batch in slices(source, keeps=path):
+        for batch in gathered(slices(source, keeps=path), TOGETHER):
             id_type = batch.column("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                whole = encode(text.as_py()) + END
+            for doc_id, whole in zip(batch.column("doc_id").to_pylist(), encode_all(path, batch.column("text")), strict=True):
                 ids.append(doc_id)
                 held += whole
-                counts.append(len(whole) // 4)
+                held += END
+                counts.append(len(whole) // 4 + 1)
                 size += counts[-1]
                 if size >= frame:
                     yield full()

@@ -1,12 +1,14 @@
 """Operators with exact results, against brute force written from their contracts."""
 
 import hashlib
+import random
 import re
 import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -218,6 +220,45 @@ def test_encoder_is_the_tokenizer(spark, sf, name, keeps):
     assert [encode(t) for t in texts] == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    """Texts are encoded as by the tokenizer alone, and thousands of new words take few calls of it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    rng = random.Random(5)
+    words = ["it's", "Bar.", "añb", "$$", "中文", ",,", "'ll", "a1", "<|endoftext|>", "é", "🙂", "\u0301", "٣", "a\u02bcb", "\0", "\0x", "x" * 90]
+    marks = [" "] * 12 + ["\n"] * 3 + ["  ", "\n\n", " \n", "\n ", "\t", "\u2003"]
+    texts = ["".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randrange(9))) for _ in range(4000)]
+    texts += [None, "", " ", "\n", " a", "\na", "a ", "a\n", "\0", "\0a", *(t for t in TEXTS if t)]
+    made = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(9)) for _ in range(8000)]
+    texts += [" ".join(made[k : k + 80]) + "." for k in range(0, 8000, 80)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    common.let_go()
+    assert list(tokenizing.encode_all(path, pa.array(texts, pa.string()))) == want
+    monkeypatch.setattr(tokenizing, "AT_ONCE", 10_000)
+    assert list(tokenizing.encode_all(path, pa.array(texts, pa.string()))) == want
+    monkeypatch.setattr(tokenizing, "AT_ONCE", 10_000_000)
+    calls, encode = [], tokenizing.Memory.encode
+    monkeypatch.setattr(tokenizing.Memory, "encode", lambda self, text: calls.append(1) or encode(self, text))
+    common.let_go()
+    assert b"".join(tokenizing.encode_all(path, pa.array(texts[-100:]))) == b"".join(want[-100:]) and len(calls) < 20
+    monkeypatch.setattr(tokenizing, "REMEMBERED_AFTER", 50)
+    common.let_go()
+    pieces = common.kept(path, lambda: tokenizing.Pieces(path))
+    for _ in range(2):
+        assert list(tokenizing.encode_all(path, pa.array(texts, pa.string()))) == want and len(pieces) <= 50
+    pieces.sizes[:] = 1  # as if the tokenizer left bytes out
+    assert list(tokenizing.encode_all(path, pa.array(texts[-3:]))) == want[-3:]
+    common.let_go()
+
+
+def test_batches_are_put_together():
+    parts = [pa.record_batch({"n": pa.array([k, k + 1], pa.int64())}) for k in range(0, 10, 2)]
+    got = list(common.gathered(iter(parts), 2 * parts[0].nbytes))
+    assert [b.num_rows for b in got] == [4, 4, 2] and [n for b in got for n in b.column("n").to_pylist()] == list(range(10))
+    assert not list(common.gathered(iter([]), 1))
+
+
 def test_workers_let_go_of_what_former_stages_keep():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizing.encoder(path, False)
