@@ -124,7 +124,8 @@ class Pieces(dict):
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of texts that are cut at each blank and line end, not empty ones."""
-        cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        start, nothing = pa.scalar("\n", texts.type), pa.scalar("", texts.type)
+        cut = pc.split_pattern(pc.binary_join_element_wise(start, pc.replace_substring(texts, "\n", " \n"), nothing), " ")
         words = cut.flatten().dictionary_encode()
         found = self.find(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         # the ids of distinct pieces lie in `held`; each piece of a text takes its part of them

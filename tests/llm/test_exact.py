@@ -238,6 +238,9 @@ def test_new_words_are_encoded_together(monkeypatch):
     monkeypatch.setattr(tokenizing, "AT_ONCE", 10_000)
     assert list(tokenizing.encode_all(path, pa.array(texts, pa.string()))) == want
     monkeypatch.setattr(tokenizing, "AT_ONCE", 10_000_000)
+    large = pa.large_string()
+    assert list(tokenizing.encode_all(path, pa.array(texts, large))) == want
+    assert list(tokenizing.encode_all(path, pa.array([None, ""], large))) == [b"", b""] and not list(tokenizing.encode_all(path, pa.array([], large)))
     calls, encode = [], tokenizing.Memory.encode
     monkeypatch.setattr(tokenizing.Memory, "encode", lambda self, text: calls.append(1) or encode(self, text))
     common.let_go()
